@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from multisvm.operators.partials import PARTIAL_SCHEMA, features_matrix, partial_batch, reduce_partials
+from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
 CLUSTER = "cluster"
@@ -68,6 +69,7 @@ def first_last_centres(data: DataFrame) -> np.ndarray:
 def lloyd(data: DataFrame, centres: np.ndarray, max_iter: int, tol: float = 1e-4,
           cache: bool = True) -> tuple[np.ndarray, int]:
     """Lloyd iterations from ``centres``; returns (centres, iterations run)."""
+    ship_package(data.sparkSession)
     centres = np.array(centres, dtype=np.float64)
     k, dim = centres.shape
     data = data.select(FEATURES)
@@ -114,6 +116,7 @@ def kmeans_fit(data: DataFrame, k: int = 2, max_iter: int = 20, seed: int | None
 
 def assign_clusters(df: DataFrame, centres: np.ndarray, keep: Sequence[str]) -> DataFrame:
     """``keep`` + nearest ``cluster`` (ties: lower index) + its squared ``distance``."""
+    ship_package(df.sparkSession)
     centres = np.asarray(centres, dtype=np.float64)
     dim = centres.shape[1]
     keep = list(keep)

@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from multisvm.operators.partials import features_matrix
+from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES
 
 MARGINS = "margins"
@@ -31,6 +32,7 @@ def _list_column(values: np.ndarray) -> pa.Array:
 def with_margins(df: DataFrame, weights: np.ndarray, keep: Sequence[str], features: str = FEATURES,
                  out: str = MARGINS) -> DataFrame:
     """``keep`` columns plus ``out`` = array of w_p . x for every problem p."""
+    ship_package(df.sparkSession)
     w_t = np.ascontiguousarray(np.asarray(weights, dtype=np.float64).T)
     dim = w_t.shape[0]
     keep = list(keep)

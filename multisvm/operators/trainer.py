@@ -33,9 +33,23 @@ from pyspark.sql import functions as F
 
 from multisvm.functions.hashing import in_fraction
 from multisvm.operators.partials import PARTIAL_SCHEMA, features_matrix, partial_batch, reduce_partials
+from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
 
+# The model rides in every task closure (PySpark broadcasts large closures);
+# refuse models that would not fit comfortably in an executor.
+MAX_MODEL_BYTES = 512 * 1024 * 1024
+
+
+def check_model_size(problems: int, dim: int) -> None:
+    size = problems * dim * 8
+    if size > MAX_MODEL_BYTES:
+        raise ValueError(
+            f"{problems} problems x {dim} features = {size / 2**20:.0f} MiB of weights exceeds "
+            f"{MAX_MODEL_BYTES / 2**20:.0f} MiB; use one-vs-all or fewer features")
+
+
 @dataclass(frozen=True)
 class SGDParams:
     iterations: int = 100
@@ -92,11 +106,13 @@ def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGD
     import time
 
     k, p = code.shape
+    check_model_size(p, dim)
     weights = np.zeros((p, dim))
     iters = np.zeros(p, dtype=np.int64)
     converged = np.zeros(p, dtype=bool)
     updated_once = np.zeros(p, dtype=bool)
     history = []
+    ship_package(train.sparkSession)
     data = train.select(ID, LABEL, FEATURES)
     if cache:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)

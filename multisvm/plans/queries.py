@@ -27,7 +27,7 @@ from multisvm.operators.partials import PARTIAL_SCHEMA
 from multisvm.operators.scoring import MARGINS
 from multisvm.operators.trainer import SGDParams, fit_coded, gradient_kernel
 from multisvm.plans.classifiers import OVA_DEFAULTS, OVO_DEFAULTS, TREE_DEFAULTS, ClusterTree, CodedModel, trainer_for
-from multisvm.session import scratch_path
+from multisvm.session import scratch_path, ship_package
 from multisvm.sources.csv import read_labeled_csv, write_labeled_csv
 from multisvm.sources.libsvm import read_libsvm, write_libsvm
 from multisvm.sources.split import SPLIT, with_split
@@ -162,6 +162,7 @@ def q_svm_gradient_step(spark, sf_dir):
     code = one_vs_all_code(inv.k)
     keys = np.arange(inv.k)
     kernel = gradient_kernel(np.asarray(inv.classes), code, np.zeros((inv.k, inv.dim)), keys, inv.dim)
+    ship_package(spark)
     parts = train.select(ID, LABEL, FEATURES).mapInArrow(kernel, PARTIAL_SCHEMA)
     return (
         parts.select(F.col("k").alias("problem"), "n", F.posexplode("g").alias("feature", "v"))
@@ -199,9 +200,14 @@ def q_train_tree(spark, sf_dir):
 
 # ---------------------------------------------------------------- scoring
 
-def scored(spark, sf_dir, scheme: str) -> DataFrame:
+def scored(spark, sf_dir, scheme: str, split: str | None = None) -> DataFrame:
+    """Score the labelled rows; a split filter goes below the (opaque) Arrow
+    scoring step so the other split is never scored."""
     m = fitted(spark, sf_dir, scheme)
-    return m.transform(labelled_split(spark, sf_dir), keep=[ID, LABEL, SPLIT])
+    rows = labelled_split(spark, sf_dir)
+    if split is not None:
+        rows = rows.where(F.col(SPLIT) == split)
+    return m.transform(rows, keep=[ID, LABEL, SPLIT])
 
 
 def q_ova_margins(spark, sf_dir):
@@ -279,13 +285,13 @@ def q_tree_layout(spark, sf_dir):
 
 def _confusion_query(scheme):
     def q(spark, sf_dir):
-        return confusion(scored(spark, sf_dir, scheme).where(F.col(SPLIT) == "test"))
+        return confusion(scored(spark, sf_dir, scheme, "test"))
     return q
 
 
 def _by_label_query(scheme):
     def q(spark, sf_dir):
-        return metrics_by_label(confusion(scored(spark, sf_dir, scheme).where(F.col(SPLIT) == "test")))
+        return metrics_by_label(confusion(scored(spark, sf_dir, scheme, "test")))
     return q
 
 

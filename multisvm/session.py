@@ -3,6 +3,7 @@ scratch folder that jobs write derived tables to."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -56,3 +57,35 @@ def is_local(spark: SparkSession) -> bool:
 
 
 __all__ = ["local_session", "checkpoint_dir", "scratch_path", "is_local"]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``multisvm`` importable in Python workers (same as ``--py-files``).
+
+    The Arrow kernels are closures over this package's helpers; executors
+    started elsewhere than the repo need the package shipped. Done once per
+    SparkContext: the package is zipped on the driver and distributed by Spark.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="multisvm-pyfiles-")
+    archive = os.path.join(out_dir, "multisvm.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in folder:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
