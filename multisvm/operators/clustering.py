@@ -96,13 +96,13 @@ def lloyd(data: DataFrame, centres: np.ndarray, max_iter: int, tol: float = 1e-4
 
 
 def kmeans_fit(data: DataFrame, k: int = 2, max_iter: int = 20, seed: int | None = 42,
-               init: str = "first_last", tol: float = 1e-4) -> np.ndarray:
+               init: str = "first_last", tol: float = 1e-4, cache: bool = True) -> np.ndarray:
     """Centres (k x D). ``init``: 'first_last' (k = 2, Lloyd, reproducible) or
     'k-means||' / 'random' (Spark ML)."""
     if init == "first_last":
         if k != 2:
             raise ValueError("first_last init gives exactly two centres")
-        return lloyd(data, first_last_centres(data), max_iter, tol)[0]
+        return lloyd(data, first_last_centres(data), max_iter, tol, cache=cache)[0]
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

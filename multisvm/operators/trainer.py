@@ -50,6 +50,30 @@ def check_model_size(problems: int, dim: int) -> None:
             f"{MAX_MODEL_BYTES / 2**20:.0f} MiB; use one-vs-all or fewer features")
 
 
+# Rows per partition below which the training cache is merged (fewer, shorter
+# tasks per iteration) and above which a too-narrow input is spread out.
+MIN_ROWS_PER_PARTITION = 16_384
+
+
+def training_cache(df: DataFrame, n_rows: int) -> DataFrame:
+    """Persist the training rows with a partition count fit for iterating.
+
+    Each iteration runs one task per partition. An input with fewer partitions
+    than the cluster has cores, but enough rows, is spread out once
+    (round-robin) before caching; an input with many tiny partitions is merged
+    without a shuffle. Large inputs keep their file splits.
+    """
+    spark = df.sparkSession
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    current = df.rdd.getNumPartitions()
+    wanted = max(1, min(cores, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)))
+    if current < wanted:
+        df = df.repartition(wanted)
+    elif n_rows < current * MIN_ROWS_PER_PARTITION and current > wanted:
+        df = df.coalesce(wanted)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @dataclass(frozen=True)
 class SGDParams:
     iterations: int = 100

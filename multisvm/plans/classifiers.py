@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ from multisvm.operators.coding import (
 )
 from multisvm.operators.metrics import PREDICTION
 from multisvm.operators.scoring import MARGINS, with_margins
-from multisvm.operators.trainer import FitResult, SGDParams, fit_coded
+from multisvm.operators.trainer import FitResult, SGDParams, fit_coded, training_cache
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
 # Hyper-parameters of the three reference programs (iterations, step, reg, batch fraction).
@@ -89,8 +88,11 @@ class _Trainer:
         base = params or self.defaults
         self.params = SGDParams(**{**base.__dict__, **overrides})
 
-    def _prepare(self, df: DataFrame) -> DataFrame:
-        return df.select(ID, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    def _prepare(self, df: DataFrame):
+        """Class inventory (one pass), then the training cache laid out for iterating."""
+        rows = df.select(ID, LABEL, FEATURES)
+        inv = collect_inventory(rows)
+        return training_cache(rows, sum(inv.counts)), inv
 
 
 class OneVsAll(_Trainer):
@@ -100,9 +102,8 @@ class OneVsAll(_Trainer):
     defaults = OVA_DEFAULTS
 
     def fit(self, df: DataFrame) -> CodedModel:
-        data = self._prepare(df)
+        data, inv = self._prepare(df)
         try:
-            inv = collect_inventory(data)
             code = one_vs_all_code(inv.k)
             res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False)
             return CodedModel("ova", list(inv.classes), code, res.weights, res)
@@ -117,9 +118,8 @@ class OneVsOne(_Trainer):
     defaults = OVO_DEFAULTS
 
     def fit(self, df: DataFrame) -> CodedModel:
-        data = self._prepare(df)
+        data, inv = self._prepare(df)
         try:
-            inv = collect_inventory(data)
             code = one_vs_one_code(inv.k)
             res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False)
             return CodedModel("ovo", list(inv.classes), code, res.weights, res, pairs=class_pairs(inv.k))
@@ -141,10 +141,10 @@ class ClusterTree(_Trainer):
         self.kmeans_iterations = kmeans_iterations
         self.kmeans_tol = kmeans_tol
 
-    def plan(self, data: DataFrame) -> tuple[np.ndarray, list[tuple[int, int, int]], list[dict], list[int]]:
+    def plan(self, data: DataFrame, cached: bool = False) -> tuple[np.ndarray, list[tuple[int, int, int]], list[dict], list[int]]:
         """Centres, class -> (cluster, err) map and node layout (no SVM trained yet)."""
         iters = self.kmeans_iterations or self.params.iterations
-        centres = kmeans_fit(data, 2, iters, self.params.seed, self.kmeans_init, self.kmeans_tol)
+        centres = kmeans_fit(data, 2, iters, self.params.seed, self.kmeans_init, self.kmeans_tol, cache=not cached)
         assigned = assign_clusters(data, centres, [LABEL])
         c2c = class_to_cluster(class_cluster_counts(assigned)).collect()  # K rows
         triples = sorted((int(r[LABEL]), int(r[CLUSTER]), int(r.err)) for r in c2c)
@@ -155,10 +155,9 @@ class ClusterTree(_Trainer):
         return centres, triples, tree_layout(side1, side0), classes
 
     def fit(self, df: DataFrame) -> CodedModel:
-        data = self._prepare(df)
+        data, inv = self._prepare(df)
         try:
-            inv = collect_inventory(data)
-            centres, triples, nodes, classes = self.plan(data)
+            centres, triples, nodes, classes = self.plan(data, cached=True)
             assert tuple(classes) == inv.classes
             code = tree_code(nodes, classes)
             res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False)

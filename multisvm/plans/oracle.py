@@ -27,13 +27,35 @@ def _in_fraction(salt_sql: str, key_sql: str, fraction: float) -> str:
     return f"substr(md5(concat({salt_sql}, ':', CAST({key_sql} AS VARCHAR))), 1, 8) < '{bound}'"
 
 
-def base_ctes() -> list[str]:
-    split = _in_fraction(f"'{Q.SEED}'", "vec_id", Q.TRAIN_FRACTION)
+def _embeddings_src(split: str) -> list[str]:
+    return [f"""src AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS f,
+         CASE WHEN {split.format(key='vec_id')} THEN 'train' ELSE 'test' END AS split
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"""]
+
+
+def _lineitem_src(split: str) -> list[str]:
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    maxes = ", ".join(f"max(abs(CAST({c} AS DOUBLE))) AS m{i}" for i, c in enumerate(cols))
+    feats = ", ".join(f"CAST({c} AS DOUBLE) / CASE WHEN s.m{i} IS NULL OR s.m{i} = 0 THEN 1.0 ELSE s.m{i} END"
+                      for i, c in enumerate(cols))
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in ["l_returnflag"] + cols)
+    key = "concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
     return [
+        f"scale AS (SELECT {maxes} FROM lineitem)",
         f"""src AS (
-  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS f,
-         CASE WHEN {split} THEN 'train' ELSE 'test' END AS split
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)""",
+  SELECT {key} AS id,
+         CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS label,
+         [{feats}] AS f,
+         CASE WHEN {split.format(key=key)} THEN 'train' ELSE 'test' END AS split
+  FROM lineitem CROSS JOIN scale s WHERE {complete})""",
+    ]
+
+
+def base_ctes(table: str = "embeddings") -> list[str]:
+    split = _in_fraction(f"'{Q.SEED}'", "{key}", Q.TRAIN_FRACTION)
+    src = {"embeddings": _embeddings_src, "lineitem": _lineitem_src}[table](split)
+    return src + [
         "train AS (SELECT id, label, f FROM src WHERE split = 'train')",
         """cls AS (
   SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS class_index, count(*) AS n_rows
@@ -259,10 +281,10 @@ def sql(ctes: list[str], body: str, recursive: bool = False) -> str:
     return head + ",\n".join(ctes) + "\n" + body
 
 
-def _scheme(scheme: str) -> tuple[list[str], list[str]]:
+def _scheme(scheme: str, table: str = "embeddings") -> tuple[list[str], list[str]]:
     code = {"ova": ova_code(), "ovo": ovo_code(), "tree": tree_ctes()}[scheme]
     pred = {"ova": ova_predict(), "ovo": ovo_predict(), "tree": tree_predict()}[scheme]
-    return base_ctes() + code + train_ctes(Q.PARAMS[scheme]), pred
+    return base_ctes(table) + code + train_ctes(Q.PARAMS[scheme]), pred
 
 
 def _weights_body(extra_select: str = "", extra_join: str = "") -> str:
@@ -343,6 +365,13 @@ GROUP BY c.problem, j""")
        CAST(neg_child AS INTEGER) AS neg_child, CAST(pos_label AS INTEGER) AS pos_label,
        CAST(neg_label AS INTEGER) AS neg_label, CAST(len(pos) AS INTEGER) AS n_pos, CAST(len(neg) AS INTEGER) AS n_neg
 FROM nodes""", recursive=True)
+    out["confusion_matrix"] = out["ova_confusion_matrix"]
+    out["metrics_by_label"] = out["ova_metrics_by_label"]
+    out["metrics_summary"] = out["ova_metrics_summary"]
+    li, li_pred = _scheme("ova", "lineitem")
+    out["lineitem_train_ova"] = sql(li, _weights_body(", c.label", " JOIN cls c ON c.class_index = m.problem"),
+                                    recursive=True)
+    out["lineitem_ova_metrics_summary"] = sql(li + li_pred, SUMMARY, recursive=True)
     out["load_libsvm"] = roundtrip_sql()
     out["load_labeled_csv"] = roundtrip_sql()
     return out

@@ -46,3 +46,53 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's ``embeddings`` table as a labelled frame."""
     return labelled(read_table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+
+
+# Largest number of distinct string labels mapped to class indices.
+MAX_LABELS = 100_000
+
+
+def from_columns(df: DataFrame, feature_cols: list[str], label_col: str, id_cols: list[str],
+                 scale: str | None = "maxabs") -> DataFrame:
+    """Numeric columns -> labelled frame.
+
+    * string labels become their index among the sorted distinct values (the
+      distinct list is checked against ``MAX_LABELS`` before it is collected);
+    * one id column is kept as is; several become ``concat_ws(':', ...)`` so
+      the hash split sees the same key text in every engine (rows with equal
+      keys fall on the same side);
+    * ``scale="maxabs"`` divides each feature by its largest absolute value
+      over the table (one aggregate), the way LibSVM ``.scale`` inputs are
+      prepared.
+    """
+    from pyspark.sql.types import StringType
+
+    label = F.col(label_col)
+    if isinstance(df.schema[label_col].dataType, StringType):
+        distinct = df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
+        n = distinct.count()
+        if n > MAX_LABELS:
+            raise ValueError(f"{n} distinct labels in {label_col}; more than {MAX_LABELS}")
+        values = sorted(r[0] for r in distinct.collect())
+        label = F.array_position(F.array(*[F.lit(v) for v in values]), label) - 1
+    feats = [F.col(c).cast("double") for c in feature_cols]
+    if scale == "maxabs":
+        row = df.agg(*[F.max(F.abs(F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(feature_cols)]).first()
+        feats = [f / F.lit(float(m) if m else 1.0) for f, m in zip(feats, row)]
+    elif scale is not None:
+        raise ValueError(f"unknown scale {scale!r}")
+    rid = F.col(id_cols[0]) if len(id_cols) == 1 else F.concat_ws(":", *[F.col(c) for c in id_cols])
+    complete = F.col(label_col).isNotNull()
+    for c in feature_cols:
+        complete = complete & F.col(c).isNotNull()
+    return df.where(complete).select(
+        rid.alias(ID), label.cast("int").alias(LABEL), F.array(*feats).alias(FEATURES))
+
+
+LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a labelled frame: 4 scaled numeric features, class = return flag."""
+    return from_columns(read_table(spark, sf_dir, "lineitem"), LINEITEM_FEATURES, "l_returnflag", LINEITEM_KEY)
