@@ -23,18 +23,6 @@ def argmax_label(margins: Column, classes: Sequence[int]) -> Column:
     return F.element_at(_int_array(classes), pos)
 
 
-def ovo_winners(margins: Column, pos_labels: Sequence[int], neg_labels: Sequence[int]) -> Column:
-    """Per pair, the class that wins it: margin >= 0 -> positive label."""
-    pos = _int_array(pos_labels)
-    neg = _int_array(neg_labels)
-    return F.transform(margins, lambda m, i: F.when(m >= 0.0, pos[i]).otherwise(neg[i]))
-
-
-def ovo_votes(winners: Column, classes: Sequence[int]) -> Column:
-    """Votes per class, in class order."""
-    return F.transform(_int_array(classes), lambda c: F.size(F.filter(winners, lambda w: w == c)))
-
-
 def vote_winner(votes: Column, classes: Sequence[int]) -> Column:
     """Class with most votes; ties go to the lowest label."""
     pos = F.array_position(votes, F.array_max(votes)).cast("int")

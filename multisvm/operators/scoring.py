@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from multisvm.operators.partials import features_matrix
 from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES
 
 MARGINS = "margins"
+VOTES = "votes"
 
 
 def _list_column(values: np.ndarray) -> pa.Array:
@@ -29,22 +30,44 @@ def _list_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values).ravel(), pa.float64()))
 
 
+def pair_votes(margins: np.ndarray, pos: np.ndarray, neg: np.ndarray, k: int) -> np.ndarray:
+    """n x k votes: pair j goes to class index ``pos[j]`` when its margin is
+    >= 0, else to ``neg[j]``. O(pairs) per row (a bincount, no K x P loop)."""
+    n = margins.shape[0]
+    winner = np.where(margins >= 0.0, pos[None, :], neg[None, :])
+    flat = (np.arange(n)[:, None] * k + winner).ravel()
+    return np.bincount(flat, minlength=n * k).reshape(n, k).astype(np.int32)
+
+
 def with_margins(df: DataFrame, weights: np.ndarray, keep: Sequence[str], features: str = FEATURES,
-                 out: str = MARGINS) -> DataFrame:
-    """``keep`` columns plus ``out`` = array of w_p . x for every problem p."""
+                 out: str = MARGINS, pairs: tuple[Sequence[int], Sequence[int], int] | None = None) -> DataFrame:
+    """``keep`` columns plus ``out`` = array of w_p . x for every problem p.
+
+    With ``pairs = (pos_index, neg_index, k)`` the kernel also emits ``votes``,
+    the one-vs-one vote count of each of the k classes.
+    """
     ship_package(df.sparkSession)
     w_t = np.ascontiguousarray(np.asarray(weights, dtype=np.float64).T)
     dim = w_t.shape[0]
     keep = list(keep)
-    schema = StructType([df.schema[c] for c in keep] + [StructField(out, ArrayType(DoubleType(), True), True)])
+    fields = [df.schema[c] for c in keep] + [StructField(out, ArrayType(DoubleType(), True), True)]
+    if pairs is not None:
+        pos, neg, k = np.asarray(pairs[0], dtype=np.int64), np.asarray(pairs[1], dtype=np.int64), int(pairs[2])
+        fields.append(StructField(VOTES, ArrayType(IntegerType(), True), True))
+    schema = StructType(fields)
     arrow_schema = to_arrow_schema(schema)
     margins_type = arrow_schema.field(out).type
+    votes_type = arrow_schema.field(VOTES).type if pairs is not None else None
 
     def kernel(batches):
         for batch in batches:
             x = features_matrix(batch.column(features), dim)
             m = x @ w_t if w_t.shape[1] else np.zeros((batch.num_rows, 0))
             cols = [batch.column(c) for c in keep] + [_list_column(m).cast(margins_type)]
+            if pairs is not None:
+                v = pair_votes(m, pos, neg, k)
+                offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * k, pa.int32())
+                cols.append(pa.ListArray.from_arrays(offsets, pa.array(v.ravel(), pa.int32())).cast(votes_type))
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
     return df.select(*keep, features).mapInArrow(kernel, schema)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from multisvm.functions.decode import argmax_label, ovo_votes, ovo_winners, tree_walk, vote_winner
+from multisvm.functions.decode import argmax_label, tree_walk, vote_winner
 from multisvm.operators.clustering import (
     CLUSTER, assign_clusters, class_cluster_counts, class_to_cluster, kmeans_fit,
 )
@@ -23,7 +23,7 @@ from multisvm.operators.coding import (
     class_pairs, collect_inventory, one_vs_all_code, one_vs_one_code, tree_code, tree_layout,
 )
 from multisvm.operators.metrics import PREDICTION
-from multisvm.operators.scoring import MARGINS, with_margins
+from multisvm.operators.scoring import MARGINS, VOTES, with_margins
 from multisvm.operators.trainer import FitResult, SGDParams, fit_coded, training_cache
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
@@ -52,32 +52,28 @@ class CodedModel:
         return self.weights.shape[0]
 
     def margins(self, df: DataFrame, keep=(ID, LABEL)) -> DataFrame:
-        return with_margins(df, self.weights, [c for c in keep])
+        """``keep`` + margins (+ per-class ``votes`` for one-vs-one)."""
+        pairs = None
+        if self.scheme == "ovo":
+            pairs = ([p for p, _ in self.pairs], [n for _, n in self.pairs], len(self.classes))
+        return with_margins(df, self.weights, [c for c in keep], pairs=pairs)
 
-    def decode(self, margins: Column) -> Column:
+    def decode(self) -> Column:
         if len(self.classes) == 1:
             return F.lit(int(self.classes[0]))
         if self.scheme == "ova":
-            return argmax_label(margins, self.classes)
+            return argmax_label(F.col(MARGINS), self.classes)
         if self.scheme == "ovo":
-            return vote_winner(self.votes(margins), self.classes)
+            return vote_winner(F.col(VOTES), self.classes)
         if self.scheme == "tree":
-            return tree_walk(margins, self.nodes)
+            return tree_walk(F.col(MARGINS), self.nodes)
         raise ValueError(self.scheme)
 
-    def winners(self, margins: Column) -> Column:
-        pos = [self.classes[p] for p, _ in self.pairs]
-        neg = [self.classes[n] for _, n in self.pairs]
-        return ovo_winners(margins, pos, neg)
-
-    def votes(self, margins: Column) -> Column:
-        return ovo_votes(self.winners(margins), self.classes)
-
     def transform(self, df: DataFrame, keep=None) -> DataFrame:
-        """``keep`` columns + margins + prediction (int)."""
+        """``keep`` columns + margins (+ votes) + prediction (int)."""
         keep = list(keep) if keep is not None else [c for c in df.columns if c != FEATURES]
         scored = self.margins(df, keep)
-        return scored.withColumn(PREDICTION, self.decode(F.col(MARGINS)).cast("int"))
+        return scored.withColumn(PREDICTION, self.decode().cast("int"))
 
 
 class _Trainer:

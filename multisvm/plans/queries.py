@@ -228,8 +228,7 @@ def _score_query(scheme):
 
 def q_ovo_votes(spark, sf_dir):
     m = fitted(spark, sf_dir, "ovo")
-    df = m.margins(labelled_split(spark, sf_dir), keep=[ID])
-    votes = df.select(ID, m.votes(F.col(MARGINS)).alias("votes"))
+    votes = m.margins(labelled_split(spark, sf_dir), keep=[ID])
     classes = F.array(*[F.lit(int(c)) for c in m.classes])
     return votes.select(ID, F.posexplode("votes").alias("pos", "votes")).select(
         ID, F.element_at(classes, F.col("pos") + 1).alias("class"), F.col("votes").cast("long").alias("votes"))
