@@ -56,8 +56,10 @@ def from_columns(df: DataFrame, feature_cols: list[str], label_col: str, id_cols
                  scale: str | None = "maxabs") -> DataFrame:
     """Numeric columns -> labelled frame.
 
-    * string labels become their index among the sorted distinct values (the
-      distinct list is checked against ``MAX_LABELS`` before it is collected);
+    * rows with a null label or feature are dropped;
+    * string labels become their index among the sorted distinct values of the
+      kept rows (the distinct list is checked against ``MAX_LABELS`` before it
+      is collected);
     * one id column is kept as is; several become ``concat_ws(':', ...)`` so
       the hash split sees the same key text in every engine (rows with equal
       keys fall on the same side);
@@ -67,9 +69,12 @@ def from_columns(df: DataFrame, feature_cols: list[str], label_col: str, id_cols
     """
     from pyspark.sql.types import StringType
 
+    complete = F.col(label_col).isNotNull()
+    for c in feature_cols:
+        complete = complete & F.col(c).isNotNull()
     label = F.col(label_col)
     if isinstance(df.schema[label_col].dataType, StringType):
-        distinct = df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
+        distinct = df.where(complete).select(label_col).distinct()
         n = distinct.count()
         if n > MAX_LABELS:
             raise ValueError(f"{n} distinct labels in {label_col}; more than {MAX_LABELS}")
@@ -82,9 +87,6 @@ def from_columns(df: DataFrame, feature_cols: list[str], label_col: str, id_cols
     elif scale is not None:
         raise ValueError(f"unknown scale {scale!r}")
     rid = F.col(id_cols[0]) if len(id_cols) == 1 else F.concat_ws(":", *[F.col(c) for c in id_cols])
-    complete = F.col(label_col).isNotNull()
-    for c in feature_cols:
-        complete = complete & F.col(c).isNotNull()
     return df.where(complete).select(
         rid.alias(ID), label.cast("int").alias(LABEL), F.array(*feats).alias(FEATURES))
 

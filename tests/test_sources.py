@@ -51,3 +51,25 @@ def test_fraction_threshold():
     assert fraction_threshold(0.5) == "80000000"
     assert fraction_threshold(0.25) == "40000000"
     assert fraction_threshold(1.0) is None
+
+
+def test_from_columns_indexes_string_labels_scales_and_keys(spark):
+    from multisvm.sources import from_columns
+
+    df = spark.createDataFrame(
+        [(1, 1, "R", 10.0, -0.5), (1, 2, "A", -20.0, 0.25), (2, 1, "N", 5.0, None), (3, 1, "A", 0.0, 0.0)],
+        "k1 long, k2 int, flag string, a double, b double")
+    out = {r.id: r for r in from_columns(df, ["a", "b"], "flag", ["k1", "k2"]).collect()}
+    assert sorted(out) == ["1:1", "1:2", "3:1"]  # the row with a null feature is dropped
+    assert out["1:1"].label == 1 and out["1:2"].label == 0  # A=0, R=1 (N only on the dropped row)
+    assert out["1:1"].features == [0.5, -1.0] and out["1:2"].features == [-1.0, 0.5]
+
+
+def test_lineitem_loader(spark):
+    from multisvm.sources import lineitem
+
+    df = lineitem(spark, SF_SMALL)
+    row = df.agg(F.count("*").alias("n"), F.max(F.array_max("features")).alias("mx"),
+                 F.countDistinct("label").alias("k")).first()
+    assert row.n == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert row.mx <= 1.0 and row.k == 3

@@ -78,3 +78,26 @@ def test_empty_batch_skips_update(spark):
     df = frame(spark, [(i, i % 2, [1.0, float(i)]) for i in range(4)])
     res = fit_coded(df, one_vs_all_code(2), [0, 1], 2, SGDParams(iterations=3, step=1.0, fraction=1e-9))
     assert (res.weights == 0).all() and (res.iterations == 0).all()
+
+
+def test_spark_side_reduction_equals_driver_sum(train, monkeypatch):
+    """Above the driver bound the partials are summed by Spark; same weights."""
+    import multisvm.operators.partials as partials
+
+    inv = collect_inventory(train)
+    code = one_vs_all_code(inv.k)
+    p = SGDParams(iterations=4, step=40.0, reg=0.01, fraction=0.5, seed=9)
+    data = train.repartition(3)
+    a = fit_coded(data, code, inv.classes, inv.dim, p).weights
+    monkeypatch.setattr(partials, "DRIVER_SUM_LIMIT", 0)
+    monkeypatch.setattr(partials.reduce_partials, "__defaults__", (0,))
+    b = fit_coded(data, code, inv.classes, inv.dim, p).weights
+    assert np.abs(a - b).max() < 1e-12
+
+
+def test_model_size_bound():
+    from multisvm.operators.trainer import check_model_size
+
+    check_model_size(45, 784)
+    with pytest.raises(ValueError):
+        check_model_size(500_000, 784)
