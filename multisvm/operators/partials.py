@@ -4,8 +4,8 @@ The numpy kernels (gradient, k-means) emit at most one ``(k, n, g)`` row per
 key per partition. Reducing them is the only data that reaches the driver in
 an iteration; its size is checked: below ``DRIVER_SUM_LIMIT`` values the
 partials are collected and added on the driver (one stage, like the last level
-of a tree aggregate), above it Spark sums them by ``(key, position)`` in a
-shuffle and only the K x D totals come back.
+of a tree aggregate); above it a second, Spark-side level first sums groups of
+partitions, so the driver never receives more than the limit.
 """
 
 from __future__ import annotations
@@ -55,29 +55,47 @@ def partial_batch(keys, counts, sums: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def sum_kernel(n_keys: int, dim: int):
+    """Arrow-batch function: add up the partial rows of a partition by key."""
+
+    def kernel(batches):
+        sums = np.zeros((n_keys, dim))
+        counts = np.zeros(n_keys, dtype=np.int64)
+        seen = np.zeros(n_keys, dtype=bool)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            k = batch.column("k").to_numpy()
+            np.add.at(sums, k, features_matrix(batch.column("g"), dim))
+            np.add.at(counts, k, batch.column("n").to_numpy())
+            seen[k] = True
+        keys = np.flatnonzero(seen)
+        if len(keys):
+            yield partial_batch(keys, counts[keys], sums[keys])
+
+    return kernel
+
+
 def reduce_partials(parts: DataFrame, n_keys: int, dim: int, n_partitions: int,
-                    driver_limit: int = DRIVER_SUM_LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Sum partial rows by key -> (sums n_keys x dim, counts n_keys)."""
+                    driver_limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sum partial rows by key -> (sums n_keys x dim, counts n_keys).
+
+    When ``n_partitions x n_keys x dim`` fits under the limit the partials go
+    straight to the driver. Otherwise a second level runs on Spark: the partial
+    rows are dealt round-robin into ``m`` groups, each group is summed by a
+    vectorized kernel, and only ``m x n_keys x dim`` values (within the limit)
+    come back -- a two-level tree reduction with exact float64 adds.
+    """
+    limit = DRIVER_SUM_LIMIT if driver_limit is None else driver_limit
+    width = n_keys * max(dim, 1)
+    if n_partitions * width > limit:
+        groups = max(1, min(n_partitions, limit // width))
+        parts = parts.repartition(groups).mapInArrow(sum_kernel(n_keys, dim), PARTIAL_SCHEMA)
     sums = np.zeros((n_keys, dim))
     counts = np.zeros(n_keys, dtype=np.int64)
-    if n_partitions * n_keys * max(dim, 1) <= driver_limit:
-        tbl = parts.toArrow()
-        if tbl.num_rows:
-            k = tbl.column("k").to_numpy()
-            n = tbl.column("n").to_numpy()
-            g = features_matrix(tbl.column("g"), dim)
-            np.add.at(sums, k, g)
-            np.add.at(counts, k, n)
-        return sums, counts
-    totals = (
-        parts.select("k", "n", F.posexplode("g").alias("j", "v"))
-        .groupBy("k", "j")
-        .agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-        .toArrow()
-    )
-    if totals.num_rows:
-        k = totals.column("k").to_numpy()
-        j = totals.column("j").to_numpy()
-        sums[k, j] = totals.column("v").to_numpy()
-        counts[k] = totals.column("n").to_numpy()
+    tbl = parts.toArrow()
+    if tbl.num_rows:
+        k = tbl.column("k").to_numpy()
+        np.add.at(sums, k, features_matrix(tbl.column("g"), dim))
+        np.add.at(counts, k, tbl.column("n").to_numpy())
     return sums, counts

@@ -80,17 +80,17 @@ def test_empty_batch_skips_update(spark):
     assert (res.weights == 0).all() and (res.iterations == 0).all()
 
 
-def test_spark_side_reduction_equals_driver_sum(train, monkeypatch):
-    """Above the driver bound the partials are summed by Spark; same weights."""
+@pytest.mark.parametrize("groups", [1, 2])
+def test_spark_side_reduction_equals_driver_sum(train, monkeypatch, groups):
+    """Above the driver bound a Spark-side level sums groups of partitions first."""
     import multisvm.operators.partials as partials
 
     inv = collect_inventory(train)
     code = one_vs_all_code(inv.k)
     p = SGDParams(iterations=4, step=40.0, reg=0.01, fraction=0.5, seed=9)
-    data = train.repartition(3)
+    data = train.repartition(5)
     a = fit_coded(data, code, inv.classes, inv.dim, p).weights
-    monkeypatch.setattr(partials, "DRIVER_SUM_LIMIT", 0)
-    monkeypatch.setattr(partials.reduce_partials, "__defaults__", (0,))
+    monkeypatch.setattr(partials, "DRIVER_SUM_LIMIT", groups * inv.k * inv.dim)
     b = fit_coded(data, code, inv.classes, inv.dim, p).weights
     assert np.abs(a - b).max() < 1e-12
 
