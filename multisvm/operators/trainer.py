@@ -95,15 +95,28 @@ class FitResult:
 def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights: np.ndarray, keys: np.ndarray, dim: int):
     """Arrow-batch function: partial hinge sub-gradients for problems ``keys``.
 
-    ``code`` is K x P (all problems), ``weights`` is len(keys) x D.
+    ``code`` is K x P (all problems), ``weights`` is len(keys) x D. With a
+    dense code (one-vs-all) each batch is one ``X @ W.T``. With zeros in the
+    code (one-vs-one, tree) rows are grouped by class and each group is
+    multiplied only by the columns of the problems that class takes part in:
+    K-1 of K(K-1)/2 for one-vs-one, the nodes on its path for the tree.
     """
     classes = np.asarray(classes, dtype=np.int64)
     sub = np.ascontiguousarray(code[:, keys], dtype=np.float64)
     w_t = np.ascontiguousarray(weights.T)
+    n_keys, k = len(keys), len(classes)
+    dense = bool(np.all(sub != 0))
+    cols_of = [np.flatnonzero(sub[c]) for c in range(k)]
+    w_of = [np.ascontiguousarray(w_t[:, cols]) for cols in cols_of]
+    y_of = [sub[c, cols] for c, cols in enumerate(cols_of)]
+
+    def class_index(labels: np.ndarray) -> np.ndarray:
+        pos = np.clip(np.searchsorted(classes, labels), 0, k - 1)
+        return np.where(classes[pos] == labels, pos, -1)
 
     def kernel(batches):
-        grad = np.zeros((len(keys), dim))
-        used = np.zeros(len(keys), dtype=np.int64)
+        grad = np.zeros((n_keys, dim))
+        used = np.zeros(n_keys, dtype=np.int64)
         seen = False
         for batch in batches:
             if batch.num_rows == 0:
@@ -111,13 +124,25 @@ def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights: np.ndarray,
             seen = True
             labels = batch.column(LABEL).to_numpy(zero_copy_only=False).astype(np.int64)
             x = features_matrix(batch.column(FEATURES), dim)
-            pos = np.searchsorted(classes, labels)
-            pos = np.clip(pos, 0, len(classes) - 1)
-            y = np.where((classes[pos] == labels)[:, None], sub[pos], 0.0)
-            margins = x @ w_t
-            active = np.where(y * margins < 1.0, y, 0.0)
-            grad -= active.T @ x
-            used += np.count_nonzero(y, axis=0)
+            idx = class_index(labels)
+            if dense:
+                y = np.where((idx >= 0)[:, None], sub[np.maximum(idx, 0)], 0.0)
+                active = np.where(y * (x @ w_t) < 1.0, y, 0.0)
+                grad -= active.T @ x
+                used += np.count_nonzero(y, axis=0)
+                continue
+            order = np.argsort(idx, kind="stable")
+            bounds = np.searchsorted(idx[order], np.arange(k + 1))
+            for c in range(k):
+                lo, hi = bounds[c], bounds[c + 1]
+                cols = cols_of[c]
+                if hi == lo or len(cols) == 0:
+                    continue
+                rows = x[order[lo:hi]]
+                y = y_of[c]
+                active = np.where(y[None, :] * (rows @ w_of[c]) < 1.0, y[None, :], 0.0)
+                grad[cols] -= active.T @ rows
+                used[cols] += hi - lo
         if seen:
             yield partial_batch(keys, used, grad)
 

@@ -101,3 +101,29 @@ def test_model_size_bound():
     check_model_size(45, 784)
     with pytest.raises(ValueError):
         check_model_size(500_000, 784)
+
+
+def test_sparse_code_kernel_equals_dense_product(spark, train):
+    """Grouped-by-class kernel (one-vs-one code) equals the plain all-columns product."""
+    import pyarrow as pa
+
+    from multisvm.operators.coding import one_vs_one_code
+    from multisvm.operators.trainer import gradient_kernel
+
+    pdf = train.toPandas()
+    classes = np.array(sorted(set(pdf.label)))
+    x = np.stack(pdf.features.values).astype(np.float64)
+    code = one_vs_one_code(len(classes))
+    rng = np.random.default_rng(1)
+    keys = np.arange(0, code.shape[1], 2)
+    w = rng.normal(0, 3, (len(keys), x.shape[1]))
+    batch = pa.RecordBatch.from_pydict({
+        "label": pa.array(pdf.label.values, pa.int32()),
+        "features": pa.array([list(r) for r in pdf.features.values], pa.list_(pa.float32())),
+    })
+    out = next(gradient_kernel(classes, code, w, keys, x.shape[1])([batch]))
+    got = np.stack(out.column("g").to_numpy(zero_copy_only=False))
+    y = code[np.searchsorted(classes, pdf.label.values)][:, keys]
+    act = np.where(y * (x @ w.T) < 1.0, y, 0.0)
+    assert np.array_equal(got, -(act.T @ x))
+    assert out.column("n").to_pylist() == list(np.count_nonzero(y, axis=0))
