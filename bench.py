@@ -7,7 +7,8 @@ test metrics by label plus the train/test accuracy (all results collected).
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_YARDSTICK=0 to skip timing one problem with Spark's SVMWithSGD (the
-reference trains every binary problem that way, one after another).
+reference trains every binary problem that way, one after another),
+BENCH_EVENT_LOG_DIR to write Spark's event log (stage and task times) there.
 Prints one JSON line.
 """
 
@@ -26,12 +27,16 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     yardstick = os.environ.get("BENCH_YARDSTICK", "1") != "0"
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")  # optional: Spark event log for stage/task times
 
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    builder = SparkSession.builder
+    if event_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("multisvm-bench")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

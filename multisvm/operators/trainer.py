@@ -55,13 +55,16 @@ def check_model_size(problems: int, dim: int) -> None:
 MIN_ROWS_PER_PARTITION = 16_384
 
 
-def training_cache(df: DataFrame, n_rows: int) -> DataFrame:
+def training_cache(df: DataFrame, n_rows: int,
+                   storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist the training rows with a partition count fit for iterating.
 
     Each iteration runs one task per partition. An input with fewer partitions
     than the cluster has cores, but enough rows, is spread out once
     (round-robin) before caching; an input with many tiny partitions is merged
-    without a shuffle. Large inputs keep their file splits.
+    without a shuffle. Large inputs keep their file splits. Lost cached
+    blocks are recomputed from the (short, fixed) source lineage; pass
+    ``StorageLevel.DISK_ONLY`` when the training rows exceed cluster memory.
     """
     spark = df.sparkSession
     cores = max(1, spark.sparkContext.defaultParallelism)
@@ -71,7 +74,7 @@ def training_cache(df: DataFrame, n_rows: int) -> DataFrame:
         df = df.repartition(wanted)
     elif n_rows < current * MIN_ROWS_PER_PARTITION and current > wanted:
         df = df.coalesce(wanted)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.persist(storage_level)
 
 
 @dataclass(frozen=True)

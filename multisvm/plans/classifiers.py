@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,15 +81,16 @@ class _Trainer:
     scheme = ""
     defaults = SGDParams()
 
-    def __init__(self, params: SGDParams | None = None, **overrides):
+    def __init__(self, params: SGDParams | None = None, storage_level: StorageLevel | None = None, **overrides):
         base = params or self.defaults
         self.params = SGDParams(**{**base.__dict__, **overrides})
+        self.storage_level = storage_level or StorageLevel.MEMORY_AND_DISK
 
     def _prepare(self, df: DataFrame):
         """Class inventory (one pass), then the training cache laid out for iterating."""
         rows = df.select(ID, LABEL, FEATURES)
         inv = collect_inventory(rows)
-        return training_cache(rows, sum(inv.counts)), inv
+        return training_cache(rows, sum(inv.counts), self.storage_level), inv
 
 
 class OneVsAll(_Trainer):
@@ -131,8 +133,9 @@ class ClusterTree(_Trainer):
     defaults = TREE_DEFAULTS
 
     def __init__(self, params: SGDParams | None = None, kmeans_init: str = "first_last",
-                 kmeans_iterations: int | None = None, kmeans_tol: float = 1e-4, **overrides):
-        super().__init__(params, **overrides)
+                 kmeans_iterations: int | None = None, kmeans_tol: float = 1e-4,
+                 storage_level: StorageLevel | None = None, **overrides):
+        super().__init__(params, storage_level, **overrides)
         self.kmeans_init = kmeans_init
         self.kmeans_iterations = kmeans_iterations
         self.kmeans_tol = kmeans_tol
