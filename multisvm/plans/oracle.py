@@ -202,12 +202,15 @@ def train_ctes(p: SGDParams) -> list[str]:
 
 
 def ova_predict() -> list[str]:
+    """Row-wise: the row's margins as a list, first maximum wins (lowest class).
+    No grouping by id, so tables with repeated keys keep every row."""
     return ["""pred AS (
-  SELECT id, label, split, prediction FROM (
-    SELECT m.id, m.label, m.split, c.label AS prediction,
-           row_number() OVER (PARTITION BY m.id ORDER BY m.margin DESC, c.class_index ASC) AS rk
-    FROM margins m JOIN cls c ON c.class_index = m.problem)
-  WHERE rk = 1)"""]
+  SELECT id, label, split,
+         (SELECT list(label ORDER BY class_index) FROM cls)[list_position(mm, list_max(mm))] AS prediction
+  FROM (
+    SELECT s.id, s.label, s.split,
+           list_transform((SELECT list(w ORDER BY problem) FROM model), lambda w: list_dot_product(s.f, w)) AS mm
+    FROM src s))"""]
 
 
 def ovo_predict() -> list[str]:
