@@ -127,12 +127,17 @@ class OneVsOne(_Trainer):
 
 class ClusterTree(_Trainer):
     """k-means (k = 2) groups the classes; a tree of K-1 SVMs separates the
-    groups, then halves each group's class list (ordered by cluster error)."""
+    groups, then halves each group's class list (ordered by cluster error).
+
+    ``kmeans_init``: 'k-means||' (default, Spark ML, seeded) or 'first_last'
+    (Lloyd from the lowest- and highest-id rows: reproducible in any engine).
+    k-means runs at most ``kmeans_iterations`` (default: the SVM iteration
+    count, as in the reference) iterations."""
 
     scheme = "tree"
     defaults = TREE_DEFAULTS
 
-    def __init__(self, params: SGDParams | None = None, kmeans_init: str = "first_last",
+    def __init__(self, params: SGDParams | None = None, kmeans_init: str = "k-means||",
                  kmeans_iterations: int | None = None, kmeans_tol: float = 1e-4,
                  storage_level: StorageLevel | None = None, **overrides):
         super().__init__(params, storage_level, **overrides)
