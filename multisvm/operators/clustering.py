@@ -21,21 +21,16 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from multisvm.operators.partials import PARTIAL_SCHEMA, features_matrix, partial_batch, reduce_partials
+from multisvm.operators.blocks import feature_block, squared_distances, t_product
+from multisvm.operators.partials import PARTIAL_SCHEMA, partial_batch, reduce_partials
 from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
 CLUSTER = "cluster"
 
 
-def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """n x k squared Euclidean distances, summed term by term (no norm trick,
-    so near-ties are decided the same way a plain SQL sum decides them)."""
-    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
-
-
 def lloyd_kernel(centres: np.ndarray):
     k, dim = centres.shape
 
@@ -47,9 +42,9 @@ def lloyd_kernel(centres: np.ndarray):
             if batch.num_rows == 0:
                 continue
             seen = True
-            x = features_matrix(batch.column(FEATURES), dim)
+            x = feature_block(batch.column(FEATURES), dim)
             nearest = np.argmin(squared_distances(x, centres), axis=1)
-            np.add.at(sums, nearest, x)
+            sums += t_product(np.eye(k)[nearest], x)
             counts += np.bincount(nearest, minlength=k)
         if seen:
             yield partial_batch(np.arange(k), counts, sums)
@@ -63,7 +58,11 @@ def first_last_centres(data: DataFrame) -> np.ndarray:
         F.min_by(FEATURES, ID).alias("lo"),
         F.max_by(FEATURES, ID).alias("hi"),
     ).first()
-    return np.array([row.lo, row.hi], dtype=np.float64)
+    return np.array([_dense(row.lo), _dense(row.hi)], dtype=np.float64)
+
+
+def _dense(v) -> np.ndarray:
+    return np.asarray(v.toArray() if hasattr(v, "toArray") else v, dtype=np.float64)
 
 
 def lloyd(data: DataFrame, centres: np.ndarray, max_iter: int, tol: float = 1e-4,
@@ -106,7 +105,10 @@ def kmeans_fit(data: DataFrame, k: int = 2, max_iter: int = 20, seed: int | None
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vec = data.select(array_to_vector(F.col(FEATURES).cast("array<double>")).alias("v"))
+    feat = F.col(FEATURES)
+    if isinstance(data.schema[FEATURES].dataType, ArrayType):
+        feat = array_to_vector(feat.cast("array<double>"))
+    vec = data.select(feat.alias("v"))
     est = KMeans(k=k, maxIter=max_iter, tol=tol, initMode=init, featuresCol="v")
     if seed is not None:
         est = est.setSeed(seed)
@@ -128,7 +130,7 @@ def assign_clusters(df: DataFrame, centres: np.ndarray, keep: Sequence[str]) ->
 
     def kernel(batches):
         for batch in batches:
-            x = features_matrix(batch.column(FEATURES), dim)
+            x = feature_block(batch.column(FEATURES), dim)
             d = squared_distances(x, centres) if len(x) else np.zeros((0, len(centres)))
             nearest = np.argmin(d, axis=1) if len(x) else np.zeros(0, dtype=np.int64)
             best = d[np.arange(len(x)), nearest] if len(x) else np.zeros(0)

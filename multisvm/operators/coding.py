@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from multisvm.sources.tables import FEATURES, LABEL
+from multisvm.sources.tables import FEATURES, LABEL, is_vector, vector_width
 
 # A code table above this many non-zero entries is joined without a broadcast hint.
 BROADCAST_MAX_ENTRIES = 2_000_000
@@ -54,24 +54,29 @@ def class_inventory(df: DataFrame) -> DataFrame:
 
 
 def collect_inventory(df: DataFrame) -> Inventory:
-    """K rows to the driver: classes, counts and the (fixed) feature width."""
-    rows = (
-        df.groupBy(LABEL)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.size(FEATURES)).alias("dmin"),
-            F.max(F.size(FEATURES)).alias("dmax"),
-        )
-        .orderBy(LABEL)
-        .collect()
-    )
+    """K rows to the driver: classes, counts and the (fixed) feature width.
+
+    Array features: width from ``size`` in the same aggregate. Vector
+    features: width from the column metadata, else from one row.
+    """
+    vector = is_vector(df)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if not vector:
+        aggs += [F.min(F.size(FEATURES)).alias("dmin"), F.max(F.size(FEATURES)).alias("dmax")]
+    rows = df.groupBy(LABEL).agg(*aggs).orderBy(LABEL).collect()
     if not rows:
         raise ValueError("no labelled rows")
-    dmin = min(r.dmin for r in rows)
-    dmax = max(r.dmax for r in rows)
-    if dmin != dmax:
-        raise ValueError(f"feature vectors differ in length ({dmin}..{dmax}); densify to a fixed width first")
-    return Inventory(tuple(int(r[LABEL]) for r in rows), tuple(int(r.n) for r in rows), int(dmax))
+    if vector:
+        dim = vector_width(df)
+        if dim is None:
+            first = df.select(FEATURES).first()[0]
+            dim = int(first.size)
+    else:
+        dmin = min(r.dmin for r in rows)
+        dim = max(r.dmax for r in rows)
+        if dmin != dim:
+            raise ValueError(f"feature vectors differ in length ({dmin}..{dim}); densify to a fixed width first")
+    return Inventory(tuple(int(r[LABEL]) for r in rows), tuple(int(r.n) for r in rows), int(dim))
 
 
 def one_vs_all_code(k: int) -> np.ndarray:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+
+from multisvm.operators.blocks import SparseRows, feature_block
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 # Largest number of partial values (partitions x keys x width) added on the driver.
@@ -30,15 +32,8 @@ _ARROW_PARTIAL = to_arrow_schema(PARTIAL_SCHEMA)
 
 def features_matrix(arr, dim: int) -> np.ndarray:
     """Arrow list column (fixed width ``dim``) -> float64 ``n x dim`` matrix."""
-    if isinstance(arr, pa.ChunkedArray):
-        arr = arr.combine_chunks()
-    n = len(arr)
-    if n == 0:
-        return np.zeros((0, dim))
-    flat = arr.flatten()
-    if len(flat) != n * dim:
-        raise ValueError(f"expected {dim} features per row")
-    return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, dim)
+    block = feature_block(arr, dim)
+    return block.toarray() if isinstance(block, SparseRows) else block
 
 
 def partial_batch(keys, counts, sums: np.ndarray) -> pa.RecordBatch:

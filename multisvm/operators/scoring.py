@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from multisvm.operators.partials import features_matrix
+from multisvm.operators.blocks import feature_block
 from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES
 
@@ -61,7 +61,7 @@ def with_margins(df: DataFrame, weights: np.ndarray, keep: Sequence[str], featur
 
     def kernel(batches):
         for batch in batches:
-            x = features_matrix(batch.column(features), dim)
+            x = feature_block(batch.column(features), dim)
             m = x @ w_t if w_t.shape[1] else np.zeros((batch.num_rows, 0))
             cols = [batch.column(c) for c in keep] + [_list_column(m).cast(margins_type)]
             if pairs is not None:

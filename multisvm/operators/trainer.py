@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from multisvm.functions.hashing import in_fraction
-from multisvm.operators.partials import PARTIAL_SCHEMA, features_matrix, partial_batch, reduce_partials
+from multisvm.operators.blocks import feature_block, t_product
+from multisvm.operators.partials import PARTIAL_SCHEMA, partial_batch, reduce_partials
 from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
@@ -126,12 +127,12 @@ def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights: np.ndarray,
                 continue
             seen = True
             labels = batch.column(LABEL).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = features_matrix(batch.column(FEATURES), dim)
+            x = feature_block(batch.column(FEATURES), dim)
             idx = class_index(labels)
             if dense:
                 y = np.where((idx >= 0)[:, None], sub[np.maximum(idx, 0)], 0.0)
                 active = np.where(y * (x @ w_t) < 1.0, y, 0.0)
-                grad -= active.T @ x
+                grad -= t_product(active, x)
                 used += np.count_nonzero(y, axis=0)
                 continue
             order = np.argsort(idx, kind="stable")
@@ -144,7 +145,7 @@ def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights: np.ndarray,
                 rows = x[order[lo:hi]]
                 y = y_of[c]
                 active = np.where(y[None, :] * (rows @ w_of[c]) < 1.0, y[None, :], 0.0)
-                grad[cols] -= active.T @ rows
+                grad[cols] -= t_product(active, rows)
                 used[cols] += hi - lo
         if seen:
             yield partial_batch(keys, used, grad)

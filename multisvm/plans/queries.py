@@ -31,7 +31,7 @@ from multisvm.session import scratch_path, ship_package
 from multisvm.sources.csv import read_labeled_csv, write_labeled_csv
 from multisvm.sources.libsvm import read_libsvm, write_libsvm
 from multisvm.sources.split import SPLIT, with_split
-from multisvm.sources.tables import FEATURES, ID, LABEL, embeddings, lineitem
+from multisvm.sources.tables import FEATURES, ID, LABEL, dense_array, embeddings, lineitem
 
 # Fixed parameters of the registered queries.
 SEED = 42
@@ -95,7 +95,7 @@ def q_train_test_split(spark, sf_dir):
 
 
 def _roundtrip_summary(df: DataFrame) -> DataFrame:
-    vals = F.explode(F.col(FEATURES).cast("array<double>"))
+    vals = F.explode(dense_array(df))
     per_row = df.select(LABEL, vals.alias("v"))
     return per_row.groupBy(LABEL).agg(
         F.count(F.lit(1)).alias("n_values"),

@@ -18,23 +18,40 @@ def labelled(df: DataFrame, id_col: str | None = "id", label_col: str = "label",
              features_col: str = "features") -> DataFrame:
     """Project any table onto the labelled schema.
 
-    Vector columns (libsvm) are densified JVM-side with ``vector_to_array``.
-    Without an id column, ``monotonically_increasing_id`` gives one that is
-    stable for a fixed file layout (needed by the hash split).
+    ``features`` stays as it is: an array (dense) or an ML vector column
+    (LibSVM; sparse rows are multiplied sparse in the kernels, never
+    densified). Without an id column, ``monotonically_increasing_id`` gives one
+    that is stable for a fixed file layout (needed by the hash split).
     """
-    feat = F.col(features_col)
-    if not isinstance(df.schema[features_col].dataType, ArrayType):
-        from pyspark.ml.functions import vector_to_array
-
-        feat = vector_to_array(feat, "float64")
     rid = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
     return df.select(
         rid.alias(ID),
         F.col(label_col).cast("int").alias(LABEL),
-        feat.alias(FEATURES),
+        F.col(features_col).alias(FEATURES),
     ).where(F.col(LABEL).isNotNull() & F.col(FEATURES).isNotNull())
 
 
+def is_vector(df: DataFrame, col: str = FEATURES) -> bool:
+    return not isinstance(df.schema[col].dataType, ArrayType)
+
+
+def vector_width(df: DataFrame, col: str = FEATURES) -> int | None:
+    """Width of an ML vector column from its metadata (the LibSVM source and
+    ML transformers record it), or None."""
+    meta = df.schema[col].metadata or {}
+    width = meta.get("numFeatures") or (meta.get("ml_attr") or {}).get("num_attrs")
+    return int(width) if width else None
+
+
+def dense_array(df: DataFrame, col: str = FEATURES):
+    """Column expression: the features as ``array<double>`` (vectors densified JVM-side)."""
+    if is_vector(df, col):
+        from pyspark.ml.functions import vector_to_array
+
+        return vector_to_array(F.col(col), "float64")
+    return F.col(col).cast("array<double>")
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 

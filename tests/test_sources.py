@@ -19,8 +19,8 @@ def test_libsvm_tiny_honours_num_features(spark):
     df = read_libsvm(spark, path, num_features=6)
     rows = df.orderBy("id").collect()
     assert len(rows) == 5
-    assert all(len(r.features) == 6 for r in rows)
-    assert rows[0].features == [0.5, 0.0, 1.5, 0.0, 0.0, 0.0]
+    assert all(r.features.size == 6 for r in rows)
+    assert list(rows[0].features.toArray()) == [0.5, 0.0, 1.5, 0.0, 0.0, 0.0]
     assert [r.label for r in rows] == [0, 1, 2, 1, 0]
 
 
