@@ -39,6 +39,8 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--reg", type=float, default=None)
     p.add_argument("--batch-fraction", type=float, default=None)
     p.add_argument("--kmeans-init", default="k-means||", choices=["k-means||", "random", "first_last"])
+    p.add_argument("--checkpoint", choices=["auto", "yes", "no"], default="auto",
+                   help="checkpoint parsed training rows to spark.checkpoint.dir (auto: for libsvm/csv)")
     p.add_argument("--master", default=None, help="only when not launched by spark-submit")
     p.add_argument("--json", action="store_true")
     return p
@@ -86,6 +88,7 @@ def main(argv=None) -> dict:
     overrides = {k: v for k, v in {"iterations": args.iterations, "step": args.step, "reg": args.reg,
                                    "fraction": args.batch_fraction, "seed": args.seed}.items() if v is not None}
     kw = {"kmeans_init": args.kmeans_init} if args.scheme == "tree" else {}
+    kw["checkpoint"] = args.checkpoint == "yes" or (args.checkpoint == "auto" and args.format != "parquet")
     model = trainer_for(args.scheme, None, **kw, **overrides).fit(data.where(F.col(SPLIT) == "train"))
     t_test = time.perf_counter()
     scored = model.transform(data, keep=["id", "label", SPLIT]).cache()

@@ -57,7 +57,8 @@ MIN_ROWS_PER_PARTITION = 16_384
 
 
 def training_cache(df: DataFrame, n_rows: int,
-                   storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+                   storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+                   checkpoint: bool = False) -> DataFrame:
     """Persist the training rows with a partition count fit for iterating.
 
     Each iteration runs one task per partition. An input with fewer partitions
@@ -66,6 +67,9 @@ def training_cache(df: DataFrame, n_rows: int,
     without a shuffle. Large inputs keep their file splits. Lost cached
     blocks are recomputed from the (short, fixed) source lineage; pass
     ``StorageLevel.DISK_ONLY`` when the training rows exceed cluster memory.
+    ``checkpoint=True`` first writes the rows to ``spark.checkpoint.dir``
+    (reliable checkpoint): lost blocks are then re-read from there instead of
+    re-parsing an expensive source such as LibSVM or CSV text.
     """
     spark = df.sparkSession
     cores = max(1, spark.sparkContext.defaultParallelism)
@@ -75,6 +79,11 @@ def training_cache(df: DataFrame, n_rows: int,
         df = df.repartition(wanted)
     elif n_rows < current * MIN_ROWS_PER_PARTITION and current > wanted:
         df = df.coalesce(wanted)
+    if checkpoint:
+        from multisvm.session import checkpoint_dir
+
+        checkpoint_dir(spark)  # the cluster's setting; a local folder only when unset
+        df = df.checkpoint(eager=True)
     return df.persist(storage_level)
 
 

@@ -81,16 +81,18 @@ class _Trainer:
     scheme = ""
     defaults = SGDParams()
 
-    def __init__(self, params: SGDParams | None = None, storage_level: StorageLevel | None = None, **overrides):
+    def __init__(self, params: SGDParams | None = None, storage_level: StorageLevel | None = None,
+                 checkpoint: bool = False, **overrides):
         base = params or self.defaults
         self.params = SGDParams(**{**base.__dict__, **overrides})
         self.storage_level = storage_level or StorageLevel.MEMORY_AND_DISK
+        self.checkpoint = checkpoint
 
     def _prepare(self, df: DataFrame):
         """Class inventory (one pass), then the training cache laid out for iterating."""
         rows = df.select(ID, LABEL, FEATURES)
         inv = collect_inventory(rows)
-        return training_cache(rows, sum(inv.counts), self.storage_level), inv
+        return training_cache(rows, sum(inv.counts), self.storage_level, self.checkpoint), inv
 
 
 class OneVsAll(_Trainer):
@@ -139,8 +141,8 @@ class ClusterTree(_Trainer):
 
     def __init__(self, params: SGDParams | None = None, kmeans_init: str = "k-means||",
                  kmeans_iterations: int | None = None, kmeans_tol: float = 1e-4,
-                 storage_level: StorageLevel | None = None, **overrides):
-        super().__init__(params, storage_level, **overrides)
+                 storage_level: StorageLevel | None = None, checkpoint: bool = False, **overrides):
+        super().__init__(params, storage_level, checkpoint, **overrides)
         self.kmeans_init = kmeans_init
         self.kmeans_iterations = kmeans_iterations
         self.kmeans_tol = kmeans_tol

@@ -18,3 +18,16 @@ def test_cli_runs_each_program_on_libsvm(spark, capsys):
         out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
         assert out["rows"] == 120 and report["test_accuracy"] == 1.0
         assert [r["label"] for r in out["by_label"]] == [0, 1, 2]
+
+
+def test_cli_separate_test_file_and_checkpoint(spark, capsys):
+    d = tempfile.mkdtemp(prefix="multisvm-cli2-")
+    for name, offset in (("train.csv", 0), ("test.csv", 1)):
+        with open(os.path.join(d, name), "w") as f:
+            for i in range(60):
+                c = i % 2
+                f.write(f" {(-1.0 if c else 1.0) + 0.01 * ((i + offset) % 5)} , 1.0 , {c}\n")
+    report = main(["ova", "--input", os.path.join(d, "train.csv"), "--test-input", os.path.join(d, "test.csv"),
+                   "--format", "csv", "--num-features", "2", "--iterations", "15", "--step", "1.0",
+                   "--batch-fraction", "1.0", "--checkpoint", "yes", "--json"])
+    assert report["rows"] == 120 and report["test_accuracy"] == 1.0 and report["train_accuracy"] == 1.0
