@@ -127,3 +127,22 @@ def test_sparse_code_kernel_equals_dense_product(spark, train):
     act = np.where(y * (x @ w.T) < 1.0, y, 0.0)
     assert np.array_equal(got, -(act.T @ x))
     assert out.column("n").to_pylist() == list(np.count_nonzero(y, axis=0))
+
+
+def test_training_cache_layout(spark, monkeypatch):
+    import multisvm.operators.trainer as tr
+
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tr, "MIN_ROWS_PER_PARTITION", 10)
+    wide = spark.range(1000).coalesce(1)
+    spread = tr.training_cache(wide, 1000)
+    assert spread.rdd.getNumPartitions() == min(cores, 100)
+    spread.unpersist()
+    tiny = spark.range(30).repartition(12)
+    merged = tr.training_cache(tiny, 30)
+    assert merged.rdd.getNumPartitions() == 3
+    merged.unpersist()
+    big = spark.range(5000).repartition(4)
+    kept = tr.training_cache(big, 5000)
+    assert kept.rdd.getNumPartitions() == max(4, min(cores, 500)) or kept.rdd.getNumPartitions() == 4
+    kept.unpersist()
