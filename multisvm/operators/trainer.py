@@ -56,37 +56,64 @@ def check_model_size(problems: int, dim: int) -> None:
 MIN_ROWS_PER_PARTITION = 16_384
 
 
-def training_cache(df: DataFrame, n_rows: int,
-                   storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
-                   checkpoint: bool = False) -> DataFrame:
-    """Persist the training rows with a partition count fit for iterating.
-
-    Each iteration runs one task per partition. An input with fewer partitions
-    than the cluster has cores, but enough rows, is spread out once
-    (round-robin) before caching; an input with many tiny partitions is merged
-    without a shuffle. Large inputs keep their file splits. Lost cached
-    blocks are recomputed from the (short, fixed) source lineage; pass
-    ``StorageLevel.DISK_ONLY`` when the training rows exceed cluster memory.
+def wanted_partitions(current: int, n_rows: int, cores: int) -> int:
+    """Partition count fit for iterating: spread a too-narrow input with many
+    rows, merge tiny partitions, otherwise keep the file splits."""
+    wanted = max(1, min(cores, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)))
+    if current < wanted:
+        return wanted
+    if n_rows < current * MIN_ROWS_PER_PARTITION and current > wanted:
+        return wanted
+    return current
+
+
+def cache_rows(df: DataFrame, storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+               checkpoint: bool = False) -> DataFrame:
+    """Persist the training rows (lazily: the first action fills the cache).
+
+    Lost cached blocks are recomputed from the (short, fixed) source lineage;
+    pass ``StorageLevel.DISK_ONLY`` when the rows exceed cluster memory.
     ``checkpoint=True`` first writes the rows to ``spark.checkpoint.dir``
     (reliable checkpoint): lost blocks are then re-read from there instead of
     re-parsing an expensive source such as LibSVM or CSV text.
     """
-    spark = df.sparkSession
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    current = df.rdd.getNumPartitions()
-    wanted = max(1, min(cores, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)))
-    if current < wanted:
-        df = df.repartition(wanted)
-    elif n_rows < current * MIN_ROWS_PER_PARTITION and current > wanted:
-        df = df.coalesce(wanted)
     if checkpoint:
         from multisvm.session import checkpoint_dir
 
-        checkpoint_dir(spark)  # the cluster's setting; a local folder only when unset
+        checkpoint_dir(df.sparkSession)  # the cluster's setting; a local folder only when unset
         df = df.checkpoint(eager=True)
     return df.persist(storage_level)
 
 
+def relayout(cached: DataFrame, n_rows: int,
+             storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """Re-partition an already cached (and filled) training set if its layout
+    is unfit for iterating; the new cache is filled from the old one, then the
+    old one is released. Each iteration runs one task per partition."""
+    current = cached.rdd.getNumPartitions()
+    target = wanted_partitions(current, n_rows, cached.sparkSession.sparkContext.defaultParallelism)
+    if target == current:
+        return cached
+    moved = (cached.repartition(target) if target > current else cached.coalesce(target)).persist(storage_level)
+    moved.count()
+    cached.unpersist()
+    return moved
+
+
+def training_cache(df: DataFrame, n_rows: int,
+                   storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+                   checkpoint: bool = False) -> DataFrame:
+    """Cache rows whose count is already known, laid out for iterating."""
+    spark = df.sparkSession
+    target = wanted_partitions(df.rdd.getNumPartitions(), n_rows, spark.sparkContext.defaultParallelism)
+    current = df.rdd.getNumPartitions()
+    if target > current:
+        df = df.repartition(target)
+    elif target < current:
+        df = df.coalesce(target)
+    return cache_rows(df, storage_level, checkpoint)
+
+
 @dataclass(frozen=True)
 class SGDParams:
     iterations: int = 100

@@ -25,7 +25,7 @@ from multisvm.operators.coding import (
 )
 from multisvm.operators.metrics import PREDICTION
 from multisvm.operators.scoring import MARGINS, VOTES, with_margins
-from multisvm.operators.trainer import FitResult, SGDParams, fit_coded, training_cache
+from multisvm.operators.trainer import FitResult, SGDParams, cache_rows, fit_coded, relayout
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
 # Hyper-parameters of the three reference programs (iterations, step, reg, batch fraction).
@@ -89,10 +89,11 @@ class _Trainer:
         self.checkpoint = checkpoint
 
     def _prepare(self, df: DataFrame):
-        """Class inventory (one pass), then the training cache laid out for iterating."""
-        rows = df.select(ID, LABEL, FEATURES)
-        inv = collect_inventory(rows)
-        return training_cache(rows, sum(inv.counts), self.storage_level, self.checkpoint), inv
+        """Persist the rows; the class inventory is the action that fills the
+        cache (one read of the source), then re-lay out only if needed."""
+        cached = cache_rows(df.select(ID, LABEL, FEATURES), self.storage_level, self.checkpoint)
+        inv = collect_inventory(cached)
+        return relayout(cached, sum(inv.counts), self.storage_level), inv
 
 
 class OneVsAll(_Trainer):
