@@ -77,6 +77,9 @@ def main() -> None:
         extra[f"{name}_iterations"] = len(hist)
         extra[f"{name}_sec_per_iteration"] = round(sum(hist) / max(len(hist), 1), 4)
         extra[f"{name}_rows"] = int(summary.n_train + summary.n_test)
+        # rows entering the gradient kernel per second of iteration time (batch rows x iterations)
+        batch_rows = summary.n_train * min(1.0, params[scheme].fraction) * len(hist)
+        extra[f"{name}_batch_rows_per_sec"] = round(batch_rows / max(sum(hist), 1e-9), 1)
         extra[f"{name}_test_accuracy"] = summary.test_accuracy
         extra[f"{name}_train_accuracy"] = summary.train_accuracy
         extra[f"{name}_labels"] = len(by_label)
