@@ -56,13 +56,14 @@ def main() -> None:
     timings: dict[str, float] = {}
     extra: dict[str, object] = {}
 
-    def run(scheme: str, table: str = "embeddings") -> None:
-        name = scheme if table == "embeddings" else f"{scheme}_{table}"
+    def run(scheme: str, table: str = "embeddings", override=None, suffix: str = "") -> None:
+        name = (scheme if table == "embeddings" else f"{scheme}_{table}") + suffix
+        p = override or params[scheme]
         start = time.perf_counter()
         data = with_split({"embeddings": embeddings, "lineitem": lineitem}[table](spark, sf_dir))
         train = data.where(F.col(SPLIT) == "train").drop(SPLIT)
         kw = {"kmeans_init": "first_last"} if scheme == "tree" else {}
-        model = trainer_for(scheme, params[scheme], **kw).fit(train)
+        model = trainer_for(scheme, p, **kw).fit(train)
         trained = time.perf_counter()
         scored = model.transform(data, keep=["id", "label", SPLIT]).cache()
         by_label = metrics_by_label(confusion(scored.where(F.col(SPLIT) == "test"))).collect()
@@ -78,7 +79,7 @@ def main() -> None:
         extra[f"{name}_sec_per_iteration"] = round(sum(hist) / max(len(hist), 1), 4)
         extra[f"{name}_rows"] = int(summary.n_train + summary.n_test)
         # rows entering the gradient kernel per second of iteration time (batch rows x iterations)
-        batch_rows = summary.n_train * min(1.0, params[scheme].fraction) * len(hist)
+        batch_rows = summary.n_train * min(1.0, p.fraction) * len(hist)
         extra[f"{name}_batch_rows_per_sec"] = round(batch_rows / max(sum(hist), 1e-9), 1)
         extra[f"{name}_test_accuracy"] = summary.test_accuracy
         extra[f"{name}_train_accuracy"] = summary.train_accuracy

@@ -38,6 +38,8 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--step", type=float, default=None)
     p.add_argument("--reg", type=float, default=None)
     p.add_argument("--batch-fraction", type=float, default=None)
+    p.add_argument("--batch-mode", choices=["bucket", "row"], default=None,
+                   help="mini-batch draws: fixed buckets (default, scan-pruned) or per-row")
     p.add_argument("--kmeans-init", default="k-means||", choices=["k-means||", "random", "first_last"])
     p.add_argument("--checkpoint", choices=["auto", "yes", "no"], default="auto",
                    help="checkpoint parsed training rows to spark.checkpoint.dir (auto: for libsvm/csv)")
@@ -86,7 +88,8 @@ def main(argv=None) -> dict:
     n_rows = data.count()
     t_train = time.perf_counter()
     overrides = {k: v for k, v in {"iterations": args.iterations, "step": args.step, "reg": args.reg,
-                                   "fraction": args.batch_fraction, "seed": args.seed}.items() if v is not None}
+                                   "fraction": args.batch_fraction, "seed": args.seed,
+                                   "batch_mode": args.batch_mode}.items() if v is not None}
     kw = {"kmeans_init": args.kmeans_init} if args.scheme == "tree" else {}
     kw["checkpoint"] = args.checkpoint == "yes" or (args.checkpoint == "auto" and args.format != "parquet")
     model = trainer_for(args.scheme, None, **kw, **overrides).fit(data.where(F.col(SPLIT) == "train"))

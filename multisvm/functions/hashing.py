@@ -40,3 +40,31 @@ def sql_in_fraction(salt_sql: str, key_sql: str, fraction: float) -> str:
     if bound is None:
         return "TRUE"
     return f"substr(md5(concat({salt_sql}, ':', CAST({key_sql} AS VARCHAR))), 1, 8) < '{bound}'"
+
+
+def hash_int(salt: str, key: Column) -> Column:
+    """First 32 bits of md5('<salt>:<key>') as a non-negative long."""
+    return F.conv(hash_bucket(salt, key), 16, 10).cast("long")
+
+
+def bucket_of(seed: int, key: Column, buckets: int) -> Column:
+    """Fixed mini-batch bucket of a row: md5('<seed>:bucket:<key>') mod buckets."""
+    return (hash_int(f"{seed}:bucket", key) % F.lit(int(buckets))).cast("int")
+
+
+def bucket_offset(seed: int, t: int, buckets: int) -> int:
+    """First bucket of iteration t's run: md5('<seed>:<t>') mod buckets (driver side)."""
+    import hashlib
+
+    return int(hashlib.md5(f"{seed}:{t}".encode()).hexdigest()[:8], 16) % buckets
+
+
+def bucket_run(col: Column, offset: int, width: int, buckets: int) -> Column:
+    """``(col - offset) mod buckets < width`` written as at most two range tests,
+    which the in-memory columnar scan can use to skip cached batches."""
+    if width >= buckets:
+        return F.lit(True)
+    end = offset + width
+    if end <= buckets:
+        return (col >= F.lit(offset)) & (col < F.lit(end))
+    return (col >= F.lit(offset)) | (col < F.lit(end - buckets))

@@ -93,7 +93,7 @@ class _Trainer:
         cache (one read of the source), then re-lay out only if needed."""
         cached = cache_rows(df.select(ID, LABEL, FEATURES), self.storage_level, self.checkpoint)
         inv = collect_inventory(cached)
-        return relayout(cached, sum(inv.counts), self.storage_level), inv
+        return relayout(cached, sum(inv.counts), self.storage_level, self.params), inv
 
 
 class OneVsAll(_Trainer):

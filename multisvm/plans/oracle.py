@@ -166,6 +166,11 @@ def train_ctes(p: SGDParams) -> list[str]:
     """Recursive mini-batch sub-gradient descent over every problem in ``code``."""
     eta = f"({p.step!r} / sqrt(s.t + 1))"
     batch = _in_fraction(f"concat('{p.seed}:', CAST(s.t + 1 AS VARCHAR))", "r.id", p.fraction)
+    if p.bucketed:
+        b, w = p.buckets, p.bucket_width
+        bucket = f"CAST(('0x' || substr(md5(concat('{p.seed}:bucket', ':', CAST(r.id AS VARCHAR))), 1, 8)) AS BIGINT) % {b}"
+        offset = f"CAST(('0x' || substr(md5(concat('{p.seed}', ':', CAST(s.t + 1 AS VARCHAR))), 1, 8)) AS BIGINT) % {b}"
+        batch = f"((({bucket}) - ({offset})) % {b} + {b}) % {b} < {w}"
     zero = "list_transform(range((SELECT d FROM dims)), lambda i: CAST(0.0 AS DOUBLE))"
     sq = "lambda z: (z[1] - z[2]) * (z[1] - z[2])"
     return [
@@ -284,10 +289,10 @@ def sql(ctes: list[str], body: str, recursive: bool = False) -> str:
     return head + ",\n".join(ctes) + "\n" + body
 
 
-def _scheme(scheme: str, table: str = "embeddings") -> tuple[list[str], list[str]]:
+def _scheme(scheme: str, table: str = "embeddings", params=None) -> tuple[list[str], list[str]]:
     code = {"ova": ova_code(), "ovo": ovo_code(), "tree": tree_ctes()}[scheme]
     pred = {"ova": ova_predict(), "ovo": ovo_predict(), "tree": tree_predict()}[scheme]
-    return base_ctes(table) + code + train_ctes(Q.PARAMS[scheme]), pred
+    return base_ctes(table) + code + train_ctes(params or Q.PARAMS[scheme]), pred
 
 
 def _weights_body(extra_select: str = "", extra_join: str = "") -> str:
@@ -375,6 +380,9 @@ FROM nodes""", recursive=True)
     out["lineitem_train_ova"] = sql(li, _weights_body(", c.label", " JOIN cls c ON c.class_index = m.problem"),
                                     recursive=True)
     out["lineitem_ova_metrics_summary"] = sql(li + li_pred, SUMMARY, recursive=True)
+    lb, _ = _scheme("ova", "lineitem", Q.ROW_BATCH_PARAMS)
+    out["lineitem_train_ova_row_batches"] = sql(lb, _weights_body(", c.label", " JOIN cls c ON c.class_index = m.problem"),
+                                             recursive=True)
     out["load_libsvm"] = roundtrip_sql()
     out["load_labeled_csv"] = roundtrip_sql()
     return out

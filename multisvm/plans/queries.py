@@ -8,6 +8,7 @@ reference programs' own hyper-parameters; they are listed together below.
 
 from __future__ import annotations
 
+import dataclasses
 import os
 from collections.abc import Callable
 
@@ -38,6 +39,8 @@ SEED = 42
 TRAIN_FRACTION = 0.5
 PARAMS = {"ova": OVA_DEFAULTS, "ovo": OVO_DEFAULTS, "tree": TREE_DEFAULTS}
 BINARY_PARAMS = SGDParams(iterations=250, step=4.0, reg=0.01, fraction=1.0)  # full batch: equals SVMWithSGD
+# One-vs-all with per-row mini-batch draws (the default is bucketed draws).
+ROW_BATCH_PARAMS = dataclasses.replace(OVA_DEFAULTS, batch_mode="row")
 KMEANS_TOL = 1e-4
 DIGITS = 6
 
@@ -64,14 +67,16 @@ def kmeans_iterations() -> int:
     return TREE_DEFAULTS.iterations  # the reference passes its iteration count to k-means
 
 
-def fitted(spark: SparkSession, sf_dir: str, scheme: str, table: str = "embeddings") -> CodedModel:
-    """Train once per (scheme, table, folder) and keep the P x D model."""
-    key = (scheme, table, os.path.abspath(sf_dir), PARAMS[scheme])
+def fitted(spark: SparkSession, sf_dir: str, scheme: str, table: str = "embeddings",
+           params: SGDParams | None = None) -> CodedModel:
+    """Train once per (scheme, table, folder, parameters) and keep the P x D model."""
+    params = params or PARAMS[scheme]
+    key = (scheme, table, os.path.abspath(sf_dir), params)
     if key not in _MODELS:
         kw = {}
         if scheme == "tree":
             kw = {"kmeans_init": "first_last", "kmeans_iterations": kmeans_iterations(), "kmeans_tol": KMEANS_TOL}
-        _MODELS[key] = trainer_for(scheme, PARAMS[scheme], **kw).fit(train_rows(spark, sf_dir, table))
+        _MODELS[key] = trainer_for(scheme, params, **kw).fit(train_rows(spark, sf_dir, table))
     return _MODELS[key]
 
 
@@ -308,6 +313,11 @@ def q_lineitem_train_ova(spark, sf_dir):
     return weights_frame(spark, m.weights, {"label": m.classes})
 
 
+def q_lineitem_train_ova_row_batches(spark, sf_dir):
+    m = fitted(spark, sf_dir, "ova", "lineitem", ROW_BATCH_PARAMS)
+    return weights_frame(spark, m.weights, {"label": m.classes})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_test_split": q_train_test_split,
     "load_libsvm": q_load_libsvm,
@@ -346,6 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # The one-vs-all program on the largest driver table (scaled numeric columns).
     "lineitem_train_ova": q_lineitem_train_ova,
     "lineitem_ova_metrics_summary": _summary_query("ova", "lineitem"),
+    "lineitem_train_ova_row_batches": q_lineitem_train_ova_row_batches,
     # The survey's generic names (EVL-1..8, SNK-1/2) for the flagship one-vs-all program.
     "confusion_matrix": _confusion_query("ova"),
     "metrics_by_label": _by_label_query("ova"),

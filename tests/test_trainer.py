@@ -76,7 +76,8 @@ def test_yardstick_svm_with_sgd(spark, train):
 
 def test_empty_batch_skips_update(spark):
     df = frame(spark, [(i, i % 2, [1.0, float(i)]) for i in range(4)])
-    res = fit_coded(df, one_vs_all_code(2), [0, 1], 2, SGDParams(iterations=3, step=1.0, fraction=1e-9))
+    res = fit_coded(df, one_vs_all_code(2), [0, 1], 2,
+                    SGDParams(iterations=3, step=1.0, fraction=1e-9, batch_mode="row"))
     assert (res.weights == 0).all() and (res.iterations == 0).all()
 
 
