@@ -108,8 +108,11 @@ def relayout(cached: DataFrame, n_rows: int,
         # buckets falls evenly on all partitions (all tasks busy) and, sorted by
         # bucket inside, on a contiguous stretch of each partition's cached batches.
         with_b = cached.withColumn(BUCKET, bucket_of(params.seed, F.col(ID), params.buckets))
-        moved = (with_b.repartitionByRange(target, F.col(BUCKET) % F.lit(target))
-                 .sortWithinPartitions(BUCKET).persist(storage_level))
+        if target > 1:
+            with_b = with_b.repartitionByRange(target, F.col(BUCKET) % F.lit(target))
+        else:
+            with_b = with_b.coalesce(1)
+        moved = with_b.sortWithinPartitions(BUCKET).persist(storage_level)
     elif target == current:
         return cached
     else:
