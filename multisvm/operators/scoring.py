@@ -40,30 +40,38 @@ def pair_votes(margins: np.ndarray, pos: np.ndarray, neg: np.ndarray, k: int) ->
 
 
 def with_margins(df: DataFrame, weights: np.ndarray, keep: Sequence[str], features: str = FEATURES,
-                 out: str = MARGINS, pairs: tuple[Sequence[int], Sequence[int], int] | None = None) -> DataFrame:
+                 out: str = MARGINS, pairs: tuple[Sequence[int], Sequence[int], int] | None = None,
+                 emit_margins: bool = True) -> DataFrame:
     """``keep`` columns plus ``out`` = array of w_p . x for every problem p.
 
     With ``pairs = (pos_index, neg_index, k)`` the kernel also emits ``votes``,
-    the one-vs-one vote count of each of the k classes.
+    the one-vs-one vote count of each of the k classes; ``emit_margins=False``
+    then leaves out the K(K-1)/2 margins (the votes alone decide).
     """
     ship_package(df.sparkSession)
     w_t = np.ascontiguousarray(np.asarray(weights, dtype=np.float64).T)
     dim = w_t.shape[0]
     keep = list(keep)
-    fields = [df.schema[c] for c in keep] + [StructField(out, ArrayType(DoubleType(), True), True)]
+    if pairs is None:
+        emit_margins = True
+    fields = [df.schema[c] for c in keep]
+    if emit_margins:
+        fields.append(StructField(out, ArrayType(DoubleType(), True), True))
     if pairs is not None:
         pos, neg, k = np.asarray(pairs[0], dtype=np.int64), np.asarray(pairs[1], dtype=np.int64), int(pairs[2])
         fields.append(StructField(VOTES, ArrayType(IntegerType(), True), True))
     schema = StructType(fields)
     arrow_schema = to_arrow_schema(schema)
-    margins_type = arrow_schema.field(out).type
+    margins_type = arrow_schema.field(out).type if emit_margins else None
     votes_type = arrow_schema.field(VOTES).type if pairs is not None else None
 
     def kernel(batches):
         for batch in batches:
             x = feature_block(batch.column(features), dim)
             m = x @ w_t if w_t.shape[1] else np.zeros((batch.num_rows, 0))
-            cols = [batch.column(c) for c in keep] + [_list_column(m).cast(margins_type)]
+            cols = [batch.column(c) for c in keep]
+            if emit_margins:
+                cols.append(_list_column(m).cast(margins_type))
             if pairs is not None:
                 v = pair_votes(m, pos, neg, k)
                 offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * k, pa.int32())

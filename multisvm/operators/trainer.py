@@ -193,9 +193,11 @@ def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights: np.ndarray,
     w_t = np.ascontiguousarray(weights.T)
     n_keys, k = len(keys), len(classes)
     dense = bool(np.all(sub != 0))
-    cols_of = [np.flatnonzero(sub[c]) for c in range(k)]
+    cols_of = [] if dense else [np.flatnonzero(sub[c]) for c in range(k)]
     w_of = [np.ascontiguousarray(w_t[:, cols]) for cols in cols_of]
     y_of = [sub[c, cols] for c, cols in enumerate(cols_of)]
+    if not dense:
+        w_t = None  # the grouped path only needs the per-class slices
 
     def class_index(labels: np.ndarray) -> np.ndarray:
         pos = np.clip(np.searchsorted(classes, labels), 0, k - 1)

@@ -52,12 +52,12 @@ class CodedModel:
     def problems(self) -> int:
         return self.weights.shape[0]
 
-    def margins(self, df: DataFrame, keep=(ID, LABEL)) -> DataFrame:
+    def margins(self, df: DataFrame, keep=(ID, LABEL), emit_margins: bool = True) -> DataFrame:
         """``keep`` + margins (+ per-class ``votes`` for one-vs-one)."""
         pairs = None
         if self.scheme == "ovo":
             pairs = ([p for p, _ in self.pairs], [n for _, n in self.pairs], len(self.classes))
-        return with_margins(df, self.weights, [c for c in keep], pairs=pairs)
+        return with_margins(df, self.weights, [c for c in keep], pairs=pairs, emit_margins=emit_margins)
 
     def decode(self) -> Column:
         if len(self.classes) == 1:
@@ -70,10 +70,13 @@ class CodedModel:
             return tree_walk(F.col(MARGINS), self.nodes)
         raise ValueError(self.scheme)
 
-    def transform(self, df: DataFrame, keep=None) -> DataFrame:
-        """``keep`` columns + margins (+ votes) + prediction (int)."""
+    def transform(self, df: DataFrame, keep=None, margins: bool = True) -> DataFrame:
+        """``keep`` columns + margins (+ votes) + prediction (int).
+
+        ``margins=False`` drops the one-vs-one margin array from the output
+        (K(K-1)/2 doubles per row); other schemes need it to decode."""
         keep = list(keep) if keep is not None else [c for c in df.columns if c != FEATURES]
-        scored = self.margins(df, keep)
+        scored = self.margins(df, keep, emit_margins=margins or self.scheme != "ovo")
         return scored.withColumn(PREDICTION, self.decode().cast("int"))
 
 

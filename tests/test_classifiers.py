@@ -75,3 +75,11 @@ def test_streaming_scoring(spark, blobs, tmp_path):
     q.stop()
     got = spark.sql("SELECT count(*) AS n, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS ok FROM scored_blobs").first()
     assert got.n == 200 and got.ok == 200
+
+
+def test_ovo_transform_without_margins(blobs):
+    m = OneVsOne(SGDParams(iterations=5, step=1.0, reg=0.001)).fit(blobs)
+    full = {r.id: r.prediction for r in m.transform(blobs).collect()}
+    lean = m.transform(blobs, keep=["id"], margins=False)
+    assert lean.columns == ["id", "votes", "prediction"]
+    assert {r.id: r.prediction for r in lean.collect()} == full
