@@ -95,8 +95,12 @@ class _Trainer:
         """Persist the rows; the class inventory is the action that fills the
         cache (one read of the source), then re-lay out only if needed."""
         cached = cache_rows(df.select(ID, LABEL, FEATURES), self.storage_level, self.checkpoint)
-        inv = collect_inventory(cached)
-        return relayout(cached, sum(inv.counts), self.storage_level, self.params), inv
+        try:
+            inv = collect_inventory(cached)
+            return relayout(cached, sum(inv.counts), self.storage_level, self.params), inv
+        except Exception:
+            cached.unpersist()
+            raise
 
 
 class OneVsAll(_Trainer):
