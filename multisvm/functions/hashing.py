@@ -59,12 +59,27 @@ def bucket_offset(seed: int, t: int, buckets: int) -> int:
     return int(hashlib.md5(f"{seed}:{t}".encode()).hexdigest()[:8], 16) % buckets
 
 
-def bucket_run(col: Column, offset: int, width: int, buckets: int) -> Column:
+def bucket_run(col: Column | str, offset: int, width: int, buckets: int) -> Column:
     """``(col - offset) mod buckets < width`` written as at most two range tests,
-    which the in-memory columnar scan can use to skip cached batches."""
+    which the in-memory columnar scan can use to skip cached batches.
+
+    Given a column name the test is built as one SQL expression string (one
+    JVM call; it is rebuilt every iteration)."""
     if width >= buckets:
         return F.lit(True)
     end = offset + width
+    if isinstance(col, str):
+        if end <= buckets:
+            return F.expr(f"{col} >= {offset} AND {col} < {end}")
+        return F.expr(f"{col} >= {offset} OR {col} < {end - buckets}")
     if end <= buckets:
         return (col >= F.lit(offset)) & (col < F.lit(end))
     return (col >= F.lit(offset)) | (col < F.lit(end - buckets))
+
+
+def in_fraction_expr(salt: str, col: str, fraction: float) -> Column:
+    """:func:`in_fraction` for a column name, as one SQL expression string."""
+    bound = fraction_threshold(fraction)
+    if bound is None:
+        return F.lit(True)
+    return F.expr(f"substring(md5(concat('{salt}:', CAST({col} AS STRING))), 1, 8) < '{bound}'")

@@ -31,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from multisvm.functions.hashing import bucket_of, bucket_offset, bucket_run, in_fraction
+from multisvm.functions.hashing import bucket_of, bucket_offset, bucket_run, in_fraction_expr
 from multisvm.operators.blocks import feature_block, t_product
 from multisvm.operators.partials import PARTIAL_SCHEMA, partial_batch, reduce_partials
 from multisvm.session import ship_package
@@ -266,9 +266,9 @@ def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGD
             batch = data
             if params.bucketed:
                 offset = bucket_offset(params.seed, t, params.buckets)
-                batch = data.where(bucket_run(F.col(BUCKET), offset, params.bucket_width, params.buckets))
+                batch = data.where(bucket_run(BUCKET, offset, params.bucket_width, params.buckets))
             elif params.fraction < 1.0:
-                batch = data.where(in_fraction(f"{params.seed}:{t}", F.col(ID), params.fraction))
+                batch = data.where(in_fraction_expr(f"{params.seed}:{t}", ID, params.fraction))
             kernel = gradient_kernel(np.asarray(classes), code, weights[keys], keys, dim)
             parts = batch.mapInArrow(kernel, PARTIAL_SCHEMA)
             grad, used = reduce_partials(parts, p, dim, n_parts)

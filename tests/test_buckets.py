@@ -71,3 +71,16 @@ def test_bucketed_cache_scan_is_pruned(spark):
     plan = buf.getvalue()
     assert "InMemoryTableScan" in plan and f"{BUCKET}" in plan.split("InMemoryTableScan", 1)[1]
     laid.unpersist()
+
+
+def test_expression_forms_equal_column_forms(spark):
+    from multisvm.functions.hashing import in_fraction, in_fraction_expr
+
+    df = spark.range(300).withColumn("b", (F.col("id") % 16).cast("int"))
+    for off in (0, 5, 13):
+        a = {r.id for r in df.where(bucket_run("b", off, 6, 16)).collect()}
+        b = {r.id for r in df.where(bucket_run(F.col("b"), off, 6, 16)).collect()}
+        assert a == b and a
+    a = {r.id for r in df.where(in_fraction_expr("42:3", "id", 0.3)).collect()}
+    b = {r.id for r in df.where(in_fraction("42:3", F.col("id"), 0.3)).collect()}
+    assert a == b and 0 < len(a) < 300
