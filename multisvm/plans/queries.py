@@ -27,7 +27,7 @@ from multisvm.operators.metrics import PREDICTION, accuracy_summary, confusion,
 from multisvm.operators.partials import PARTIAL_SCHEMA
 from multisvm.operators.scoring import MARGINS
 from multisvm.operators.trainer import SGDParams, fit_coded, gradient_kernel
-from multisvm.plans.classifiers import OVA_DEFAULTS, OVO_DEFAULTS, TREE_DEFAULTS, ClusterTree, CodedModel, trainer_for
+from multisvm.plans.classifiers import OVA_DEFAULTS, OVO_DEFAULTS, TREE_DEFAULTS, CodedModel, trainer_for
 from multisvm.session import scratch_path, ship_package
 from multisvm.sources.csv import read_labeled_csv, write_labeled_csv
 from multisvm.sources.libsvm import read_libsvm, write_libsvm

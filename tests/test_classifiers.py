@@ -3,7 +3,6 @@ not on the weak-signal driver tables)."""
 
 import math
 
-import numpy as np
 import pytest
 
 from conftest import frame

@@ -1,11 +1,10 @@
 """Hand-made cases for the decision rules (survey section 4.1, Q1-Q8)."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from conftest import frame
 from multisvm.operators.clustering import class_cluster_counts, class_to_cluster, cluster_class_order
-from multisvm.operators.coding import class_inventory, class_pairs, one_vs_all_code, one_vs_one_code, tree_code, tree_layout
+from multisvm.operators.coding import class_inventory, class_pairs, tree_layout
 from multisvm.operators.metrics import confusion, metrics_by_label
 from multisvm.plans.classifiers import CodedModel
 
