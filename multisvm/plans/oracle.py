@@ -42,7 +42,7 @@ def _lineitem_src(split: str) -> list[str]:
     complete = " AND ".join(f"{c} IS NOT NULL" for c in ["l_returnflag"] + cols)
     key = "concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
     return [
-        f"scale AS (SELECT {maxes} FROM lineitem)",
+        f"scale AS (SELECT {maxes} FROM lineitem WHERE {complete})",
         f"""src AS (
   SELECT {key} AS id,
          CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS label,

@@ -70,42 +70,50 @@ MAX_LABELS = 100_000
 
 
 def from_columns(df: DataFrame, feature_cols: list[str], label_col: str, id_cols: list[str],
-                 scale: str | None = "maxabs") -> DataFrame:
+                 scale: str | None = "maxabs", labels: list | None = None) -> DataFrame:
     """Numeric columns -> labelled frame.
 
     * rows with a null label or feature are dropped;
     * string labels become their index among the sorted distinct values of the
-      kept rows (the distinct list is checked against ``MAX_LABELS`` before it
-      is collected);
+      kept rows (pass ``labels`` when they are known to skip that work);
     * one id column is kept as is; several become ``concat_ws(':', ...)`` so
       the hash split sees the same key text in every engine (rows with equal
       keys fall on the same side);
     * ``scale="maxabs"`` divides each feature by its largest absolute value
-      over the table (one aggregate), the way LibSVM ``.scale`` inputs are
-      prepared.
+      over the table, the way LibSVM ``.scale`` inputs are prepared.
+
+    At most two passes before training: one aggregate for the scale factors
+    and the distinct-label count, then (string labels only) the distinct
+    labels themselves, collected only after the count is checked against
+    ``MAX_LABELS``.
     """
     from pyspark.sql.types import StringType
 
     complete = F.col(label_col).isNotNull()
     for c in feature_cols:
         complete = complete & F.col(c).isNotNull()
-    label = F.col(label_col)
-    if isinstance(df.schema[label_col].dataType, StringType):
-        distinct = df.where(complete).select(label_col).distinct()
-        n = distinct.count()
-        if n > MAX_LABELS:
-            raise ValueError(f"{n} distinct labels in {label_col}; more than {MAX_LABELS}")
-        values = sorted(r[0] for r in distinct.collect())
-        label = F.array_position(F.array(*[F.lit(v) for v in values]), label) - 1
-    feats = [F.col(c).cast("double") for c in feature_cols]
+    kept = df.where(complete)
+    string_labels = isinstance(df.schema[label_col].dataType, StringType) and labels is None
+    aggs = []
     if scale == "maxabs":
-        row = df.agg(*[F.max(F.abs(F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(feature_cols)]).first()
-        feats = [f / F.lit(float(m) if m else 1.0) for f, m in zip(feats, row)]
+        aggs += [F.max(F.abs(F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(feature_cols)]
     elif scale is not None:
         raise ValueError(f"unknown scale {scale!r}")
+    if string_labels:
+        aggs.append(F.count_distinct(F.col(label_col)).alias("n_labels"))
+    stats = kept.agg(*aggs).first() if aggs else None
+    label = F.col(label_col)
+    if string_labels:
+        if stats.n_labels > MAX_LABELS:
+            raise ValueError(f"{stats.n_labels} distinct labels in {label_col}; more than {MAX_LABELS}")
+        labels = sorted(r[0] for r in kept.select(label_col).distinct().collect())
+    if labels is not None and isinstance(df.schema[label_col].dataType, StringType):
+        label = F.array_position(F.array(*[F.lit(v) for v in sorted(labels)]), label) - 1
+    feats = [F.col(c).cast("double") for c in feature_cols]
+    if scale == "maxabs":
+        feats = [f / F.lit(float(stats[f"m{i}"]) if stats[f"m{i}"] else 1.0) for i, f in enumerate(feats)]
     rid = F.col(id_cols[0]) if len(id_cols) == 1 else F.concat_ws(":", *[F.col(c) for c in id_cols])
-    return df.where(complete).select(
-        rid.alias(ID), label.cast("int").alias(LABEL), F.array(*feats).alias(FEATURES))
+    return kept.select(rid.alias(ID), label.cast("int").alias(LABEL), F.array(*feats).alias(FEATURES))
 
 
 LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
