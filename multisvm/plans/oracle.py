@@ -200,51 +200,53 @@ def train_ctes(p: SGDParams) -> list[str]:
   ) g
   WHERE s.t < {p.iterations} AND NOT s.done)""",
         "model AS (SELECT problem, arg_max(w, t) AS w FROM st GROUP BY problem)",
-        """margins AS (
-  SELECT s.id, s.label, s.split, m.problem, list_dot_product(s.f, m.w) AS margin
-  FROM src s CROSS JOIN model m)""",
+        # Row-wise margins (list in problem order): no join on id, so repeated keys keep every row.
+        """rowm AS (
+  SELECT s.id, s.label, s.split,
+         list_transform((SELECT list(w ORDER BY problem) FROM model), lambda w: list_dot_product(s.f, w)) AS mm
+  FROM src s)""",
     ]
 
 
 def ova_predict() -> list[str]:
-    """Row-wise: the row's margins as a list, first maximum wins (lowest class).
-    No grouping by id, so tables with repeated keys keep every row."""
+    """First maximum of the row's margins wins (lowest class)."""
     return ["""pred AS (
   SELECT id, label, split,
          (SELECT list(label ORDER BY class_index) FROM cls)[list_position(mm, list_max(mm))] AS prediction
-  FROM (
-    SELECT s.id, s.label, s.split,
-           list_transform((SELECT list(w ORDER BY problem) FROM model), lambda w: list_dot_product(s.f, w)) AS mm
-    FROM src s))"""]
+  FROM rowm)"""]
 
 
 def ovo_predict() -> list[str]:
+    """Each pair votes (margin >= 0: positive label); most votes, then lowest label, wins."""
     return [
-        """winners AS (
-  SELECT m.id, m.label, m.split, CASE WHEN m.margin >= 0 THEN p.pos_label ELSE p.neg_label END AS winner
-  FROM margins m JOIN pairs p ON p.problem = m.problem)""",
+        """pair_lists AS (
+  SELECT list(pos_label ORDER BY problem) AS pos, list(neg_label ORDER BY problem) AS neg,
+         (SELECT list(label ORDER BY label) FROM cls) AS classes
+  FROM pairs)""",
+        """row_votes AS (
+  SELECT r.id, r.label, r.split, p.classes,
+         list_transform(p.classes, lambda c: CAST(len(list_filter(
+           list_transform(range(1, len(r.mm) + 1),
+                          lambda i: CASE WHEN r.mm[i] >= 0 THEN p.pos[i] ELSE p.neg[i] END),
+           lambda w: w = c)) AS BIGINT)) AS v
+  FROM rowm r CROSS JOIN pair_lists p)""",
         """votes AS (
-  SELECT i.id, i.label, i.split, c.label AS class, count(w.winner) AS votes
-  FROM (SELECT DISTINCT id, label, split FROM margins) i CROSS JOIN cls c
-  LEFT JOIN winners w ON w.id = i.id AND w.winner = c.label
-  GROUP BY i.id, i.label, i.split, c.label)""",
+  SELECT id, label, split, unnest(classes) AS class, unnest(v) AS votes FROM row_votes)""",
         """pred AS (
-  SELECT id, label, split, prediction FROM (
-    SELECT id, label, split, class AS prediction,
-           row_number() OVER (PARTITION BY id ORDER BY votes DESC, class ASC) AS rk FROM votes)
-  WHERE rk = 1)""",
+  SELECT id, label, split, classes[list_position(v, list_max(v))] AS prediction FROM row_votes)""",
     ]
 
 
 def tree_predict() -> list[str]:
+    """Walk each row down the tree with its own margins list (margin >= 0: positive side)."""
     return [
-        """walk(id, label, split, node, prediction) AS (
-  SELECT id, label, split, 0, -1 FROM src
+        """walk(id, label, split, mm, node, prediction) AS (
+  SELECT id, label, split, mm, 0, -1 FROM rowm
   UNION ALL
-  SELECT w.id, w.label, w.split,
-         CASE WHEN m.margin >= 0 THEN n.pos_child ELSE n.neg_child END,
-         CASE WHEN m.margin >= 0 THEN n.pos_label ELSE n.neg_label END
-  FROM walk w JOIN nodes n ON n.node = w.node JOIN margins m ON m.id = w.id AND m.problem = w.node
+  SELECT w.id, w.label, w.split, w.mm,
+         CASE WHEN w.mm[w.node + 1] >= 0 THEN n.pos_child ELSE n.neg_child END,
+         CASE WHEN w.mm[w.node + 1] >= 0 THEN n.pos_label ELSE n.neg_label END
+  FROM walk w JOIN nodes n ON n.node = w.node
   WHERE w.node >= 0)""",
         "pred AS (SELECT id, label, split, CAST(prediction AS INTEGER) AS prediction FROM walk WHERE node = -1)",
     ]
@@ -345,7 +347,8 @@ GROUP BY c.problem, j""")
 
     ova, _ = _scheme("ova")
     out["train_ova"] = sql(ova, _weights_body(", c.label", " JOIN cls c ON c.class_index = m.problem"), recursive=True)
-    out["ova_margins"] = sql(ova, f"SELECT id, problem, {rnd('margin')} AS margin FROM margins", recursive=True)
+    out["ova_margins"] = sql(ova, f"""SELECT id, CAST(p - 1 AS INTEGER) AS problem, {rnd('m')} AS margin FROM (
+  SELECT id, unnest(mm) AS m, generate_subscripts(mm, 1) AS p FROM rowm)""", recursive=True)
     ovo, ovo_pred = _scheme("ovo")
     out["train_ovo"] = sql(ovo, _weights_body(", p.pos_label, p.neg_label", " JOIN pairs p ON p.problem = m.problem"),
                            recursive=True)
@@ -380,6 +383,9 @@ FROM nodes""", recursive=True)
     out["lineitem_train_ova"] = sql(li, _weights_body(", c.label", " JOIN cls c ON c.class_index = m.problem"),
                                     recursive=True)
     out["lineitem_ova_metrics_summary"] = sql(li + li_pred, SUMMARY, recursive=True)
+    for scheme in ("ovo", "tree"):
+        lc, lp = _scheme(scheme, "lineitem")
+        out[f"lineitem_{scheme}_metrics_summary"] = sql(lc + lp, SUMMARY, recursive=True)
     lb, _ = _scheme("ova", "lineitem", Q.ROW_BATCH_PARAMS)
     out["lineitem_train_ova_row_batches"] = sql(lb, _weights_body(", c.label", " JOIN cls c ON c.class_index = m.problem"),
                                              recursive=True)

@@ -357,6 +357,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lineitem_train_ova": q_lineitem_train_ova,
     "lineitem_ova_metrics_summary": _summary_query("ova", "lineitem"),
     "lineitem_train_ova_row_batches": q_lineitem_train_ova_row_batches,
+    "lineitem_ovo_metrics_summary": _summary_query("ovo", "lineitem"),
+    "lineitem_tree_metrics_summary": _summary_query("tree", "lineitem"),
     # The survey's generic names (EVL-1..8, SNK-1/2) for the flagship one-vs-all program.
     "confusion_matrix": _confusion_query("ova"),
     "metrics_by_label": _by_label_query("ova"),
