@@ -42,7 +42,7 @@ def main() -> None:
             continue
         with open(path) as f:
             events += [json.loads(line) for line in f if line.strip()]
-    jobs, stages, tasks = {}, {}, {}
+    jobs, stages, tasks, metrics = {}, {}, {}, {}
     for e in events:
         kind = e.get("Event")
         if kind == "SparkListenerJobStart":
@@ -55,6 +55,13 @@ def main() -> None:
         elif kind == "SparkListenerTaskEnd":
             info = e["Task Info"]
             tasks.setdefault(e["Stage ID"], []).append(info["Finish Time"] - info["Launch Time"])
+            m = e.get("Task Metrics") or {}
+            metrics.setdefault(e["Stage ID"], []).append({
+                "deserialize_ms": m.get("Executor Deserialize Time", 0),
+                "run_ms": m.get("Executor Run Time", 0),
+                "gc_ms": m.get("JVM GC Time", 0),
+                "result_ser_ms": m.get("Result Serialization Time", 0),
+            })
     # The last `iters` jobs are the iteration jobs (one each).
     it_jobs = sorted(jobs)[-len(driver_sec):]
     rows = []
@@ -66,6 +73,8 @@ def main() -> None:
             "stage_ms": sum(stages[s] for s in st),
             "task_ms_max": max((max(tasks.get(s, [0])) for s in st), default=0),
             "tasks": sum(len(tasks.get(s, [])) for s in st),
+            **{k: max((t[k] for s in st for t in metrics.get(s, [])), default=0)
+               for k in ("deserialize_ms", "run_ms", "gc_ms", "result_ser_ms")},
         })
     med = lambda xs: sorted(xs)[len(xs) // 2]
     summary = {
@@ -75,6 +84,7 @@ def main() -> None:
         "stage_ms": med([r["stage_ms"] for r in rows[2:] or rows]),
         "task_ms_max": med([r["task_ms_max"] for r in rows[2:] or rows]),
         "tasks_per_job": med([r["tasks"] for r in rows]),
+        **{k: med([r[k] for r in rows[2:] or rows]) for k in ("deserialize_ms", "run_ms", "gc_ms", "result_ser_ms")},
         "event_log": log_dir,
     }
     print(json.dumps(summary))
