@@ -5,7 +5,7 @@ from __future__ import annotations
 from multisvm.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES
 from multisvm.llm.quality_rules import STOP_WORDS
 
-WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -19,7 +19,7 @@ def quality_rules_sql(of: str = "documents") -> str:
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {of}),
     w AS (SELECT r, doc_id, text, {WORDS} AS ws,
-                 list_filter(string_split(text, chr(10)), x -> translate(x, {WHITE}, '') <> '') AS ls FROM d),
+                 list_filter(string_split(text, chr(10)), lambda x: translate(x, {WHITE}, '') <> '') AS ls FROM d),
     tok AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM w),
     gram AS (SELECT r, i, x, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3,
                     lead(x, 4) OVER o AS x4 FROM tok WINDOW o AS (PARTITION BY r ORDER BY i)),
@@ -29,7 +29,7 @@ def quality_rules_sql(of: str = "documents") -> str:
     m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(translate(text, {WHITE}, ''))::BIGINT AS word_chars,
                  (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
                  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-                 len(ls)::BIGINT AS n_lines, len(list_filter(ws, x -> list_contains({stop}, x)))::BIGINT AS n_stop_words
+                 len(ls)::BIGINT AS n_lines, len(list_filter(ws, lambda x: list_contains({stop}, x)))::BIGINT AS n_stop_words
           FROM w LEFT JOIN n USING (r)),
     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
     SELECT *, NOT base_failed
@@ -43,24 +43,24 @@ def quality_rules_sql(of: str = "documents") -> str:
 def license_scans_sql() -> str:
     """Exact containment of every template in every window, without bands."""
     values = ", ".join(f"({_literal(i)}, {_literal(t)})" for i, t in TEMPLATES)
-    split = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+    split = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     return rf"""
     WITH t AS (SELECT template_id, ws, least(len(ws), {SHINGLE}) AS n FROM
                (SELECT template_id, {split.format("body")} AS ws FROM (VALUES {values}) v(template_id, body)) WHERE len(ws) > 0),
     ts AS (SELECT template_id, n, len(ws) - n + 1 AS span, unnest(list_transform(range(0, len(ws) - n + 1),
-               i -> array_to_string(ws[i + 1:i + n], ' '))) AS s FROM t),
+               lambda i: array_to_string(ws[i + 1:i + n], ' '))) AS s FROM t),
     td AS (SELECT DISTINCT template_id, n, span, s FROM ts),
     tn AS (SELECT template_id, span, count(*) AS k FROM td GROUP BY ALL),
     d AS (SELECT row_number() OVER () AS r, doc_id, {split.format("coalesce(text, '')")} AS ws FROM documents),
     g AS (SELECT r, doc_id, n, unnest(range(0, len(ws) - n + 1)) AS i,
-                 unnest(list_transform(range(0, len(ws) - n + 1), i -> array_to_string(ws[i + 1:i + n], ' '))) AS s
+                 unnest(list_transform(range(0, len(ws) - n + 1), lambda i: array_to_string(ws[i + 1:i + n], ' '))) AS s
           FROM d, (SELECT DISTINCT n FROM t) WHERE len(ws) >= n),
     hit AS (SELECT g.r, g.doc_id, td.template_id, td.span, g.i, g.s FROM g JOIN td USING (n, s)),
-    win AS (SELECT r, doc_id, template_id, span, i, s, i // span - b AS at FROM hit, (VALUES (0), (1)) v(b) WHERE i // span >= b),
-    m AS (SELECT r, doc_id, template_id, span, at, count(DISTINCT s) AS c, min(i) AS i FROM win GROUP BY ALL),
-    ok AS (SELECT DISTINCT doc_id, template_id, at, c / k AS share, i FROM m JOIN tn USING (template_id, span)
+    win AS (SELECT r, doc_id, template_id, span, i, s, i // span - b AS wno FROM hit, (VALUES (0), (1)) v(b) WHERE i // span >= b),
+    m AS (SELECT r, doc_id, template_id, span, wno, count(DISTINCT s) AS c, min(i) AS i FROM win GROUP BY ALL),
+    ok AS (SELECT DISTINCT doc_id, template_id, wno, c / k AS share, i FROM m JOIN tn USING (template_id, span)
            WHERE c / k >= {CONTAINMENT})
-    SELECT doc_id, template_id, max(share) AS containment, count(DISTINCT at)::BIGINT AS n_windows, min(i)::BIGINT AS first_word
+    SELECT doc_id, template_id, max(share) AS containment, count(DISTINCT wno)::BIGINT AS n_windows, min(i)::BIGINT AS first_word
     FROM ok GROUP BY ALL"""
 
 
