@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from multisvm.llm.common import table
 
@@ -19,6 +20,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", *[f"quality.{n}" for n in names], "quality.base_failed", "quality.kept")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from multisvm.llm.simhash import simhash_groups
+
+    groups = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from multisvm.llm.licenses import scan_licenses
 
@@ -27,5 +35,6 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_simhash": op7_simhash,
     "op10_license_scans": op10_license_scans,
 }
