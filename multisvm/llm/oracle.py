@@ -64,5 +64,21 @@ def license_scans_sql() -> str:
     FROM ok GROUP BY ALL"""
 
 
+def substrings_sql(of: str = "documents") -> str:
+    """Every window of 35 words counted as such; words under one found twice go."""
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM {of}),
+    win AS (SELECT r, unnest(range(0, len(ws) - 34)) AS i,
+                   unnest(list_transform(range(0, len(ws) - 34), lambda i: array_to_string(ws[i + 1:i + 35], ' '))) AS s
+            FROM d WHERE len(ws) >= 35),
+    rep AS (SELECT r, i, (count(*) OVER (PARTITION BY s) > 1)::INT AS f FROM win),
+    tok AS (SELECT r, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS x FROM d),
+    cov AS (SELECT r, i, x, coalesce(max(f) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS c
+            FROM tok LEFT JOIN rep USING (r, i)),
+    k AS (SELECT r, sum(c)::BIGINT AS n_removed, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (c = 0), '') AS kept FROM cov GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules_sql(), "op10_license_scans": license_scans_sql()}
+    return {"op3_quality_rules": quality_rules_sql(), "op4_substring_dedup": substrings_sql(), "op10_license_scans": license_scans_sql()}

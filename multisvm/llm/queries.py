@@ -20,6 +20,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", *[f"quality.{n}" for n in names], "quality.base_failed", "quality.kept")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from multisvm.llm.substrings import dedup_substrings
+
+    cut = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return cut.select("doc_id", "removed.n_words", "removed.n_removed", kept.alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from multisvm.llm.simhash import simhash_groups
 
@@ -35,6 +43,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_simhash": op7_simhash,
     "op10_license_scans": op10_license_scans,
 }
