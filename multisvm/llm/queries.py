@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from multisvm.llm.common import table
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file (the same on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from multisvm.llm.quality_rules import quality_rules
 
@@ -28,6 +35,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "removed.n_words", "removed.n_removed", kept.alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from multisvm.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from multisvm.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from multisvm.llm.simhash import simhash_groups
 
@@ -44,6 +63,8 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_packing": op5_packing,
+    "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op10_license_scans": op10_license_scans,
 }
