@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from multisvm.llm.common import table
+from multisvm.llm.common import fold, table
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -54,6 +54,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from multisvm.llm.quality_ranking import rank_quality
+
+    return rank_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from multisvm.llm.language import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from multisvm.llm.licenses import scan_licenses
 
@@ -66,5 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
+    "op8_quality_ranking": op8_quality_ranking,
+    "op9_language": op9_language,
     "op10_license_scans": op10_license_scans,
 }
