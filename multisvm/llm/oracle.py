@@ -80,5 +80,15 @@ def substrings_sql(of: str = "documents") -> str:
     FROM d LEFT JOIN k USING (r)"""
 
 
+def top_k_sql() -> str:
+    return """
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+          FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules_sql(), "op4_substring_dedup": substrings_sql(), "op10_license_scans": license_scans_sql()}
+    return {"op2_top_k": top_k_sql(), "op3_quality_rules": quality_rules_sql(), "op4_substring_dedup": substrings_sql(), "op10_license_scans": license_scans_sql()}
