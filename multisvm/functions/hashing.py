@@ -34,14 +34,6 @@ def in_fraction(salt: str, key: Column, fraction: float) -> Column:
     return hash_bucket(salt, key) < F.lit(bound)
 
 
-def sql_in_fraction(salt_sql: str, key_sql: str, fraction: float) -> str:
-    """The same test as SQL text (DuckDB / Spark SQL)."""
-    bound = fraction_threshold(fraction)
-    if bound is None:
-        return "TRUE"
-    return f"substr(md5(concat({salt_sql}, ':', CAST({key_sql} AS VARCHAR))), 1, 8) < '{bound}'"
-
-
 def hash_int(salt: str, key: Column) -> Column:
     """First 32 bits of md5('<salt>:<key>') as a non-negative long."""
     return F.conv(hash_bucket(salt, key), 16, 10).cast("long")

@@ -5,8 +5,8 @@ An ``array<...>`` column becomes a dense float64 matrix. A vector column
 :class:`SparseRows` (compressed rows in plain numpy), unless it is dense
 enough that a BLAS product is cheaper. Kernels only use three operations:
 ``x @ w`` (margins), ``x.T @ coef`` via :func:`t_product` (sub-gradients,
-per-cluster sums) and ``x[rows]`` (group rows by class), so sparse input is
-never densified.
+per-cluster sums) and ``x[rows]`` (group rows by class). Sparse products work
+through blocks of bounded size, dense ones where that pays.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ import pyarrow as pa
 
 # Above this fraction of non-zeros a sparse batch is densified for BLAS.
 DENSIFY_ABOVE = 0.3
+# Products of sparser batches: values of a temporary, and the fraction of
+# non-zeros below which no dense block is made.
+BLOCK_VALUES = 2_000_000
+THIN = 0.01
 
 
 class SparseRows:
@@ -35,25 +39,48 @@ class SparseRows:
     def row_ids(self) -> np.ndarray:
         return np.repeat(np.arange(self.shape[0]), np.diff(self.indptr))
 
+    def _dense_blocks(self):
+        """(first row, last row, dense block) of at most ``BLOCK_VALUES`` values."""
+        n, dim = self.shape
+        step = max(1, BLOCK_VALUES // max(1, dim))
+        for lo in range(0, n, step):
+            hi = min(n, lo + step)
+            a, b = self.indptr[lo], self.indptr[hi]
+            block = np.zeros((hi - lo, dim))
+            block[np.repeat(np.arange(hi - lo), np.diff(self.indptr[lo:hi + 1])), self.indices[a:b]] = self.values[a:b]
+            yield lo, hi, block
+
+    def _thin(self) -> bool:
+        """So few non-zeros that dense blocks would be mostly zeros."""
+        return len(self.values) < THIN * self.shape[0] * self.shape[1]
+
     def __matmul__(self, w: np.ndarray) -> np.ndarray:
-        """(n x dim) @ (dim x p) -> n x p."""
+        """(n x dim) @ (dim x p) -> n x p, in memory of ``BLOCK_VALUES`` values
+        beside the result, whatever p."""
         n, p = self.shape[0], w.shape[1]
         out = np.zeros((n, p))
-        lengths = np.diff(self.indptr)
-        rows = np.flatnonzero(lengths)
-        if len(rows):
-            contrib = self.values[:, None] * w[self.indices]
-            out[rows] = np.add.reduceat(contrib, self.indptr[rows], axis=0)
+        if not self._thin():
+            for lo, hi, block in self._dense_blocks():
+                out[lo:hi] = block @ w
+            return out
+        rows = np.flatnonzero(np.diff(self.indptr))
+        step = max(1, BLOCK_VALUES // max(1, len(self.values)))
+        for lo in range(0, p if len(rows) else 0, step):
+            contrib = self.values[:, None] * w[self.indices, lo:lo + step]
+            out[rows, lo:lo + step] = np.add.reduceat(contrib, self.indptr[rows], axis=0)
         return out
 
     def t_product(self, coef: np.ndarray) -> np.ndarray:
-        """coef.T @ X: (n x p) -> p x dim, one bincount per column of coef."""
+        """coef.T @ X: (n x p) -> p x dim, in the same memory."""
         p, dim = coef.shape[1], self.shape[1]
         out = np.zeros((p, dim))
-        if len(self.values):
-            contrib = coef[self.row_ids()] * self.values[:, None]
-            for j in range(p):
-                out[j] = np.bincount(self.indices, weights=contrib[:, j], minlength=dim)
+        if not self._thin():
+            for lo, hi, block in self._dense_blocks():
+                out += coef[lo:hi].T @ block
+            return out
+        row_ids = self.row_ids()
+        for j in range(p if len(self.values) else 0):
+            out[j] = np.bincount(self.indices, weights=coef[row_ids, j] * self.values, minlength=dim)
         return out
 
     def __getitem__(self, rows) -> "SparseRows":
@@ -78,8 +105,8 @@ def _list_matrix(arr, dim: int) -> np.ndarray:
     if n == 0:
         return np.zeros((0, dim))
     flat = arr.flatten()
-    if len(flat) != n * dim:
-        raise ValueError(f"expected {dim} features per row")
+    if len(flat) != n * dim or flat.null_count:
+        raise ValueError(f"expected {dim} features per row, none of them null")
     return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, dim)
 
 

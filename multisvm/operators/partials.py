@@ -2,10 +2,10 @@
 
 The numpy kernels (gradient, k-means) emit at most one ``(k, n, g)`` row per
 key per partition. Reducing them is the only data that reaches the driver in
-an iteration; its size is checked: below ``DRIVER_SUM_LIMIT`` values the
-partials are collected and added on the driver (one stage, like the last level
-of a tree aggregate); above it a second, Spark-side level first sums groups of
-partitions, so the driver never receives more than the limit.
+an iteration. Up to ``DRIVER_SUM_LIMIT`` values the partials are collected and
+added on the driver (one stage, like the last level of a tree aggregate);
+above it they are first summed by key on Spark, the keys dealt over as many
+tasks as there are keys or partitions, and the driver receives one row a key.
 """
 
 from __future__ import annotations
@@ -49,23 +49,24 @@ def partial_batch(keys, counts, sums: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def sum_kernel(n_keys: int, dim: int):
-    """Arrow-batch function: add up the partial rows of a partition by key."""
+def sum_kernel(dim: int):
+    """Arrow-batch function: add up the partial rows of a partition by key (the
+    partition's own keys only)."""
 
     def kernel(batches):
-        sums = np.zeros((n_keys, dim))
-        counts = np.zeros(n_keys, dtype=np.int64)
-        seen = np.zeros(n_keys, dtype=bool)
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            k = batch.column("k").to_numpy()
-            np.add.at(sums, k, features_matrix(batch.column("g"), dim))
-            np.add.at(counts, k, batch.column("n").to_numpy())
-            seen[k] = True
-        keys = np.flatnonzero(seen)
-        if len(keys):
-            yield partial_batch(keys, counts[keys], sums[keys])
+            rows = features_matrix(batch.column("g"), dim)
+            for k, n, row in zip(batch.column("k").to_pylist(), batch.column("n").to_pylist(), rows):
+                if k in sums:
+                    sums[k] += row
+                    counts[k] += n
+                else:
+                    sums[k], counts[k] = row.copy(), n
+        if sums:
+            keys = sorted(sums)
+            yield partial_batch(keys, [counts[k] for k in keys], np.stack([sums[k] for k in keys]))
 
     return kernel
 
@@ -74,17 +75,15 @@ def reduce_partials(parts: DataFrame, n_keys: int, dim: int, n_partitions: int,
                     driver_limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sum partial rows by key -> (sums n_keys x dim, counts n_keys).
 
-    When ``n_partitions x n_keys x dim`` fits under the limit the partials go
-    straight to the driver. Otherwise a second level runs on Spark: the partial
-    rows are dealt round-robin into ``m`` groups, each group is summed by a
-    vectorized kernel, and only ``m x n_keys x dim`` values (within the limit)
-    come back -- a two-level tree reduction with exact float64 adds.
+    When ``n_partitions x n_keys x dim`` is within the limit the partials go
+    straight to the driver. Otherwise they are shuffled by key and summed in
+    ``min(n_keys, n_partitions)`` tasks, each holding its own keys, and
+    ``n_keys x dim`` values (the size of the model) come back.
     """
     limit = DRIVER_SUM_LIMIT if driver_limit is None else driver_limit
-    width = n_keys * max(dim, 1)
-    if n_partitions * width > limit:
-        groups = max(1, min(n_partitions, limit // width))
-        parts = parts.repartition(groups).mapInArrow(sum_kernel(n_keys, dim), PARTIAL_SCHEMA)
+    if n_partitions * n_keys * max(dim, 1) > limit:
+        groups = max(1, min(n_keys, n_partitions))
+        parts = parts.repartition(groups, "k").mapInArrow(sum_kernel(dim), PARTIAL_SCHEMA)
     sums = np.zeros((n_keys, dim))
     counts = np.zeros(n_keys, dtype=np.int64)
     tbl = parts.toArrow()

@@ -8,7 +8,7 @@ JVM-side on the ``margins`` array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from multisvm.sources.tables import FEATURES
 
 MARGINS = "margins"
 VOTES = "votes"
+PREDICTION = "prediction"
 
 
 def _list_column(values: np.ndarray) -> pa.Array:
@@ -39,11 +40,30 @@ def pair_votes(margins: np.ndarray, pos: np.ndarray, neg: np.ndarray, k: int) ->
     return np.bincount(flat, minlength=n * k).reshape(n, k).astype(np.int32)
 
 
+def walk(margins: np.ndarray, nodes: Sequence[dict]) -> np.ndarray:
+    """Labels of a batch: all rows go down the tree together, a level a step
+    (margin >= 0: the positive side)."""
+    child = np.array([[n["neg_child"], n["pos_child"]] for n in nodes])
+    label = np.array([[n["neg_label"], n["pos_label"]] for n in nodes])
+    at, out, rows = np.zeros(len(margins), np.int64), np.zeros(len(margins), np.int64), np.arange(len(margins))
+    while len(rows):
+        side = (margins[rows, at[rows]] >= 0.0).astype(np.int64)
+        down, leaf = child[at[rows], side], label[at[rows], side]
+        done = down < 0
+        out[rows[done]] = leaf[done]
+        rows = rows[~done]
+        at[rows] = down[~done]
+    return out
+
+
 def with_margins(df: DataFrame, weights: np.ndarray, keep: Sequence[str], features: str = FEATURES,
                  out: str = MARGINS, pairs: tuple[Sequence[int], Sequence[int], int] | None = None,
-                 emit_margins: bool = True) -> DataFrame:
+                 emit_margins: bool = True, predict: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``keep`` columns plus ``out`` = array of w_p . x for every problem p.
 
+    With ``predict`` (a batch's n x P margins to n labels) the kernel decodes
+    and emits ``prediction`` alone: no margin leaves the task.
+
     With ``pairs = (pos_index, neg_index, k)`` the kernel also emits ``votes``,
     the one-vs-one vote count of each of the k classes; ``emit_margins=False``
     then leaves out the K(K-1)/2 margins (the votes alone decide).
@@ -52,7 +72,9 @@ def with_margins(df: DataFrame, weights: np.ndarray, keep: Sequence[str], featur
     w_t = np.ascontiguousarray(np.asarray(weights, dtype=np.float64).T)
     dim = w_t.shape[0]
     keep = list(keep)
-    if pairs is None:
+    if predict is not None:
+        pairs, emit_margins = None, False
+    elif pairs is None:
         emit_margins = True
     fields = [df.schema[c] for c in keep]
     if emit_margins:
@@ -60,6 +82,8 @@ def with_margins(df: DataFrame, weights: np.ndarray, keep: Sequence[str], featur
     if pairs is not None:
         pos, neg, k = np.asarray(pairs[0], dtype=np.int64), np.asarray(pairs[1], dtype=np.int64), int(pairs[2])
         fields.append(StructField(VOTES, ArrayType(IntegerType(), True), True))
+    if predict is not None:
+        fields.append(StructField(PREDICTION, IntegerType(), True))
     schema = StructType(fields)
     arrow_schema = to_arrow_schema(schema)
     margins_type = arrow_schema.field(out).type if emit_margins else None
@@ -72,6 +96,8 @@ def with_margins(df: DataFrame, weights: np.ndarray, keep: Sequence[str], featur
             cols = [batch.column(c) for c in keep]
             if emit_margins:
                 cols.append(_list_column(m).cast(margins_type))
+            if predict is not None:
+                cols.append(pa.array(predict(m).astype(np.int32)))
             if pairs is not None:
                 v = pair_votes(m, pos, neg, k)
                 offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * k, pa.int32())

@@ -17,8 +17,8 @@ intercept), t = 1, 2, ...::
     stop once |w_t - w_{t-1}| < tol * max(|w_t|, 1)   (from the second update)
 
 ``n_t`` is the number of batch rows the problem uses. The batch of iteration t
-is the rows with md5('<seed>:<t>:<id>') below ``fraction`` (all rows at 1.0),
-drawn JVM-side before any row goes to Python.
+is a run of hash buckets or a hash draw of every row (see :class:`SGDParams`;
+all rows at fraction 1), chosen JVM-side before any row goes to Python.
 """
 
 from __future__ import annotations
@@ -38,17 +38,18 @@ from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
 
-# The model rides in every task closure (PySpark broadcasts large closures);
-# refuse models that would not fit comfortably in an executor.
-MAX_MODEL_BYTES = 512 * 1024 * 1024
+# Weights that one job's tasks hold; the problems of a larger model are trained
+# in blocks of this size, one job a block and iteration.
+BLOCK_BYTES = 128 * 1024 * 1024
+# Weights above this travel as a broadcast that is dropped after its iteration
+# (smaller ones ride in the task closure).
+CLOSURE_BYTES = 1024 * 1024
 
 
-def check_model_size(problems: int, dim: int) -> None:
-    size = problems * dim * 8
-    if size > MAX_MODEL_BYTES:
-        raise ValueError(
-            f"{problems} problems x {dim} features = {size / 2**20:.0f} MiB of weights exceeds "
-            f"{MAX_MODEL_BYTES / 2**20:.0f} MiB; use one-vs-all or fewer features")
+def problem_blocks(keys: np.ndarray, dim: int, block_bytes: int | None = None) -> list[np.ndarray]:
+    """The problems in blocks whose weights fit ``block_bytes``."""
+    each = max(1, (BLOCK_BYTES if block_bytes is None else block_bytes) // (8 * max(1, dim)))
+    return [keys[i:i + each] for i in range(0, len(keys), each)]
 
 
 # Column holding a row's fixed mini-batch bucket (bucketed batches only).
@@ -57,12 +58,17 @@ BUCKET = "_bucket"
 # Rows per partition below which the training cache is merged (fewer, shorter
 # tasks per iteration) and above which a too-narrow input is spread out.
 MIN_ROWS_PER_PARTITION = 16_384
+# Feature values of one cached partition (a gigabyte of doubles would not fit a task's share).
+MAX_VALUES_PER_PARTITION = 16_000_000
+# Slots (parts of a bucket) dealt to each partition, so that all get the same share.
+SLOTS_PER_PARTITION = 64
 
 
-def wanted_partitions(current: int, n_rows: int, cores: int) -> int:
-    """Partition count fit for iterating: spread a too-narrow input with many
-    rows, merge tiny partitions, otherwise keep the file splits."""
+def wanted_partitions(current: int, n_rows: int, cores: int, dim: int = 1) -> int:
+    """Partition count fit for iterating: spread an input too narrow for its
+    rows or their size, merge tiny partitions, otherwise keep the file splits."""
     wanted = max(1, min(cores, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)))
+    wanted = max(wanted, math.ceil(n_rows * max(1, dim) / MAX_VALUES_PER_PARTITION))
     if current < wanted:
         return wanted
     if n_rows < current * MIN_ROWS_PER_PARTITION and current > wanted:
@@ -88,28 +94,34 @@ def cache_rows(df: DataFrame, storage_level: StorageLevel = StorageLevel.MEMORY_
     return df.persist(storage_level)
 
 
+def bucket_partition(bucket, key, buckets: int, target: int):
+    """Partition of a row: buckets are cut into slots by a hash of the key, and
+    slots dealt out in turn. Any run of buckets then falls evenly on all
+    partitions, also where there are more partitions than buckets."""
+    parts = max(1, -(-SLOTS_PER_PARTITION * target // buckets))
+    slot = bucket.cast("long") * parts + F.pmod(F.xxhash64(key), F.lit(parts))
+    return F.pmod(slot, F.lit(target)).cast("int")
+
+
 def relayout(cached: DataFrame, n_rows: int,
              storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
-             params: "SGDParams | None" = None) -> DataFrame:
+             params: "SGDParams | None" = None, dim: int = 1, target: int | None = None) -> DataFrame:
     """Re-partition an already cached (and filled) training set if its layout
     is unfit for iterating; the new cache is filled from the old one, then the
     old one is released. Each iteration runs one task per partition.
 
-    With bucketed mini-batches the rows get their bucket, buckets are dealt
-    across partitions (bucket mod partitions) and sorted inside each (one
-    shuffle from the cache), so an iteration's range test skips most cached
-    batches in every task.
+    With bucketed mini-batches the rows get their bucket, every bucket is dealt
+    over the partitions (``bucket_partition``: one shuffle from the cache, each
+    row placed exactly) and partitions are sorted by bucket, so an iteration's
+    range test skips most cached batches in every task. The number of
+    partitions follows from the rows and their width (or ``target``).
     """
     current = cached.rdd.getNumPartitions()
-    target = wanted_partitions(current, n_rows, cached.sparkSession.sparkContext.defaultParallelism)
+    target = target or wanted_partitions(current, n_rows, cached.sparkSession.sparkContext.defaultParallelism, dim)
     if params is not None and params.bucketed:
-        target = min(max(target, 1), params.buckets)
-        # Interleave: partition = bucket mod target, so every run of consecutive
-        # buckets falls evenly on all partitions (all tasks busy) and, sorted by
-        # bucket inside, on a contiguous stretch of each partition's cached batches.
-        with_b = cached.withColumn(BUCKET, bucket_of(params.seed, F.col(ID), params.buckets))
+        with_b = cached.withColumn(BUCKET, bucket_of(params.seed, F.col(ID), params.n_buckets))
         if target > 1:
-            with_b = with_b.repartitionByRange(target, F.col(BUCKET) % F.lit(target))
+            with_b = with_b.repartitionById(target, bucket_partition(F.col(BUCKET), F.col(ID), params.n_buckets, target))
         else:
             with_b = with_b.coalesce(1)
         moved = with_b.sortWithinPartitions(BUCKET).persist(storage_level)
@@ -122,20 +134,6 @@ def relayout(cached: DataFrame, n_rows: int,
     return moved
 
 
-def training_cache(df: DataFrame, n_rows: int,
-                   storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
-                   checkpoint: bool = False) -> DataFrame:
-    """Cache rows whose count is already known, laid out for iterating."""
-    spark = df.sparkSession
-    target = wanted_partitions(df.rdd.getNumPartitions(), n_rows, spark.sparkContext.defaultParallelism)
-    current = df.rdd.getNumPartitions()
-    if target > current:
-        df = df.repartition(target)
-    elif target < current:
-        df = df.coalesce(target)
-    return cache_rows(df, storage_level, checkpoint)
-
-
 @dataclass(frozen=True)
 class SGDParams:
     """Hyper-parameters. ``batch_mode``:
@@ -166,9 +164,18 @@ class SGDParams:
     def bucketed(self) -> bool:
         return self.batch_mode == "bucket" and self.fraction < 1.0
 
+    @property
+    def n_buckets(self) -> int:
+        """``buckets``, doubled until rounding to whole buckets changes the
+        fraction by 2 % at most."""
+        n, f = self.buckets, self.fraction
+        while f > 0 and abs(max(1, round(f * n)) / (n * f) - 1) > 0.02 and n < 1 << 30:
+            n *= 2
+        return n
+
     @property
     def bucket_width(self) -> int:
-        return max(1, min(self.buckets, int(round(self.fraction * self.buckets))))
+        return max(1, min(self.n_buckets, int(round(self.fraction * self.n_buckets))))
 
 
 @dataclass
@@ -179,31 +186,33 @@ class FitResult:
     history: list = field(default_factory=list)  # seconds per iteration
 
 
-def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights: np.ndarray, keys: np.ndarray, dim: int):
+def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights, keys: np.ndarray, dim: int):
     """Arrow-batch function: partial hinge sub-gradients for problems ``keys``.
 
-    ``code`` is K x P (all problems), ``weights`` is len(keys) x D. With a
-    dense code (one-vs-all) each batch is one ``X @ W.T``. With zeros in the
-    code (one-vs-one, tree) rows are grouped by class and each group is
-    multiplied only by the columns of the problems that class takes part in:
-    K-1 of K(K-1)/2 for one-vs-one, the nodes on its path for the tree.
+    ``code`` is K x P (all problems), ``weights`` is len(keys) x D (an array or
+    a broadcast of one). With a dense code (one-vs-all) each batch is one
+    ``X @ W.T``. With zeros in the code (one-vs-one, tree) rows are grouped by
+    class and each group is multiplied only by the columns of the problems that
+    class takes part in: K-1 of K(K-1)/2 for one-vs-one, the nodes on its path
+    for the tree. Only the weights, once, and the code's non-zeros travel.
     """
     classes = np.asarray(classes, dtype=np.int64)
-    sub = np.ascontiguousarray(code[:, keys], dtype=np.float64)
-    w_t = np.ascontiguousarray(weights.T)
+    sub = code[:, keys]
     n_keys, k = len(keys), len(classes)
     dense = bool(np.all(sub != 0))
-    cols_of = [] if dense else [np.flatnonzero(sub[c]) for c in range(k)]
-    w_of = [np.ascontiguousarray(w_t[:, cols]) for cols in cols_of]
-    y_of = [sub[c, cols] for c, cols in enumerate(cols_of)]
-    if not dense:
-        w_t = None  # the grouped path only needs the per-class slices
+    signs = sub.astype(np.int8) if dense else None
+    cols_of = [] if dense else [np.flatnonzero(sub[c]).astype(np.int32) for c in range(k)]
+    y_of = [sub[c, cols].astype(np.int8) for c, cols in enumerate(cols_of)]
+    del sub
 
     def class_index(labels: np.ndarray) -> np.ndarray:
         pos = np.clip(np.searchsorted(classes, labels), 0, k - 1)
         return np.where(classes[pos] == labels, pos, -1)
 
     def kernel(batches):
+        w = weights if isinstance(weights, np.ndarray) else weights.value
+        w_t = np.ascontiguousarray(w.T) if dense else None
+        w_of: dict[int, np.ndarray] = {}  # of the classes this task meets
         grad = np.zeros((n_keys, dim))
         used = np.zeros(n_keys, dtype=np.int64)
         seen = False
@@ -215,7 +224,7 @@ def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights: np.ndarray,
             x = feature_block(batch.column(FEATURES), dim)
             idx = class_index(labels)
             if dense:
-                y = np.where((idx >= 0)[:, None], sub[np.maximum(idx, 0)], 0.0)
+                y = np.where((idx >= 0)[:, None], signs[np.maximum(idx, 0)], 0).astype(float)
                 active = np.where(y * (x @ w_t) < 1.0, y, 0.0)
                 grad -= t_product(active, x)
                 used += np.count_nonzero(y, axis=0)
@@ -227,24 +236,29 @@ def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights: np.ndarray,
                 cols = cols_of[c]
                 if hi == lo or len(cols) == 0:
                     continue
+                if c not in w_of:
+                    w_of[c] = np.ascontiguousarray(w[cols].T)
                 rows = x[order[lo:hi]]
-                y = y_of[c]
+                y = y_of[c].astype(float)
                 active = np.where(y[None, :] * (rows @ w_of[c]) < 1.0, y[None, :], 0.0)
                 grad[cols] -= t_product(active, rows)
                 used[cols] += hi - lo
         if seen:
-            yield partial_batch(keys, used, grad)
+            yield partial_batch(np.arange(n_keys), used, grad)
 
     return kernel
 
 
 def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGDParams,
-              cache: bool = True) -> FitResult:
-    """Train every column of ``code`` at once on ``train`` (id, label, features)."""
+              cache: bool = True, block_bytes: int | None = None) -> FitResult:
+    """Train every column of ``code`` at once on ``train`` (id, label, features).
+
+    A model larger than ``block_bytes`` (``BLOCK_BYTES``) is trained in blocks
+    of problems; they do not depend on each other, so the weights are the same.
+    """
     import time
 
     k, p = code.shape
-    check_model_size(p, dim)
     weights = np.zeros((p, dim))
     iters = np.zeros(p, dtype=np.int64)
     converged = np.zeros(p, dtype=bool)
@@ -252,7 +266,7 @@ def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGD
     history = []
     ship_package(train.sparkSession)
     if params.bucketed and BUCKET not in train.columns:
-        train = train.withColumn(BUCKET, bucket_of(params.seed, F.col(ID), params.buckets))
+        train = train.withColumn(BUCKET, bucket_of(params.seed, F.col(ID), params.n_buckets))
     data = train.select(ID, LABEL, FEATURES, *([BUCKET] if params.bucketed else []))
     if cache:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -265,13 +279,20 @@ def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGD
             start = time.perf_counter()
             batch = data
             if params.bucketed:
-                offset = bucket_offset(params.seed, t, params.buckets)
-                batch = data.where(bucket_run(BUCKET, offset, params.bucket_width, params.buckets))
+                offset = bucket_offset(params.seed, t, params.n_buckets)
+                batch = data.where(bucket_run(BUCKET, offset, params.bucket_width, params.n_buckets))
             elif params.fraction < 1.0:
                 batch = data.where(in_fraction_expr(f"{params.seed}:{t}", ID, params.fraction))
-            kernel = gradient_kernel(np.asarray(classes), code, weights[keys], keys, dim)
-            parts = batch.mapInArrow(kernel, PARTIAL_SCHEMA)
-            grad, used = reduce_partials(parts, p, dim, n_parts)
+            batch = batch.select(LABEL, FEATURES)  # all that goes to Python
+            grad, used = np.zeros((p, dim)), np.zeros(p, dtype=np.int64)
+            for block in problem_blocks(keys, dim, block_bytes):
+                own = weights[block]
+                sent = batch.sparkSession.sparkContext.broadcast(own) if own.nbytes > CLOSURE_BYTES else own
+                kernel = gradient_kernel(np.asarray(classes), code, sent, block, dim)
+                parts = batch.mapInArrow(kernel, PARTIAL_SCHEMA)
+                grad[block], used[block] = reduce_partials(parts, len(block), dim, n_parts)
+                if sent is not own:
+                    sent.unpersist()
             eta = params.step / math.sqrt(t)
             for j in keys:
                 n = used[j]
@@ -279,6 +300,8 @@ def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGD
                     continue  # empty batch for this problem: no update this iteration
                 old = weights[j].copy()
                 new = old * (1.0 - eta * params.reg) + (-eta) * (grad[j] / float(n))
+                if not np.isfinite(new).all():
+                    raise ValueError(f"problem {j}: weights are not finite after iteration {t}; check the features")
                 weights[j] = new
                 iters[j] += 1
                 if updated_once[j]:

@@ -24,7 +24,7 @@ from multisvm.operators.coding import (
     class_pairs, collect_inventory, one_vs_all_code, one_vs_one_code, tree_code, tree_layout,
 )
 from multisvm.operators.metrics import PREDICTION
-from multisvm.operators.scoring import MARGINS, VOTES, with_margins
+from multisvm.operators.scoring import MARGINS, VOTES, pair_votes, walk, with_margins
 from multisvm.operators.trainer import FitResult, SGDParams, cache_rows, fit_coded, relayout
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
@@ -70,12 +70,28 @@ class CodedModel:
             return tree_walk(F.col(MARGINS), self.nodes)
         raise ValueError(self.scheme)
 
-    def transform(self, df: DataFrame, keep=None, margins: bool = True) -> DataFrame:
+    def predictor(self):
+        """The decoder as a function of a batch's margins (n x P to n labels)."""
+        classes = np.array(self.classes, dtype=np.int64)
+        if len(classes) == 1:
+            return lambda m: np.full(len(m), classes[0])
+        if self.scheme == "ova":
+            return lambda m: classes[m.argmax(axis=1)]  # ties: the first, i.e. lowest
+        if self.scheme == "ovo":
+            pos, neg = (np.array(x, dtype=np.int64) for x in zip(*self.pairs))
+            return lambda m: classes[pair_votes(m, pos, neg, len(classes)).argmax(axis=1)]
+        nodes = self.nodes
+        return lambda m: walk(m, nodes)
+
+    def transform(self, df: DataFrame, keep=None, margins: bool = True, labels_only: bool = False) -> DataFrame:
         """``keep`` columns + margins (+ votes) + prediction (int).
 
         ``margins=False`` drops the one-vs-one margin array from the output
-        (K(K-1)/2 doubles per row); other schemes need it to decode."""
+        (K(K-1)/2 doubles per row). ``labels_only`` decodes inside the scoring
+        kernel: a row's prediction is all that comes back, for every scheme."""
         keep = list(keep) if keep is not None else [c for c in df.columns if c != FEATURES]
+        if labels_only:
+            return with_margins(df, self.weights, keep, predict=self.predictor())
         scored = self.margins(df, keep, emit_margins=margins or self.scheme != "ovo")
         return scored.withColumn(PREDICTION, self.decode().cast("int"))
 
@@ -97,7 +113,7 @@ class _Trainer:
         cached = cache_rows(df.select(ID, LABEL, FEATURES), self.storage_level, self.checkpoint)
         try:
             inv = collect_inventory(cached)
-            return relayout(cached, sum(inv.counts), self.storage_level, self.params), inv
+            return relayout(cached, sum(inv.counts), self.storage_level, self.params, inv.dim), inv
         except Exception:
             cached.unpersist()
             raise

@@ -9,7 +9,6 @@ tree walk is a recursive CTE over (row, node).
 
 from __future__ import annotations
 
-from multisvm.functions.hashing import fraction_threshold
 from multisvm.operators.trainer import SGDParams
 from multisvm.plans import queries as Q
 
@@ -20,11 +19,15 @@ def rnd(expr: str) -> str:
     return f"(round({expr}, {R}) + 0.0)"
 
 
+# Hash bounds of the fractions used, in 32 bits, and the run of each among 1024 buckets.
+BOUNDS = {0.25: "40000000", 0.5: "80000000"}
+RUNS = {0.25: 256, 0.5: 512}
+
+
 def _in_fraction(salt_sql: str, key_sql: str, fraction: float) -> str:
-    bound = fraction_threshold(fraction)
-    if bound is None:
+    if fraction >= 1:
         return "TRUE"
-    return f"substr(md5(concat({salt_sql}, ':', CAST({key_sql} AS VARCHAR))), 1, 8) < '{bound}'"
+    return f"substr(md5(concat({salt_sql}, ':', CAST({key_sql} AS VARCHAR))), 1, 8) < '{BOUNDS[fraction]}'"
 
 
 def _embeddings_src(split: str) -> list[str]:
@@ -167,7 +170,7 @@ def train_ctes(p: SGDParams) -> list[str]:
     eta = f"({p.step!r} / sqrt(s.t + 1))"
     batch = _in_fraction(f"concat('{p.seed}:', CAST(s.t + 1 AS VARCHAR))", "r.id", p.fraction)
     if p.bucketed:
-        b, w = p.buckets, p.bucket_width
+        b, w = 1024, RUNS[p.fraction]
         bucket = f"CAST(('0x' || substr(md5(concat('{p.seed}:bucket', ':', CAST(r.id AS VARCHAR))), 1, 8)) AS BIGINT) % {b}"
         offset = f"CAST(('0x' || substr(md5(concat('{p.seed}', ':', CAST(s.t + 1 AS VARCHAR))), 1, 8)) AS BIGINT) % {b}"
         batch = f"((({bucket}) - ({offset})) % {b} + {b}) % {b} < {w}"
@@ -302,15 +305,12 @@ def _weights_body(extra_select: str = "", extra_join: str = "") -> str:
   SELECT problem, unnest(w) AS w, generate_subscripts(w, 1) AS j FROM model) m{extra_join}"""
 
 
-def roundtrip_sql() -> str:
-    return """SELECT label, count(*) AS n_rows, CAST(sum(n_values) AS BIGINT) AS n_values,
-       (round(sum(s), 6) + 0.0) AS sum_values, (round(sum(s2), 6) + 0.0) AS sum_squares
+def roundtrip_sql(keys: str = "", of: str = "embeddings") -> str:
+    return f"""SELECT {keys}label, CAST(j - 1 AS INTEGER) AS feature, count(*) AS n_rows,
+       (round(sum(v), 6) + 0.0) AS sum_values, (round(sum(v * v), 6) + 0.0) AS sum_squares
 FROM (
-  SELECT label, len(embedding) AS n_values,
-         list_sum(CAST(embedding AS DOUBLE[])) AS s,
-         list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v)) AS s2
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)
-GROUP BY label"""
+  SELECT {keys}label, unnest(f) AS v, generate_subscripts(f, 1) AS j FROM {of})
+GROUP BY {keys}label, j"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -327,11 +327,12 @@ def oracle_sql() -> dict[str, str]:
                                     recursive=True)
     out["filter_class_set"] = sql(tree, "SELECT id, label FROM train WHERE list_contains((SELECT pos FROM nodes WHERE node = 0), label)",
                                   recursive=True)
-    out["svm_gradient_step"] = sql(base + ova_code(), f"""SELECT c.problem, CAST(j - 1 AS INTEGER) AS feature,
-       {rnd('sum(-c.y * v)')} AS grad, count(*) AS n_rows
-FROM (SELECT label, unnest(f) AS v, generate_subscripts(f, 1) AS j FROM train) x
-JOIN code c ON c.label = x.label
-GROUP BY c.problem, j""")
+    out["svm_gradient_step"] = sql(base + ova_code(), f"""SELECT problem, CAST(j - 1 AS INTEGER) AS feature,
+       {rnd('sum(CASE WHEN y * list_dot_product(w, f) < 1.0 THEN -y * v ELSE 0.0 END)')} AS grad, count(*) AS n_rows
+FROM (SELECT c.problem, c.y, x.f, unnest(x.f) AS v, generate_subscripts(x.f, 1) AS j,
+        list_transform(range((SELECT d FROM dims)), lambda i: CAST((c.problem * 7 + i * 3) % 11 - 5 AS DOUBLE) * CAST(0.6 AS DOUBLE)) AS w
+      FROM train x JOIN code c ON c.label = x.label)
+GROUP BY problem, j""")
     binary_code = ["code AS (SELECT label, 0 AS problem, CASE WHEN class_index = 0 THEN 1 ELSE -1 END AS y FROM cls)"]
     out["svm_binary"] = sql(base + binary_code + train_ctes(Q.BINARY_PARAMS),
                             f"SELECT CAST(j - 1 AS INTEGER) AS feature, {rnd('w')} AS weight FROM "
@@ -389,6 +390,7 @@ FROM nodes""", recursive=True)
     lb, _ = _scheme("ova", "lineitem", Q.ROW_BATCH_PARAMS)
     out["lineitem_train_ova_row_batches"] = sql(lb, _weights_body(", c.label", " JOIN cls c ON c.class_index = m.problem"),
                                              recursive=True)
-    out["load_libsvm"] = roundtrip_sql()
-    out["load_labeled_csv"] = roundtrip_sql()
+    out["load_libsvm"] = sql(base, roundtrip_sql(of="src"))
+    out["load_labeled_csv"] = sql(base, roundtrip_sql(of="src"))
+    out["load_separate_test"] = sql(base, roundtrip_sql("split, ", "src"))
     return out

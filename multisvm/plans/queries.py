@@ -9,16 +9,16 @@ reference programs' own hyper-parameters; they are listed together below.
 from __future__ import annotations
 
 import dataclasses
-import os
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from multisvm.operators.clustering import (
     CLUSTER, assign_clusters, class_cluster_counts, class_to_cluster, cluster_class_order, first_last_centres,
-    lloyd,
+    kmeans_fit, lloyd,
 )
 from multisvm.operators.coding import (
     binarize, class_inventory, code_table, collect_inventory, one_vs_all_code, one_vs_one_code, tree_code,
@@ -67,11 +67,22 @@ def kmeans_iterations() -> int:
     return TREE_DEFAULTS.iterations  # the reference passes its iteration count to k-means
 
 
+def table_state(spark: SparkSession, sf_dir: str, table: str) -> tuple:
+    """(path, length, modification time) of the table's files: a model is kept
+    for these data, not for a path."""
+    state = []
+    for name in sorted(TABLES[table](spark, sf_dir).inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        state.append((name, found.getLen(), found.getModificationTime()))
+    return tuple(state)
+
+
 def fitted(spark: SparkSession, sf_dir: str, scheme: str, table: str = "embeddings",
            params: SGDParams | None = None) -> CodedModel:
-    """Train once per (scheme, table, folder, parameters) and keep the P x D model."""
+    """Train once per (scheme, table's files, parameters) and keep the P x D model."""
     params = params or PARAMS[scheme]
-    key = (scheme, table, os.path.abspath(sf_dir), params)
+    key = (scheme, table_state(spark, sf_dir, table), params)
     if key not in _MODELS:
         kw = {}
         if scheme == "tree":
@@ -81,16 +92,17 @@ def fitted(spark: SparkSession, sf_dir: str, scheme: str, table: str = "embeddin
 
 
 def weights_frame(spark: SparkSession, weights: np.ndarray, extra: dict[str, list] | None = None) -> DataFrame:
-    """Model as long rows (problem, feature, weight) plus per-problem columns."""
+    """Model as long rows (problem, feature, weight) plus per-problem columns:
+    one Arrow row a problem on the driver, exploded on Spark."""
     extra = extra or {}
-    rows = []
-    for p in range(weights.shape[0]):
-        ext = tuple(int(extra[c][p]) for c in extra)
-        for j in range(weights.shape[1]):
-            rows.append((p, *ext, j, float(weights[p, j])))
-    cols = ["problem int"] + [f"{c} int" for c in extra] + ["feature int", "w double"]
-    df = spark.createDataFrame(rows, ", ".join(cols))
-    return df.select(*[c.split()[0] for c in cols[:-1]], rounded(F.col("w")).alias("weight"))
+    width = weights.shape[1]
+    table = pa.table({
+        "problem": pa.array(np.arange(len(weights), dtype=np.int32)),
+        **{c: pa.array(v, pa.int32()) for c, v in extra.items()},
+        "ws": pa.ListArray.from_arrays(np.arange(len(weights) + 1, dtype=np.int32) * width, pa.array(weights.ravel())),
+    })
+    long = spark.createDataFrame(table).select("problem", *extra, F.posexplode("ws").alias("feature", "w"))
+    return long.select("problem", *extra, "feature", rounded(F.col("w")).alias("weight"))
 
 
 # ---------------------------------------------------------------- sources
@@ -99,11 +111,11 @@ def q_train_test_split(spark, sf_dir):
     return labelled_split(spark, sf_dir).select(ID, LABEL, SPLIT)
 
 
-def _roundtrip_summary(df: DataFrame) -> DataFrame:
-    vals = F.explode(dense_array(df))
-    per_row = df.select(LABEL, vals.alias("v"))
-    return per_row.groupBy(LABEL).agg(
-        F.count(F.lit(1)).alias("n_values"),
+def _by_feature(df: DataFrame, *keys: str) -> DataFrame:
+    """One scan: count, sum and sum of squares by label and feature index."""
+    long = df.select(*keys, LABEL, F.posexplode(dense_array(df)).alias("feature", "v"))
+    return long.groupBy(*keys, LABEL, "feature").agg(
+        F.count(F.lit(1)).alias("n_rows"),
         rounded(F.sum("v")).alias("sum_values"),
         rounded(F.sum(F.col("v") * F.col("v"))).alias("sum_squares"),
     )
@@ -113,18 +125,24 @@ def q_load_libsvm(spark, sf_dir):
     """Write the embeddings as LibSVM text to the shared folder, read it back."""
     path = scratch_path(spark, "libsvm")
     write_libsvm(embeddings(spark, sf_dir), path)
-    back = read_libsvm(spark, path, num_features=64)
-    counts = back.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.join(_roundtrip_summary(back), LABEL)
+    return _by_feature(read_libsvm(spark, path, num_features=64))
 
 
 def q_load_labeled_csv(spark, sf_dir):
     """Same round trip through the labelled CSV source (64 fields + label)."""
     path = scratch_path(spark, "csv")
     write_labeled_csv(embeddings(spark, sf_dir), path, 64)
-    back = read_labeled_csv(spark, path, 64)
-    counts = back.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.join(_roundtrip_summary(back), LABEL)
+    return _by_feature(read_labeled_csv(spark, path, 64))
+
+
+def q_load_separate_test(spark, sf_dir):
+    """Separate train and test files, read with one width."""
+    data, parts = labelled_split(spark, sf_dir), []
+    for name in ("train", "test"):
+        path = scratch_path(spark, f"libsvm-{name}")
+        write_libsvm(data.where(F.col(SPLIT) == name), path)
+        parts.append(read_libsvm(spark, path, num_features=64).withColumn(SPLIT, F.lit(name)))
+    return _by_feature(parts[0].unionByName(parts[1]), SPLIT)
 
 
 # ---------------------------------------------------------------- coding
@@ -164,14 +182,16 @@ def q_filter_class_set(spark, sf_dir):
 # ---------------------------------------------------------------- training
 
 def q_svm_gradient_step(spark, sf_dir):
-    """First sub-gradient of every one-vs-all problem (w = 0), summed by Spark."""
+    """Sub-gradient of every one-vs-all problem at fixed weights that put rows on
+    both sides of the hinge, summed by Spark."""
     train = train_rows(spark, sf_dir)
     inv = collect_inventory(train)
     code = one_vs_all_code(inv.k)
     keys = np.arange(inv.k)
-    kernel = gradient_kernel(np.asarray(inv.classes), code, np.zeros((inv.k, inv.dim)), keys, inv.dim)
+    weights = ((np.arange(inv.k)[:, None] * 7 + np.arange(inv.dim)[None, :] * 3) % 11 - 5) * 0.6
+    kernel = gradient_kernel(np.asarray(inv.classes), code, weights, keys, inv.dim)
     ship_package(spark)
-    parts = train.select(ID, LABEL, FEATURES).mapInArrow(kernel, PARTIAL_SCHEMA)
+    parts = train.select(LABEL, FEATURES).mapInArrow(kernel, PARTIAL_SCHEMA)
     return (
         parts.select(F.col("k").alias("problem"), "n", F.posexplode("g").alias("feature", "v"))
         .groupBy("problem", "feature")
@@ -215,7 +235,7 @@ def scored(spark, sf_dir, scheme: str, split: str | None = None, table: str = "e
     rows = labelled_split(spark, sf_dir, table)
     if split is not None:
         rows = rows.where(F.col(SPLIT) == split)
-    return m.transform(rows, keep=[ID, LABEL, SPLIT])
+    return m.transform(rows, keep=[ID, LABEL, SPLIT], labels_only=True)
 
 
 def q_ova_margins(spark, sf_dir):
@@ -242,7 +262,7 @@ def q_ovo_votes(spark, sf_dir):
 # ---------------------------------------------------------------- clustering
 
 def _lloyd_centres(spark, sf_dir) -> np.ndarray:
-    key = ("lloyd", os.path.abspath(sf_dir), kmeans_iterations(), KMEANS_TOL)
+    key = ("lloyd", table_state(spark, sf_dir, "embeddings"), kmeans_iterations(), KMEANS_TOL)
     if key not in _MODELS:
         train = train_rows(spark, sf_dir)
         _MODELS[key] = lloyd(train, first_last_centres(train), kmeans_iterations(), KMEANS_TOL)[0]
@@ -251,9 +271,13 @@ def _lloyd_centres(spark, sf_dir) -> np.ndarray:
 
 def q_kmeans_lloyd(spark, sf_dir):
     c = _lloyd_centres(spark, sf_dir)
-    rows = [(i, j, float(c[i, j])) for i in range(c.shape[0]) for j in range(c.shape[1])]
-    df = spark.createDataFrame(rows, "cluster int, feature int, c double")
-    return df.select(CLUSTER, "feature", rounded(F.col("c")).alias("centre"))
+    return weights_frame(spark, c).withColumnsRenamed({"problem": CLUSTER, "weight": "centre"})
+
+
+def q_kmeans_parallel(spark, sf_dir):
+    """Centres of k-means from the k-means|| start (no SQL: its draws are Spark's)."""
+    c = kmeans_fit(train_rows(spark, sf_dir), 2, kmeans_iterations(), SEED, "k-means||", KMEANS_TOL)
+    return weights_frame(spark, c).withColumnsRenamed({"problem": CLUSTER, "weight": "centre"})
 
 
 def _assigned(spark, sf_dir) -> DataFrame:
@@ -322,6 +346,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_test_split": q_train_test_split,
     "load_libsvm": q_load_libsvm,
     "load_labeled_csv": q_load_labeled_csv,
+    "load_separate_test": q_load_separate_test,
     "class_inventory": q_class_inventory,
     "binarize_one_vs_rest": q_binarize_one_vs_rest,
     "binarize_pair": q_binarize_pair,
@@ -342,6 +367,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ovo_metrics_by_label": _by_label_query("ovo"),
     "ovo_metrics_summary": _summary_query("ovo"),
     "kmeans_lloyd": q_kmeans_lloyd,
+    "kmeans_parallel": q_kmeans_parallel,
     "kmeans_assign": q_kmeans_assign,
     "kmeans_cost": q_kmeans_cost,
     "class_cluster_counts": q_class_cluster_counts,

@@ -3,7 +3,9 @@ scratch folder that jobs write derived tables to."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,12 +34,14 @@ def local_session(cpus: int | str = "*", app: str = "multisvm", shuffle_partitio
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to shared storage; we only pick a
-    local folder when nothing is configured (tests, local benches).
+    On a cluster the setting must name storage that all machines share; without
+    it this raises. In local mode (tests, benches) a temporary folder is taken.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="multisvm-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current
@@ -49,14 +53,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a derived table."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(clear_scratch, spark)
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the derived tables of this process (also done when it ends)."""
+    while _SCRATCH:
+        path = _SCRATCH.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended: what is local can still go
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
-__all__ = ["local_session", "checkpoint_dir", "scratch_path", "is_local"]
+__all__ = ["local_session", "checkpoint_dir", "scratch_path", "clear_scratch", "is_local"]
 
 
 _SHIPPED: set[str] = set()

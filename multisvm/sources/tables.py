@@ -7,9 +7,9 @@ cache and on the Arrow wire; the numpy kernels widen per batch).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, DecimalType, DoubleType, FloatType
 
 ID, LABEL, FEATURES = "id", "label", "features"
 
@@ -19,16 +19,33 @@ def labelled(df: DataFrame, id_col: str | None = "id", label_col: str = "label",
     """Project any table onto the labelled schema.
 
     ``features`` stays as it is: an array (dense) or an ML vector column
-    (LibSVM; sparse rows are multiplied sparse in the kernels, never
-    densified). Without an id column, ``monotonically_increasing_id`` gives one
-    that is stable for a fixed file layout (needed by the hash split).
+    (LibSVM; multiplied in bounded blocks in the kernels). Rows without a label
+    or without features take no part. What would be lost or merged in silence
+    is an error when it is read: a null id, a label that is not a whole number,
+    a null or NaN feature (of array columns; the trainer rejects non-finite
+    weights in any case).
+
+    Without an id column the id is a hash of label and features: the same
+    whatever the file layout, so the hash split and the mini-batches are, too.
+    Rows with equal content share an id and fall on the same side.
     """
-    rid = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
-    return df.select(
-        rid.alias(ID),
-        F.col(label_col).cast("int").alias(LABEL),
-        F.col(features_col).alias(FEATURES),
-    ).where(F.col(LABEL).isNotNull() & F.col(FEATURES).isNotNull())
+    label, features = F.col(label_col), F.col(features_col)
+    rows = df.where(label.isNotNull() & features.isNotNull())
+    if id_col:
+        rid = F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit(f"null id in column {id_col}")).cast("long"))
+    else:
+        rid = F.xxhash64(label, features)
+    kind = df.schema[label_col].dataType
+    if isinstance(kind, (DoubleType, FloatType, DecimalType)):
+        whole = F.when(label == F.floor(label), label).otherwise(
+            F.raise_error(F.concat(F.lit("label is not a whole number: "), label.cast("string"))).cast(kind))
+        label = whole
+    if isinstance(df.schema[features_col].dataType, ArrayType):
+        bad = F.exists(features, lambda x: x.isNull() | F.isnan(x.cast("double")))
+        features = F.when(~bad, features).otherwise(
+            F.raise_error(F.lit(f"null or NaN value in {features_col}")).cast(df.schema[features_col].dataType))
+    meta = df.schema[features_col].metadata
+    return rows.select(rid.alias(ID), label.cast("int").alias(LABEL), features.alias(FEATURES, metadata=meta or {}))
 
 
 def is_vector(df: DataFrame, col: str = FEATURES) -> bool:
@@ -65,10 +82,6 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(read_table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
 
 
-# Largest number of distinct string labels mapped to class indices.
-MAX_LABELS = 100_000
-
-
 def from_columns(df: DataFrame, feature_cols: list[str], label_col: str, id_cols: list[str],
                  scale: str | None = "maxabs", labels: list | None = None) -> DataFrame:
     """Numeric columns -> labelled frame.
@@ -82,10 +95,9 @@ def from_columns(df: DataFrame, feature_cols: list[str], label_col: str, id_cols
     * ``scale="maxabs"`` divides each feature by its largest absolute value
       over the table, the way LibSVM ``.scale`` inputs are prepared.
 
-    At most two passes before training: one aggregate for the scale factors
-    and the distinct-label count, then (string labels only) the distinct
-    labels themselves, collected only after the count is checked against
-    ``MAX_LABELS``.
+    One aggregate before training for the scale factors. String labels are
+    numbered on Spark (distinct values, ranked) and joined on the label; the
+    label table is broadcast by Spark's own size check, never collected.
     """
     from pyspark.sql.types import StringType
 
@@ -93,22 +105,20 @@ def from_columns(df: DataFrame, feature_cols: list[str], label_col: str, id_cols
     for c in feature_cols:
         complete = complete & F.col(c).isNotNull()
     kept = df.where(complete)
-    string_labels = isinstance(df.schema[label_col].dataType, StringType) and labels is None
-    aggs = []
-    if scale == "maxabs":
-        aggs += [F.max(F.abs(F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(feature_cols)]
-    elif scale is not None:
+    if scale not in ("maxabs", None):
         raise ValueError(f"unknown scale {scale!r}")
-    if string_labels:
-        aggs.append(F.count_distinct(F.col(label_col)).alias("n_labels"))
-    stats = kept.agg(*aggs).first() if aggs else None
+    aggs = [F.max(F.abs(F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(feature_cols)]
+    stats = kept.agg(*aggs).first() if scale == "maxabs" and aggs else None
     label = F.col(label_col)
-    if string_labels:
-        if stats.n_labels > MAX_LABELS:
-            raise ValueError(f"{stats.n_labels} distinct labels in {label_col}; more than {MAX_LABELS}")
-        labels = sorted(r[0] for r in kept.select(label_col).distinct().collect())
-    if labels is not None and isinstance(df.schema[label_col].dataType, StringType):
-        label = F.array_position(F.array(*[F.lit(v) for v in sorted(labels)]), label) - 1
+    if isinstance(df.schema[label_col].dataType, StringType):
+        if labels is None:
+            known = kept.select(label_col).distinct()
+        else:
+            known = df.sparkSession.createDataFrame([(v,) for v in sorted(labels)], f"`{label_col}` string")
+        # one row a label after the aggregate: ranked in one small window
+        known = known.select(F.col(label_col), (F.row_number().over(Window.orderBy(label_col)) - 1).alias("_label_index"))
+        kept = kept.join(known, label_col, "inner" if labels is None else "left")
+        label = F.col("_label_index")
     feats = [F.col(c).cast("double") for c in feature_cols]
     if scale == "maxabs":
         feats = [f / F.lit(float(stats[f"m{i}"]) if stats[f"m{i}"] else 1.0) for i, f in enumerate(feats)]

@@ -64,7 +64,7 @@ def test_bucketed_cache_scan_is_pruned(spark):
     cached = cache_rows(df)
     cached.count()
     laid = relayout(cached, 4000, params=p)
-    q = laid.where(bucket_run(F.col(BUCKET), 10, p.bucket_width, p.buckets))
+    q = laid.where(bucket_run(F.col(BUCKET), 10, p.bucket_width, p.n_buckets))
     buf = io.StringIO()
     with redirect_stdout(buf):
         q.explain()

@@ -82,3 +82,12 @@ def test_ovo_transform_without_margins(blobs):
     lean = m.transform(blobs, keep=["id"], margins=False)
     assert lean.columns == ["id", "votes", "prediction"]
     assert {r.id: r.prediction for r in lean.collect()} == full
+
+
+@pytest.mark.parametrize("scheme", [OneVsAll, OneVsOne, ClusterTree])
+def test_labels_decoded_in_the_kernel_equal_the_column_decoders(blobs, scheme):
+    m = scheme(SGDParams(iterations=3, step=1.0, reg=0.001)).fit(blobs)
+    full = {r.id: r.prediction for r in m.transform(blobs).collect()}
+    lean = m.transform(blobs, keep=["id"], labels_only=True)
+    assert lean.columns == ["id", "prediction"]
+    assert {r.id: r.prediction for r in lean.collect()} == full

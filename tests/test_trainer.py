@@ -96,12 +96,26 @@ def test_spark_side_reduction_equals_driver_sum(train, monkeypatch, groups):
     assert np.abs(a - b).max() < 1e-12
 
 
-def test_model_size_bound():
-    from multisvm.operators.trainer import check_model_size
+def test_problem_blocks_give_the_same_weights(spark, train):
+    from multisvm.operators.coding import collect_inventory, one_vs_one_code
+    from multisvm.operators.trainer import SGDParams, fit_coded
 
-    check_model_size(45, 784)
-    with pytest.raises(ValueError):
-        check_model_size(500_000, 784)
+    inv = collect_inventory(train)
+    code, p = one_vs_one_code(inv.k), SGDParams(iterations=4, step=4.0, fraction=0.5)
+    whole = fit_coded(train, code, inv.classes, inv.dim, p).weights
+    blocks = fit_coded(train, code, inv.classes, inv.dim, p, block_bytes=8 * inv.dim * 7).weights
+    assert np.abs(whole - blocks).max() < 1e-12
+
+
+def test_broadcast_weights_give_the_same_weights(spark, train, monkeypatch):
+    import multisvm.operators.trainer as tr
+    from multisvm.operators.coding import collect_inventory, one_vs_all_code
+
+    inv = collect_inventory(train)
+    code, p = one_vs_all_code(inv.k), tr.SGDParams(iterations=3, fraction=0.5)
+    a = tr.fit_coded(train, code, inv.classes, inv.dim, p).weights
+    monkeypatch.setattr(tr, "CLOSURE_BYTES", 0)
+    assert np.abs(a - tr.fit_coded(train, code, inv.classes, inv.dim, p).weights).max() < 1e-12
 
 
 def test_sparse_code_kernel_equals_dense_product(spark, train):
@@ -130,20 +144,49 @@ def test_sparse_code_kernel_equals_dense_product(spark, train):
     assert out.column("n").to_pylist() == list(np.count_nonzero(y, axis=0))
 
 
-def test_training_cache_layout(spark, monkeypatch):
-    import multisvm.operators.trainer as tr
+def test_layout_has_more_even_partitions_than_buckets(spark):
+    from multisvm.operators.trainer import BUCKET, SGDParams, cache_rows, relayout
+    from multisvm.functions.hashing import bucket_run
+    from pyspark.sql import functions as F
+
+    n, target = 60_000, 48
+    df = spark.range(n).select("id", (F.col("id") % 3).cast("int").alias("label"), F.array(F.lit(1.0)).alias("features"))
+    p = SGDParams(fraction=0.25, buckets=16)
+    cached = cache_rows(df)
+    cached.count()
+    laid = relayout(cached, n, params=p, target=target)
+    assert laid.rdd.getNumPartitions() == target
+    per = laid.groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+    assert len(per) == target and per.max() / per.mean() < 1.3
+    batch = laid.where(bucket_run(BUCKET, 3, p.bucket_width, p.n_buckets))
+    assert batch.select(F.spark_partition_id().alias("p")).distinct().count() == target
+    laid.unpersist()
+
+
+def test_partition_count_follows_the_size():
+    from multisvm.operators.trainer import wanted_partitions
+
+    assert wanted_partitions(10, 100_000_000_000, 1000, 784) > 1_000_000
+    assert wanted_partitions(64, 200, 8, 64) == 1
+
+
+@pytest.mark.parametrize("fraction", [0.25, 0.0001, 0.003])
+def test_small_fractions_are_honoured(fraction):
+    from multisvm.operators.trainer import SGDParams
+
+    p = SGDParams(fraction=fraction)
+    assert abs(p.bucket_width / p.n_buckets / fraction - 1) < 0.02
+
+
+def test_bucket_batches_learn_like_row_draws(spark):
+    from multisvm import ClusterTree, OneVsAll, OneVsOne
+    from pyspark.sql import functions as F
 
-    cores = spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(tr, "MIN_ROWS_PER_PARTITION", 10)
-    wide = spark.range(1000).coalesce(1)
-    spread = tr.training_cache(wide, 1000)
-    assert spread.rdd.getNumPartitions() == min(cores, 100)
-    spread.unpersist()
-    tiny = spark.range(30).repartition(12)
-    merged = tr.training_cache(tiny, 30)
-    assert merged.rdd.getNumPartitions() == 3
-    merged.unpersist()
-    big = spark.range(5000).repartition(cores * 2)
-    kept = tr.training_cache(big, 5000)  # enough rows per partition, more partitions than cores: keep
-    assert kept.rdd.getNumPartitions() == cores * 2
-    kept.unpersist()
+    rng = np.random.default_rng(0)
+    rows = [(i, i % 4, (rng.normal(0, 0.3, 6) + 3 * np.eye(6)[i % 4]).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    for scheme in (OneVsAll, OneVsOne, ClusterTree):
+        for mode in ("bucket", "row"):
+            m = scheme(iterations=15, batch_mode=mode).fit(df)
+            hit = m.transform(df, labels_only=True).where(F.col("label") == F.col("prediction")).count()
+            assert hit >= 396, (scheme.__name__, mode, hit)
