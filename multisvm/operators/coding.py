@@ -26,6 +26,11 @@ from multisvm.sources.tables import FEATURES, LABEL, is_vector, vector_width
 BROADCAST_MAX_ENTRIES = 2_000_000
 
 
+# Classes are planned on the driver (class lists, tree, code matrix); a column
+# with more distinct values than this is taken for an identifier.
+MAX_CLASSES = 20_000
+
+
 @dataclass(frozen=True)
 class Inventory:
     classes: tuple[int, ...]
@@ -63,9 +68,12 @@ def collect_inventory(df: DataFrame) -> Inventory:
     aggs = [F.count(F.lit(1)).alias("n")]
     if not vector:
         aggs += [F.min(F.size(FEATURES)).alias("dmin"), F.max(F.size(FEATURES)).alias("dmax")]
-    rows = df.groupBy(LABEL).agg(*aggs).orderBy(LABEL).collect()
+    rows = df.groupBy(LABEL).agg(*aggs).limit(MAX_CLASSES + 1).collect()
     if not rows:
         raise ValueError("no labelled rows")
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} distinct labels; is {LABEL} an identifier?")
+    rows.sort(key=lambda r: r[LABEL])
     if vector:
         dim = vector_width(df)
         if dim is None:

@@ -100,3 +100,32 @@ def test_metrics_match_hand_computation(spark):
     assert m[1].fp == 2 and m[1].false_positive_rate == 2 / 6
     p, r = 2 / 4, 2 / 2
     assert m[1].f1 == 2.0 * p * r / (p + r)
+
+
+def test_metrics_equal_the_multiclass_yardstick(spark):
+    """Spark's own MulticlassMetrics on random predictions, one class never predicted."""
+    import random
+
+    from pyspark.mllib.evaluation import MulticlassMetrics
+    from multisvm.operators.metrics import accuracy_summary, confusion, metrics_by_label
+
+    rng = random.Random(1)
+    rows = [(rng.choice([0, 1, 1, 2, 4]), rng.choice([0, 1, 2, 2]), "test") for _ in range(300)]
+    scored = spark.createDataFrame(rows, "label int, prediction int, split string")
+    want = MulticlassMetrics(scored.rdd.map(lambda r: (float(r.prediction), float(r.label))))
+    for r in metrics_by_label(confusion(scored)).collect():
+        k = float(r.label)
+        assert abs(r.precision - want.precision(k)) < 1e-12 and abs(r.recall - want.recall(k)) < 1e-12
+        assert abs(r.false_positive_rate - want.falsePositiveRate(k)) < 1e-12 and abs(r.f1 - want.fMeasure(k)) < 1e-12
+    assert abs(accuracy_summary(scored).first().test_accuracy - want.accuracy) < 1e-12
+
+
+def test_an_identifier_is_not_taken_for_a_label(spark, monkeypatch):
+    import pytest
+    from pyspark.sql import functions as F
+    from multisvm.operators import coding
+
+    monkeypatch.setattr(coding, "MAX_CLASSES", 5)
+    df = spark.range(9).select("id", F.col("id").cast("int").alias("label"), F.array(F.lit(1.0)).alias("features"))
+    with pytest.raises(ValueError):
+        coding.collect_inventory(df)

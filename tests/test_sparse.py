@@ -85,3 +85,26 @@ def test_training_on_sparse_libsvm_equals_dense_numpy(spark):
     scored = model.transform(df).toPandas()
     margins = np.stack(scored.margins.values)
     assert margins.shape == (n, k)
+
+
+def test_sparse_products_stay_within_their_memory():
+    """Many problems, rows like scaled images: temporaries do not grow with them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    _, sp = _random_sparse(rng, 3000, 784, 0.19)
+    w, coef = rng.normal(size=(784, 45)), rng.normal(size=(3000, 45))
+    for product in (lambda: sp @ w, lambda: t_product(coef, sp)):
+        tracemalloc.start()
+        product()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60_000_000
+
+
+def test_very_sparse_wide_rows():
+    rng = np.random.default_rng(4)
+    dense, sp = _random_sparse(rng, 50, 5000, 0.002)
+    assert sp._thin()
+    w, coef = rng.normal(size=(5000, 7)), rng.normal(size=(50, 7))
+    assert np.allclose(sp @ w, dense @ w) and np.allclose(t_product(coef, sp), coef.T @ dense)
