@@ -65,6 +65,7 @@ FURNITURE = set(
     "newsletter subscribe subscription signup login search searchbox share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond replies reply form toolbar tooltip skip copyright".split()
 )
+HEADER = set("header masthead banner".split())
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
@@ -74,9 +75,8 @@ class _Events(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # per element: parent, name, flag (0 none, 1 by class or id, 2 by tag)
+        # per element: parent, name, flag (0 none, 1 by class or id, 2 by tag, 3 a header by class or id)
         self.parent, self.name, self.flag = [-1], ["#"], [0]
-        self.heads = [False]  # holds a heading of the first or second level
         self.open = [0]
         self.hidden = 0
         # per line: text, characters in links, tags, element
@@ -111,13 +111,10 @@ class _Events(HTMLParser):
             self._close({"p"})
         if tag in CLOSES:
             self._close(CLOSES[tag])
-        flag = 2 if tag in HIDDEN or tag in FORMS or tag in ASIDE else 1 if attrs and tag not in BODY and _named(tag, attrs) else 0
+        flag = 2 if tag in HIDDEN or tag in FORMS or tag in ASIDE else _named(tag, attrs) if attrs and tag not in BODY else 0
         self.parent.append(self.open[-1])
         self.name.append(tag)
         self.flag.append(flag)
-        self.heads.append(False)
-        if tag in ("h1", "h2"):
-            self.heads[self.open[-1]] = True
         self.open.append(len(self.name) - 1)
         self.hidden += tag in HIDDEN
 
@@ -169,18 +166,21 @@ class _Events(HTMLParser):
         self._cut()
 
 
-def _named(tag: str, attrs) -> bool:
-    """Do the class, id or role of an element call it furniture? (A heading is
-    furniture only with what it stands in.)"""
+def _named(tag: str, attrs) -> int:
+    """Do the class, id or role of an element call it furniture? 1 if so, 3 if
+    only a header, 0 if not. (A heading is furniture only with what it stands in.)"""
     if tag in HEADINGS:
-        return False
+        return 0
+    found = 0
     for key, value in attrs:
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 1
         if value and key in ("class", "id", "role"):
-            if any(word.lower() in FURNITURE for word in _NAME.findall(value)):
-                return True
-    return False
+            words = {word.lower() for word in _NAME.findall(value)} & FURNITURE
+            if words - HEADER:
+                return 1
+            found = 3 if words else found
+    return found
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0, reach: int = 2) -> np.ndarray:
@@ -234,16 +234,16 @@ def main_text(html: str | None) -> str:
             size[parent[e]] += size[e]
             headed[parent[e]] = headed[parent[e]] or headed[e]
         for e in range(1, n):
-            holds[e] = holds[e] or page.flag[e] == 1 and headed[e] and 10 * size[e] >= 6 * size[0]
+            holds[e] = holds[e] or page.flag[e] in (1, 3) and headed[e] and 10 * size[e] >= 6 * size[0]
     in_article = [False] * n
     furniture = [False] * n
     for e in range(1, n):
         p = parent[e]
         in_article[e] = in_article[p] or (holds[e] and name[e] in ("article", "main"))
         flag = page.flag[e]
-        if in_article[p] and (name[e] == "header" or flag == 1 and page.heads[e]):
+        if in_article[p] and (name[e] == "header" and flag == 2 or flag == 3):
             flag = 0  # an article's own heading
-        furniture[e] = furniture[p] or flag == 2 or flag == 1 and not holds[e]
+        furniture[e] = furniture[p] or flag == 2 or flag in (1, 3) and not holds[e]
     lines = [x for x in page.lines if not furniture[x[3]]]
     if not lines:
         return ""

@@ -33,6 +33,13 @@ def test_article_among_heavier_text():
     assert main_text(page) == "T\n\nOne two three"
 
 
+def test_parts_of_an_article():
+    page = f"""<article class="post"><div class="post-header"><h1>Head</h1><p class="byline">By a person</p></div><p>{LONG}</p>
+    <div class="related-posts"><h2>Related</h2><ul><li>{LONG}</li></ul></div><figure><img src=x><figcaption>Caption</figcaption></figure>
+    <table><tr><td>a</td><td>b</td></tr></table><div class="commentList"><h2>Comments</h2><p>{LONG}</p></div></article>"""
+    assert main_text(page).split("\n\n") == ["Head", "By a person", LONG, "Caption", "a", "b"]
+
+
 def test_broken_and_empty_pages():
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<nav>menu</nav>") == ""
     assert main_text("plain &lt;text&gt; only") == "plain <text> only"
