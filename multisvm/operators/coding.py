@@ -20,10 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from multisvm.sources.tables import FEATURES, LABEL, is_vector, vector_width
+from multisvm.sources.tables import FEATURES, ID, LABEL, is_vector, vector_width
 
-# A code table above this many non-zero entries is joined without a broadcast hint.
+# A code table above this many non-zero entries is joined by shuffle, with salted labels.
 BROADCAST_MAX_ENTRIES = 2_000_000
+# Parts of a class's rows in that join.
+SALTS = 32
 
 
 # Classes are planned on the driver (class lists, tree, code matrix); a column
@@ -179,5 +181,10 @@ def binarize(df: DataFrame, codes: DataFrame, n_entries: int) -> DataFrame:
     Covers one-vs-rest, pair (filter to two classes, then 1/0) and class-set
     binarization alike: the code table says which rows each problem uses.
     """
-    side = F.broadcast(codes) if n_entries <= BROADCAST_MAX_ENTRIES else codes
-    return df.join(side, on=LABEL, how="inner")
+    if n_entries <= BROADCAST_MAX_ENTRIES:
+        return df.join(F.broadcast(codes), on=LABEL, how="inner")
+    # Too large to broadcast: a class may hold a third of the rows, so they are
+    # dealt over salts and every code entry goes to each of them.
+    salt = F.array(*[F.lit(i) for i in range(SALTS)])
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(ID), F.lit(SALTS)).cast("int"))
+    return rows.join(codes.withColumn("_salt", F.explode(salt)), on=[LABEL, "_salt"], how="inner").drop("_salt")

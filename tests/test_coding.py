@@ -81,3 +81,15 @@ def test_tree_code_marks_unused_classes_zero():
     assert m[:, 0].tolist() == [1, 1, -1, -1]
     assert m[:, 1].tolist() == [1, -1, 0, 0]
     assert m[:, 2].tolist() == [0, 0, 1, -1]
+
+
+def test_binarize_without_broadcast_equals_with(spark):
+    from multisvm.operators import coding
+    from pyspark.sql import functions as F
+
+    df = spark.range(200).select("id", (F.col("id") % 4).cast("int").alias("label"))
+    code = coding.one_vs_one_code(4)
+    codes = coding.code_table(spark, code, [0, 1, 2, 3])
+    a = sorted(map(tuple, coding.binarize(df, codes, 12).collect()))
+    b = coding.binarize(df, codes, coding.BROADCAST_MAX_ENTRIES + 1)
+    assert b.columns == ["label", "id", "problem", "y"] and sorted(map(tuple, b.collect())) == a
