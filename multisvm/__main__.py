@@ -69,6 +69,7 @@ def main(argv=None) -> dict:
     from multisvm.plans.classifiers import trainer_for
     from multisvm.session import ship_package
     from multisvm.sources import SPLIT, with_split
+    from multisvm.sources.tables import vector_width
 
     builder = SparkSession.builder.appName(f"multisvm-{args.scheme}")
     if args.master:
@@ -80,12 +81,14 @@ def main(argv=None) -> dict:
     data = load(spark, args.input, args)
     if args.test_input:
         test = load(spark, args.test_input, args)
+        if args.format == "libsvm" and not args.num_features:
+            # one width for both files: the larger of the two that were found
+            args.num_features = max(vector_width(data) or 0, vector_width(test) or 0)
+            data, test = load(spark, args.input, args), load(spark, args.test_input, args)
         data = data.withColumn(SPLIT, F.lit("train")).unionByName(test.withColumn(SPLIT, F.lit("test")))
     t_split = time.perf_counter()
     if not args.test_input:
         data = with_split(data, args.train_fraction, args.seed)
-    data = data.cache()
-    n_rows = data.count()
     t_train = time.perf_counter()
     overrides = {k: v for k, v in {"iterations": args.iterations, "step": args.step, "reg": args.reg,
                                    "fraction": args.batch_fraction, "seed": args.seed,
@@ -100,7 +103,7 @@ def main(argv=None) -> dict:
     t_end = time.perf_counter()
     report = {
         "scheme": args.scheme,
-        "rows": n_rows,
+        "rows": int(summary.n_train + summary.n_test),
         "classifiers": int(model.problems),
         "train_accuracy": summary.train_accuracy,
         "test_accuracy": summary.test_accuracy,
@@ -112,7 +115,6 @@ def main(argv=None) -> dict:
         "by_label": [r.asDict() for r in by_label],
     }
     scored.unpersist()
-    data.unpersist()
     if args.json:
         print(json.dumps(report))
     else:

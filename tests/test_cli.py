@@ -31,3 +31,14 @@ def test_cli_separate_test_file_and_checkpoint(spark, capsys):
                    "--format", "csv", "--num-features", "2", "--iterations", "15", "--step", "1.0",
                    "--batch-fraction", "1.0", "--checkpoint", "yes", "--json"])
     assert report["rows"] == 120 and report["test_accuracy"] == 1.0 and report["train_accuracy"] == 1.0
+
+
+def test_cli_libsvm_test_file_with_a_higher_index(spark, capsys):
+    d = tempfile.mkdtemp(prefix="multisvm-cli3-")
+    for name, last in (("train", 3), ("test", 6)):
+        with open(os.path.join(d, name), "w") as f:
+            for i in range(60):
+                f.write(f"{i % 2} 1:{1.0 if i % 2 else -1.0} {last}:{0.01 * (i % 5) + 0.01}\n")
+    report = main(["ova", "--input", os.path.join(d, "train"), "--test-input", os.path.join(d, "test"),
+                   "--iterations", "10", "--step", "1.0", "--batch-fraction", "1.0", "--json"])
+    assert report["rows"] == 120 and report["test_accuracy"] == 1.0
