@@ -30,9 +30,12 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import os
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +45,8 @@ from multisvm.llm.common import workers
 
 REMEMBERED = 400_000  # pieces and words of the bounded tables
 FAMILIAR = "\u024f"  # last letter of the Latin blocks whose classes do not differ between Unicode versions
+# The split pattern on lower-cased ASCII without an apostrophe.
+_ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9 \t-\r]+").findall
 CHUNK = 1 << 18  # characters of a text that are taken at once
 
 
@@ -186,6 +191,7 @@ class Codec:
         self.end = model.get("end_of_word_suffix") or ""
         self.transducer = Transducer(self.vocab, merges, self.end)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.hint = os.path.commonprefix(list(self.added)) if self.added else "\0no added token"
         kinds = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(k["pattern"]["Regex"] for k in kinds if k["type"] == "Split"))
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
@@ -193,41 +199,54 @@ class Codec:
         self.strings = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         self.bytes = byte_symbols()
         self.of_symbol = {s: bytes([b]) for b, s in enumerate(self.bytes)}
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, bytes] = {}
         self.path, self._library = path, None
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            mapped = piece if piece.isascii() and piece.isprintable() else "".join([self.bytes[b] for b in piece.encode()])
-            known = self.transducer.ids
-            ids = [known[t] for t in self.transducer.encode(mapped)]
+    def _encode(self, symbols: str) -> list[int]:
+        """Ids of a piece given by its byte symbols."""
+        known = self.transducer.ids
+        return [known[t] for t in self.transducer.encode(symbols)]
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids, packed as little-endian uint32."""
+        packed = self._pieces.get(piece)
+        if packed is None:
+            plain = piece.isascii() and piece.isprintable()
+            ids = self._encode(piece if plain else "".join([self.bytes[b] for b in piece.encode()]))
+            packed = pack("<%dI" % len(ids), *ids)
             if len(piece) <= 64:
                 if len(self._pieces) >= REMEMBERED:
                     self._pieces.clear()
-                self._pieces[piece] = ids
-        return ids
-
-    def word(self, word: str) -> list[int]:
-        """Ids of a stretch without white space (or with: it only separates)."""
-        out: list[int] = []
+                self._pieces[piece] = packed
+        return packed
+
+    def word(self, word: str) -> bytes:
+        """Packed ids of a stretch without white space."""
+        if self.hint not in word:
+            return self._plain(word)
+        out: list[bytes] = []
         at = 0
         for m in self.special.finditer(word):
-            out += self._plain(word[at:m.start()])
-            out.append(self.added[m.group()])
+            out += [self._plain(word[at:m.start()]), pack("<I", self.added[m.group()])]
             at = m.end()
-        return out + self._plain(word[at:])
+        return b"".join([*out, self._plain(word[at:])])
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         if text.isascii():
-            pieces = self.pattern.findall(text.lower())
+            text = text.lower()
+            if text.isalpha():
+                return self._piece(text)
+            pieces = _ASCII_PIECES(text) if "'" not in text else self.pattern.findall(text)
         elif max(text) <= FAMILIAR:
             # lower-cased by character, so that no letter depends on the word around it
-            pieces = self.pattern.findall(unicodedata.normalize("NFC", text).lower())
+            text = unicodedata.normalize("NFC", text).lower()
+            if text.isalpha():
+                return self._piece(text)
+            pieces = self.pattern.findall(text)
         else:
             # letter classes and cases of rarer scripts as the library's Unicode version has them
             pieces = self._library_pieces(text)
-        return [i for piece in pieces for i in self._piece(piece)]
+        return b"".join(map(self._piece, pieces))
 
     def _library_pieces(self, text: str) -> list[str]:
         if self._library is None:
@@ -280,20 +299,24 @@ class Codec:
 
 
 class Words(dict):
-    """Encoded words as packed little-endian uint32 ids, in a bounded table."""
+    """Encoded words as packed little-endian uint32 ids, in a bounded table of
+    two generations: when the young one is full it becomes the old one, from
+    which words that come again move back without being encoded anew."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
-        out = np.array(self.encode(word), "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
+        out = self.old.get(word)
+        if out is None:
+            out = self.encode(word)
+            if len(word) > 64:
+                return out
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
         return out
 
 

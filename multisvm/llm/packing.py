@@ -47,10 +47,8 @@ class LibraryCodec(Codec):
         self._library = Tokenizer.from_file(path)
         self._model = self._library.model
 
-    def _piece(self, piece: str) -> list[int]:
-        symbol = self.bytes
-        mapped = piece if piece.isascii() and piece.isprintable() else "".join([symbol[b] for b in piece.encode()])
-        return [t.id for t in self._model.tokenize(mapped)]
+    def _encode(self, symbols: str) -> list[int]:
+        return [t.id for t in self._model.tokenize(symbols)]
 
 
 @lru_cache(maxsize=2)
