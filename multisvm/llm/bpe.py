@@ -215,7 +215,7 @@ class Codec:
             ids = self._encode(piece if plain else "".join([self.bytes[b] for b in piece.encode()]))
             packed = pack("<%dI" % len(ids), *ids)
             if len(piece) <= 64:
-                if len(self._pieces) >= REMEMBERED:
+                if len(self._pieces) >= REMEMBERED // 2:
                     self._pieces.clear()
                 self._pieces[piece] = packed
         return packed
@@ -319,6 +319,10 @@ class Words(dict):
         self[word] = out
         return out
 
+    def rest(self) -> None:
+        """Give up the old generation (a worker may be idle after its task)."""
+        self.old = {}
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
@@ -339,8 +343,9 @@ def encode_stream(path: str, text: str) -> Iterator:
         yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
-def _mapped(df: DataFrame, id_col: str, col: str, kind: str, fields: str, row) -> DataFrame:
-    """``row(value)`` of every row's ``col`` as columns ``fields``, beside the id."""
+def _mapped(df: DataFrame, id_col: str, col: str, kind: str, fields: str, row, held=tuple) -> DataFrame:
+    """``row(value)`` of every row's ``col`` as columns ``fields``, beside the
+    id; ``held()`` names tables that need not outlast the task in full."""
     workers(df.sparkSession)
     names = [f.split(" ", 1)[0] for f in fields.split(", ")]
 
@@ -352,6 +357,8 @@ def _mapped(df: DataFrame, id_col: str, col: str, kind: str, fields: str, row) -
                 rows = [row(v.as_py()) for v in part.column(1)]
                 cols = [pa.array(list(c)) if rows else pa.array([]) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["id", *names])
+        for tables in held():
+            tables.rest()
 
     of = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{col}`").cast(kind).alias("value"))
     out = of.mapInArrow(run, f"id {of.schema['id'].dataType.simpleString()}, {fields}")
@@ -400,4 +407,5 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             text_hash.update(piece.encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
-    return _mapped(df, id_col, text_col, "string", "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
+    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _mapped(df, id_col, text_col, "string", fields, row, lambda: [encoded_words(path)])

@@ -99,6 +99,7 @@ def tokenized_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                      pa.array([part] * len(rows), pa.int64()), pa.array(cols[6], pa.int64())],
                     names=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "part", "rank"],
                 )
+        _words(path)[1].rest()
 
     of = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = of.schema["id"].dataType.simpleString()
