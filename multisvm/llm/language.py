@@ -111,13 +111,22 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_L
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list:
-    """A bounded sample: (lang, text), at most ``per_language`` rows each."""
-    usual = F.length("text").between(*TRAIN_CHARS)
-    order = Window.partitionBy("lang").orderBy(F.when(usual, 0).otherwise(1), F.xxhash64("id"), "id")
+    """A bounded sample: (lang, text), at most ``per_language`` rows each.
+
+    A count per language gives the share of hash values that holds some four
+    times the rows wanted; only those are ranked, however many rows there are."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.where((fold(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    best = rows.select("id", "lang", F.length("text").alias("n"), "text")
-    ranked = best.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)  # kept per task before the shuffle
+    usual = F.length("text").between(*TRAIN_CHARS)
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    rows = rows.select("id", "text", "lang", usual.alias("usual"), place.alias("place"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("usual").cast("long")).alias("n_usual"))
+    enough = F.col("n_usual") >= per_language
+    share = 4 * per_language / F.when(enough, F.col("n_usual")).otherwise(F.col("n"))
+    counts = counts.select("lang", enough.alias("enough"), share.alias("share"))
+    few = rows.join(counts, "lang").where((F.col("usual") | ~F.col("enough")) & (F.col("place") < F.col("share")))
+    order = Window.partitionBy("lang").orderBy(F.desc("usual"), "place", "id")
+    ranked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
     return ranked.select("lang", "text", "k").orderBy("lang", "k").collect()
 
 
