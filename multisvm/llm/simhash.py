@@ -123,6 +123,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     buckets, batches = max(1, -(-total // BUCKET_KEYS)), max(1, -(-n // BATCH))
     tight = max(1, buckets // 16)
     dealt = distinct.select("fp", F.pmod(F.xxhash64("fp"), F.lit(batches)).alias("batch"))
+    dealt = dealt.repartition(2 * batches, "batch")  # a few bytes a row, but thousands of variants: no merging of tasks
 
     def emit(table: pa.Table) -> pa.Table:
         fps = np.sort(table.column("fp").to_numpy()).view(np.uint64)
