@@ -11,9 +11,11 @@ elements it stands in. Then
 2. a line's ratio is its text outside links over its tags; ratios are smoothed
    with a Gaussian over neighbouring lines, and lines above a threshold between
    the two clusters of ratios (two means) are content;
-3. the region is the element that holds the content: the article or main
-   element with most of it or, where the page has none, the deepest element
-   that still holds most of the page's content;
+3. the region is, on a page with articles, the lowest element around all content
+   lines, all article elements and the heading before them; where the page has a
+   main element with text, the tag decides instead: the region is every main and
+   article element, and the ratios change nothing; where it has neither, the
+   deepest element that still holds most of the page's content;
 4. every line of the region that is not furniture is kept, short ones too.
 
 Defined cases: null or empty html gives an empty text; a page without
@@ -56,6 +58,7 @@ ENDS_PARAGRAPH = set(
     "header hgroup hr main menu nav ol p pre search section table ul".split()
 )
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = HEADINGS | INLINE | set("p pre blockquote ul ol li dl dt dd table thead tbody tfoot tr td th figure figcaption hgroup address".split())
 LIMITS = set("ul ol dl table div section article main aside nav footer header form body td th select".split())
 # Words of class names, ids and roles that name furniture (fixed values).
 FURNITURE = set(
@@ -219,14 +222,22 @@ def main_text(html: str | None) -> str:
     if not page.lines:
         return ""
     n, parent, name = len(page.name), page.parent, page.name
-    # What holds an article or main element is not furniture by its class or id.
+    # What holds an article or main element is not furniture by its class or id,
+    # unless all it holds are cards: articles under a tenth of the largest one.
     frames = [e for e in range(n) if name[e] in ("article", "main") and page.flag[e] == 0]
-    holds = [False] * n
-    for e in frames:
-        while e >= 0 and not holds[e]:
-            holds[e] = True
-            e = parent[e]
-    if not frames:  # nor is what holds the first heading and most of the text
+    holds, spared = [False] * n, [False] * n
+    _mark(frames, parent, holds)
+    if frames:
+        own, plain = [0] * n, [True] * n
+        for e in range(1, n):
+            plain[e] = plain[parent[e]] and not (page.flag[e] == 2 or page.flag[e] in (1, 3) and not holds[e])
+        for t, linked, _, e in page.lines:
+            own[e] += max(0, len(t) - linked) if plain[e] else 0
+        for e in range(n - 1, 0, -1):
+            own[parent[e]] += own[e]
+        largest = max(own[e] for e in frames)
+        _mark([e for e in frames if 10 * own[e] >= largest], parent, spared)
+    else:  # nor is what holds the first heading and most of the text
         size, headed = [0] * n, [x == "h1" for x in name]
         for t, _, _, e in page.lines:
             size[e] += len(t)
@@ -234,35 +245,41 @@ def main_text(html: str | None) -> str:
             size[parent[e]] += size[e]
             headed[parent[e]] = headed[parent[e]] or headed[e]
         for e in range(1, n):
-            holds[e] = holds[e] or page.flag[e] in (1, 3) and headed[e] and 10 * size[e] >= 6 * size[0]
+            spared[e] = page.flag[e] in (1, 3) and headed[e] and 10 * size[e] >= 6 * size[0]
     in_article = [False] * n
     furniture = [False] * n
     for e in range(1, n):
         p = parent[e]
         in_article[e] = in_article[p] or (holds[e] and name[e] in ("article", "main"))
         flag = page.flag[e]
-        if in_article[p] and (name[e] == "header" and flag == 2 or flag == 3):
-            flag = 0  # an article's own heading
-        furniture[e] = furniture[p] or flag == 2 or flag in (1, 3) and not holds[e]
+        if in_article[p] and (name[e] == "header" and flag == 2 or flag == 3 or holds[e] and flag == 1):
+            flag = 0  # an article's own heading, or what holds an article inside it
+        furniture[e] = furniture[p] or flag == 2 or flag in (1, 3) and not spared[e]
     lines = [x for x in page.lines if not furniture[x[3]]]
     if not lines:
         return ""
     ratios = np.array([max(0, len(t) - linked) / max(1, tags) for t, linked, tags, _ in lines])
     content = content_lines(smoothed(ratios))
-    # Text mass of the content lines in every element, from the leaves up.
-    mass = [0] * n
-    for (t, linked, _, e), good in zip(lines, content):
-        mass[e] += max(0, len(t) - linked) if good else 0
-    for e in range(n - 1, 0, -1):
-        mass[parent[e]] += mass[e]
-    frames = [e for e in frames if not furniture[e]]
-    if frames and max(mass[e] for e in frames) > 0:
-        best = max(mass[e] for e in frames)
-        outer = [e for e in frames if 10 * mass[e] >= best]  # several articles of weight are all kept
-        roots = set(outer)
-    elif frames and any(any(_within(x[3], e, parent) for x in lines) for e in frames):
-        roots = {e for e in frames if any(_within(x[3], e, parent) for x in lines)}
-    else:
+    worded = [False] * n  # elements with a line
+    _mark([x[3] for x in lines], parent, worded)
+    frames = [e for e in frames if not furniture[e] and worded[e]]
+    roots: set[int] = set()
+    if any(name[e] == "main" for e in frames):
+        roots = set(frames)
+    elif frames:
+        under = [0] * n  # 2 in a main heading, 1 in another
+        for e in range(1, n):
+            under[e] = under[parent[e]] or (2 if name[e] == "h1" else int(name[e] in HEADINGS))
+        heads = [x[3] for x in lines[: int(np.argmax(content))] if under[x[3]]]
+        titles = [e for e in heads if under[e] == 2] or heads[-1:]
+        roots = {_region([x[3] for x, good in zip(lines, content) if good] + frames + titles, name, parent)}
+    if not roots:
+        # Text mass of the content lines in every element, from the leaves up.
+        mass = [0] * n
+        for (t, linked, _, e), good in zip(lines, content):
+            mass[e] += max(0, len(t) - linked) if good else 0
+        for e in range(n - 1, 0, -1):
+            mass[parent[e]] += mass[e]
         root, children = 0, [[] for _ in range(n)]
         for e in range(1, n):
             children[parent[e]].append(e)
@@ -278,12 +295,30 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(x[0] for x in lines if kept[x[3]])
 
 
-def _within(e: int, root: int, parent: list[int]) -> bool:
-    while e >= 0:
-        if e == root:
-            return True
+def _mark(elements: list[int], parent: list[int], marks: list[bool]) -> None:
+    """Marks the elements and all they stand in."""
+    for e in elements:
+        while e >= 0 and not marks[e]:
+            marks[e] = True
+            e = parent[e]
+
+
+def _region(elements: list[int], name: list[str], parent: list[int]) -> int:
+    """The lowest element around all the given ones that is more than a text
+    block; an article around it is taken whole."""
+    held = [0] * len(parent)
+    for e in elements:
+        held[e] += 1
+    for e in range(len(parent) - 1, 0, -1):
+        held[parent[e]] += held[e]
+    root = max(e for e in range(len(parent)) if held[e] == len(elements))
+    while root > 0 and name[root] in BLOCKS:
+        root = parent[root]
+    e = root
+    while e > 0:
+        root = e if name[e] == "article" else root
         e = parent[e]
-    return False
+    return root
 
 
 def extract_text(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

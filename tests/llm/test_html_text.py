@@ -62,3 +62,15 @@ def test_rows(spark):
     assert out.columns == [*df.columns, "text"]
     assert sorted(r.text for r in out.collect()) == ["", "", "", LONG]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_no_tag_and_no_share_decides_what_is_dropped():
+    text = [f"{LONG} Paragraph {i}." for i in range(10)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    card = "<article><h3>Card</h3><p>Read on.</p></article>"
+    # the text of a page beside a small article
+    assert main_text(f"<body><div>{body}</div>{card}</body>").split("\n\n") == [*text, "Card", "Read on."]
+    # articles of every size, but no cards in a container named as furniture
+    small = "<article><p>Small one.</p></article>"
+    assert main_text(f"<article>{body}</article>{small}<main>{small}</main>").split("\n\n") == [*text, "Small one.", "Small one."]
+    assert main_text(f"<article>{body}</article>{small}<div class=related>{card}</div>").split("\n\n") == [*text, "Small one."]
