@@ -11,16 +11,15 @@ elements it stands in. Then
 2. a line's ratio is its text outside links over its tags; ratios are smoothed
    with a Gaussian over neighbouring lines, and lines above a threshold between
    the two clusters of ratios (two means) are content;
-3. the region is, on a page with articles, the lowest element around all content
-   lines, all article elements and the heading before them; where the page has a
-   main element with text, the tag decides instead: the region is every main and
-   article element, and the ratios change nothing; where it has neither, the
-   deepest element that still holds most of the page's content;
+3. the region is the lowest element around all content lines, all article
+   elements and the heading before them (an article around it is taken whole);
+   where the page has a main element with text, the tag decides instead: the
+   region is every main and article element, and the ratios change nothing;
 4. every line of the region that is not furniture is kept, short ones too.
 
 Defined cases: null or empty html gives an empty text; a page without
 any text outside furniture gives an empty text; unclosed, stray and nested
-tags are tolerated; equal ratios fall in one cluster; repeated rows are
+tags are tolerated; ratios of about one size fall in one cluster; repeated rows are
 extracted row by row; other columns pass through; an empty table gives an
 empty result.
 """
@@ -194,7 +193,8 @@ def smoothed(values: np.ndarray, sigma: float = 1.0, reach: int = 2) -> np.ndarr
 
 
 def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Lines above the middle of two means of the (logarithmic) ratios."""
+    """Lines above the middle of two means of the (logarithmic) ratios; means
+    within a factor of two are one cluster (two means part any values)."""
     x = np.log1p(ratios)
     low, high = x.min(), x.max()
     if high - low < 1e-9:
@@ -208,7 +208,7 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
         if new == (low, high):
             break
         low, high = new
-    return x > (low + high) / 2
+    return x > (low + high) / 2 if high - low > np.log(2) else np.ones(len(x), bool)
 
 
 def main_text(html: str | None) -> str:
@@ -263,32 +263,15 @@ def main_text(html: str | None) -> str:
     worded = [False] * n  # elements with a line
     _mark([x[3] for x in lines], parent, worded)
     frames = [e for e in frames if not furniture[e] and worded[e]]
-    roots: set[int] = set()
     if any(name[e] == "main" for e in frames):
         roots = set(frames)
-    elif frames:
+    else:
         under = [0] * n  # 2 in a main heading, 1 in another
         for e in range(1, n):
             under[e] = under[parent[e]] or (2 if name[e] == "h1" else int(name[e] in HEADINGS))
         heads = [x[3] for x in lines[: int(np.argmax(content))] if under[x[3]]]
         titles = [e for e in heads if under[e] == 2] or heads[-1:]
         roots = {_region([x[3] for x, good in zip(lines, content) if good] + frames + titles, name, parent)}
-    if not roots:
-        # Text mass of the content lines in every element, from the leaves up.
-        mass = [0] * n
-        for (t, linked, _, e), good in zip(lines, content):
-            mass[e] += max(0, len(t) - linked) if good else 0
-        for e in range(n - 1, 0, -1):
-            mass[parent[e]] += mass[e]
-        root, children = 0, [[] for _ in range(n)]
-        for e in range(1, n):
-            children[parent[e]].append(e)
-        while True:  # down to the deepest element that holds nearly all content
-            below = [c for c in children[root] if mass[c] >= 0.8 * mass[root] > 0 and name[c] not in ("p", "h1", "h2", "li", "td")]
-            if not below:
-                break
-            root = below[0]
-        roots = {root}
     kept = [False] * n
     for e in range(n):
         kept[e] = e in roots or e > 0 and kept[parent[e]]

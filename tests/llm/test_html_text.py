@@ -74,3 +74,16 @@ def test_no_tag_and_no_share_decides_what_is_dropped():
     small = "<article><p>Small one.</p></article>"
     assert main_text(f"<article>{body}</article>{small}<main>{small}</main>").split("\n\n") == [*text, "Small one.", "Small one."]
     assert main_text(f"<article>{body}</article>{small}<div class=related>{card}</div>").split("\n\n") == [*text, "Small one."]
+
+
+def test_title_lead_and_smaller_sections_stay():
+    text = [f"{LONG} Paragraph {i}." for i in range(10)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    page = f"<body><div><a href=x>One</a></div><div id=page><h1>T</h1><div class=lead><p>intro</p></div><div class=entry>{body}</div></div></body>"
+    assert main_text(page).split("\n\n") == ["T", "intro", *text]
+    part = f"<p>{LONG}</p>" * 4
+    nested = f"<div>{body * 2}</div>"
+    for _ in range(3):  # under a fifth of its level each
+        nested = f"<div>{nested}</div><section>{part}</section>"
+    assert main_text(f"<body>{nested}</body>").split("\n\n") == [*text, *text, *[LONG] * 12]
+    assert main_text(f"<div><p>{LONG * 3}</p><p>Short.</p></div>").split("\n\n") == [LONG * 3, "Short."]
