@@ -1,15 +1,20 @@
 """License scans with DataFrame functions only.
 
-Windows of shingles overlap by half, MinHash bands of each window retrieve
+Windows of shingles overlap, MinHash bands of each window retrieve
 templates by an equi-join, and exact shingle containment decides.
 
 - Words are runs of letters and digits, lower-cased; shingles are five words
   (a template of fewer words is one shingle of its own length).
-- A template of L shingles is looked for in windows of 2L shingles that start
-  at every multiple of L, so each occurrence lies inside some window. A match
-  of containment 0.8 then has Jaccard similarity of at least 0.8 / 2.2 = 0.36,
-  and with 64 bands of one row a window that matches is retrieved with
-  probability 1 - (1 - 0.36)^64, over 1 - 1e-12.
+- A template of L shingles is looked for in windows of ``reach`` x L shingles
+  that start at every multiple of L. An occurrence lies inside some window
+  whatever its start if it spans up to (reach - 1) x L + 1 shingles: with the
+  default reach of 2 that holds for unedited notices, while one with inserted
+  words is found or not by where it starts. A reach of 4 holds notices of up to
+  three times their length. The default is 2 as the query's SQL defines it.
+- A match of containment 0.8 has Jaccard similarity of at least 0.8 / (reach +
+  0.2), 0.36 for a reach of 2; there are as many bands of one row (64, or 131
+  for a reach of 4) as retrieve a window that matches with probability over
+  1 - 1e-12.
 - A band value is the hash of one shingle, so only windows that hold a shingle
   which is some template's band minimum can collide; all others are passed
   over without computing their signatures (exact, no loss).
@@ -25,6 +30,8 @@ equal templates are each reported; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +39,9 @@ from multisvm.llm.common import let
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 64
+BANDS = 64  # at least; see ``bands_for``
+REACH = 2  # length of a window in template lengths
+MISS = 1e-12  # of a window that matches
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 
 # Short notices and the opening of well-known headers (fixed values).
@@ -64,15 +73,21 @@ def _shingles(n: int, low: str, high: str) -> str:
     return f"if({high} > {low}, transform(sequence({low}, {high} - 1), i -> {_shingle(n)}), array())"
 
 
-def _signature(of: str) -> str:
-    return f"transform(sequence(0, {BANDS - 1}), j -> array_min(transform({of}, h -> xxhash64(h, j))))"
+def bands_for(reach: int, containment: float) -> int:
+    """Bands of one row that miss a match with probability MISS at most."""
+    jaccard = containment / (1 + reach - containment)
+    return max(BANDS, math.ceil(math.log(MISS) / math.log1p(-jaccard))) if jaccard < 1 else BANDS
+
+
+def _signature(of: str, bands: int) -> str:
+    return f"transform(sequence(0, {bands - 1}), j -> array_min(transform({of}, h -> xxhash64(h, j))))"
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def template_table(spark, templates=TEMPLATES) -> list:
+def template_table(spark, templates=TEMPLATES, bands: int = BANDS) -> list:
     """Rows (template_id, first words, n, shingles, signature, anchors); at most
     one shingle a word of the template table, so it may be collected."""
     t = spark.createDataFrame(templates, "template_id string, body string").withColumn("_w", _words(F.col("body")))
@@ -82,7 +97,7 @@ def template_table(spark, templates=TEMPLATES) -> list:
     for n in lengths:
         own = t.where(F.least(F.size("_w"), F.lit(SHINGLE)) == n)
         own = own.select("template_id", "_w", F.expr(_shingles(n, "0", f"size(_w) - {n - 1}")).alias("shingles"))
-        own = own.select("template_id", "_w", "shingles", F.expr(_signature("shingles")).alias("signature"))
+        own = own.select("template_id", "_w", "shingles", F.expr(_signature("shingles", bands)).alias("signature"))
         # anchors: (band minimum's shingle, its first word)
         own = own.select(
             "template_id", F.lit(n).alias("n"), F.size("shingles").alias("span"), "shingles", "signature",
@@ -96,13 +111,17 @@ def template_table(spark, templates=TEMPLATES) -> list:
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,
-                  containment: float = CONTAINMENT) -> DataFrame:
+                  containment: float = CONTAINMENT, reach: int = REACH) -> DataFrame:
     """One row a document and template found in it: id, template_id,
     containment (largest over the windows), n_windows (windows that match),
     first_word (position of the first template shingle in a matching window).
+    Windows are ``reach`` (2 or more) template lengths long.
     """
     spark = df.sparkSession
-    known = template_table(spark, templates)
+    if reach < 2:
+        raise ValueError("windows of one template length do not overlap")
+    n_bands = bands_for(reach, containment)
+    known = template_table(spark, templates, n_bands)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     found = None
     for n in sorted({r.n for r in known}):
@@ -121,14 +140,14 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             """Every window of each size that holds a hit, with its shingles."""
             def around(span):
                 return F.flatten(F.transform(hits, lambda p: F.array(*[
-                    F.struct(F.lit(span).alias("span"), (F.floor(p / span) - back).alias("at")) for back in (0, 1)
+                    F.struct(F.lit(span).alias("span"), (F.floor(p / span) - back).alias("at")) for back in range(reach)
                 ])))
 
             number = [around(span) for span in spans]
             return F.transform(F.array_distinct(F.filter(F.concat(*number), lambda x: x["at"] >= 0)), lambda x: F.struct(
                 x["span"].alias("span"), x["at"].alias("at"),
                 F.transform(
-                    F.sequence(x["at"] * x["span"], F.least((x["at"] + 2) * x["span"], F.size(w) - (n - 1)) - 1),
+                    F.sequence(x["at"] * x["span"], F.least((x["at"] + reach) * x["span"], F.size(w) - (n - 1)) - 1),
                     lambda i: F.xxhash64(*[F.get(w, (i + k).cast("int")) for k in range(n)]),
                 ).alias("sh"),
             ))
@@ -136,13 +155,13 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # explode_outer: no filter over the whole expression is inferred and pushed below it
         wins = docs.select("_id", F.explode_outer(let(_words(F.col("_t")), lambda w: let(held(w), lambda h: windows(w, h)))).alias("win"))
         wins = wins.where("win is not null").select("_id", "win.*")
-        banded = wins.select("_id", "span", "at", "sh", F.posexplode_outer(F.expr(_signature("sh"))).alias("band", "value"))
+        banded = wins.select("_id", "span", "at", "sh", F.posexplode_outer(F.expr(_signature("sh", n_bands))).alias("band", "value"))
         bands = spark.createDataFrame(
             [(r.template_id, r.span, j, v) for r in of for j, v in enumerate(r.signature)],
             "template_id string, span int, band int, value long",
         )
         shingles = spark.createDataFrame([(r.template_id, r.shingles) for r in of], "template_id string, tsh array<long>")
-        # the template side is bounded by the template table: 64 rows each
+        # the template side is bounded by the template table: a row a band each
         candidates = (
             banded.join(F.broadcast(bands), ["span", "band", "value"])
             .groupBy("_id", "template_id", "span", "at").agg(F.first("sh").alias("sh"))

@@ -56,3 +56,23 @@ def test_main_path_has_no_python_and_empty_tables_work(spark):
     assert empty.count() == 0
     plan = scan_licenses(spark.createDataFrame(corpus(), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_longer_windows_find_edited_notices_wherever_they_start(spark):
+    import random
+
+    rng = random.Random(7)
+    name, body = next(t for t in TEMPLATES if t[0] == "mit-permission")
+    t = tokens(body)
+    want = {tuple(t[i:i + SHINGLE]) for i in range(len(t) - SHINGLE + 1)}
+    span = len(t) - SHINGLE + 1
+    edited = t[:15] + [f"extra{i}" for i in range(2 * span - 4)] + t[15:]
+    words = [prose(rng, 1) for _ in range(span + 1)]
+    data = [(k, " ".join(words[:k] + edited + words), "en", "s", 1) for k in range(span)]
+    # brute force: windows of the longest extent, from every start position
+    for _, text, *_ in data:
+        ws = tokens(text)
+        grams = [tuple(ws[i:i + SHINGLE]) for i in range(len(ws) - SHINGLE + 1)]
+        assert max(len(want & set(grams[at:at + 3 * span + 1])) for at in range(len(grams))) >= CONTAINMENT * len(want)
+    found = scan_licenses(spark.createDataFrame(data, SCHEMA), templates=[(name, body)], reach=4).collect()
+    assert {r.doc_id: r.first_word for r in found} == {k: k for k in range(span)}
