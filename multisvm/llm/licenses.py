@@ -23,8 +23,9 @@ The template table is a parameter and bounded (every template's shingles go
 into the plan); the documents' side never leaves its partition before the
 matches are grouped by document.
 
-Defined cases: null or empty text has no match and gives no row; repeated rows
-of one doc_id give that doc_id's matches once; null doc_id is an id of its own;
+Defined cases: null or empty text has no match and gives no row; rows of one
+doc_id, of the same or different texts, give the matches of any of them once (a
+window number that matches in several counts once); null doc_id is an id of its own;
 equal templates are each reported; an empty table gives an empty result.
 """
 
@@ -164,16 +165,16 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # the template side is bounded by the template table: a row a band each
         candidates = (
             banded.join(F.broadcast(bands), ["span", "band", "value"])
-            .groupBy("_id", "template_id", "span", "at").agg(F.first("sh").alias("sh"))
+            .groupBy("_id", "template_id", "span", "at", F.xxhash64("sh").alias("text")).agg(F.first("sh").alias("sh"))
         )
         exact = candidates.join(F.broadcast(shingles), "template_id").select(
-            "_id", "template_id",
+            "_id", "template_id", "at",
             (F.size(F.array_intersect("tsh", "sh")) / F.size(F.array_distinct("tsh"))).alias("share"),
             F.expr("at * span + array_min(transform(filter(sequence(0, size(sh) - 1), i -> array_contains(tsh, sh[i])), i -> i))").alias("at_word"),
         ).where(F.col("share") >= containment)
         found = exact if found is None else found.unionByName(exact)
     if found is None:
-        found = docs.select("_id", F.lit("").alias("template_id"), F.lit(0.0).alias("share"), F.lit(0).alias("at_word")).where("false")
+        found = docs.select("_id", F.lit("").alias("template_id"), F.lit(0).alias("at"), F.lit(0.0).alias("share"), F.lit(0).alias("at_word")).where("false")
     return found.groupBy("_id", "template_id").agg(
-        F.max("share").alias("containment"), F.count("*").alias("n_windows"), F.min("at_word").cast("long").alias("first_word")
+        F.max("share").alias("containment"), F.count_distinct("at").alias("n_windows"), F.min("at_word").cast("long").alias("first_word")
     ).withColumnRenamed("_id", id_col)

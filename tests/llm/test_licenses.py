@@ -76,3 +76,16 @@ def test_longer_windows_find_edited_notices_wherever_they_start(spark):
         assert max(len(want & set(grams[at:at + 3 * span + 1])) for at in range(len(grams))) >= CONTAINMENT * len(want)
     found = scan_licenses(spark.createDataFrame(data, SCHEMA), templates=[(name, body)], reach=4).collect()
     assert {r.doc_id: r.first_word for r in found} == {k: k for k in range(span)}
+
+
+def test_texts_that_share_an_id_are_each_verified(spark):
+    name, body = next(t for t in TEMPLATES if t[0] == "mit-permission")
+    ws = body.split()
+    # windows of one number: each stray one shares a band shingle or more with the template
+    strays = [" ".join(["other"] * k + ws[k:k + 15]) for k in range(len(ws) - 15)]
+    for key in (7, None):
+        rows = [(key, t, "en", "s", 1) for t in [*strays, body, body, *strays]]
+        for order in (rows, rows[::-1], rows[len(strays):]):
+            df = spark.createDataFrame(order, SCHEMA).coalesce(1)
+            got = [(r.doc_id, r.containment, r.n_windows, r.first_word) for r in scan_licenses(df, templates=[(name, body)]).collect()]
+            assert got == [(key, 1.0, 1, 0)]
