@@ -82,3 +82,18 @@ def test_run_equals_the_stages_by_hand(spark):
     a = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in whole.collect())
     b = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect())
     assert a == b and a
+
+
+def test_near_duplicate_stage_keeps_a_row_of_every_group_of_a_shared_id(spark):
+    import random
+
+    from helpers import prose
+
+    rng = random.Random(3)
+    texts = [prose(rng, 60) for _ in range(12)]
+    # id 5 stands on every text, each text in a group of its own; some have a row of a smaller id
+    rows = [(5, t, "en", "s", 1) for t in texts for _ in range(2)] + [(i, texts[i], "en", "s", 1) for i in range(4)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, SCHEMA).coalesce(1)
+        kept = stage("simhash_near_dedup")(spark, df, "").collect()
+        assert sorted((r.text, r.doc_id) for r in kept) == sorted((t, i if i < 4 else 5) for i, t in enumerate(texts))
