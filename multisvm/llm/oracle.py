@@ -90,5 +90,21 @@ def top_k_sql() -> str:
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+def line_dedup_sql() -> str:
+    """Lines of 20 code points and more that three documents hold go, but for the largest document's."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT r, doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM d),
+    k AS (SELECT *, translate(trim(x, {WHITE}), '{upper}', '{lower}') AS key FROM l),
+    f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20
+          GROUP BY key HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= 3),
+    v AS (SELECT r, i, x, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.last AS gone FROM k LEFT JOIN f USING (key)),
+    s AS (SELECT r, count(*) FILTER (gone) AS n, string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM v GROUP BY r)
+    SELECT doc_id, len(ls)::BIGINT AS n_lines, n::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d JOIN s USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": top_k_sql(), "op3_quality_rules": quality_rules_sql(), "op4_substring_dedup": substrings_sql(), "op10_license_scans": license_scans_sql()}
+    return {"op2_top_k": top_k_sql(), "op3_quality_rules": quality_rules_sql(), "op4_substring_dedup": substrings_sql(), "op10_license_scans": license_scans_sql(),
+            "op11_line_dedup": line_dedup_sql()}

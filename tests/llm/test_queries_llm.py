@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SQL = ["op2_top_k", "op3_quality_rules", "op4_substring_dedup", "op10_license_scans"]
+SQL = ["op2_top_k", "op3_quality_rules", "op4_substring_dedup", "op10_license_scans", "op11_line_dedup"]
 
 
 def test_all_ten_and_the_pipeline_are_registered():
