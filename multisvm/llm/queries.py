@@ -94,6 +94,13 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from multisvm.llm.whitening import whiten
+
+    rows = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_top_k": op2_top_k,
@@ -106,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_license_scans": op10_license_scans,
     "op11_line_dedup": op11_line_dedup,
+    "op12_whitening": op12_whitening,
 }
