@@ -105,6 +105,23 @@ def line_dedup_sql() -> str:
     FROM d JOIN s USING (r)"""
 
 
+def hard_negatives_sql() -> str:
+    return """
+    WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                 list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+          FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    r AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                 row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+          FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op2_top_k": top_k_sql(), "op3_quality_rules": quality_rules_sql(), "op4_substring_dedup": substrings_sql(), "op10_license_scans": license_scans_sql(),
-            "op11_line_dedup": line_dedup_sql()}
+            "op11_line_dedup": line_dedup_sql(), "op13_hard_negatives": hard_negatives_sql()}

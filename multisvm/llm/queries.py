@@ -101,6 +101,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from multisvm.llm.hard_negatives import hard_negatives
+
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", noisy.alias("label"))
+    return hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_top_k": op2_top_k,
@@ -114,4 +122,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scans": op10_license_scans,
     "op11_line_dedup": op11_line_dedup,
     "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }

@@ -5,12 +5,12 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SQL = ["op2_top_k", "op3_quality_rules", "op4_substring_dedup", "op10_license_scans", "op11_line_dedup"]
+SQL = ["op2_top_k", "op3_quality_rules", "op4_substring_dedup", "op10_license_scans", "op11_line_dedup", "op13_hard_negatives"]
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     names = set(E.queries())
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
     assert set(SQL) <= set(E.oracle_sql())
 
 
