@@ -66,7 +66,7 @@ def main() -> None:
         kw = {"kmeans_init": "first_last"} if scheme == "tree" else {}
         model = trainer_for(scheme, p, **kw).fit(train)
         trained = time.perf_counter()
-        scored = model.transform(data, keep=["id", "label", SPLIT], labels_only=True).cache()
+        scored = model.transform(data, keep=["label", SPLIT], labels_only=True).cache()
         by_label = metrics_by_label(confusion(scored.where(F.col(SPLIT) == "test"))).collect()
         summary = accuracy_summary(scored).first()  # reuses the cached scores
         scored.unpersist()

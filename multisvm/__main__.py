@@ -97,7 +97,7 @@ def main(argv=None) -> dict:
     kw["checkpoint"] = args.checkpoint == "yes" or (args.checkpoint == "auto" and args.format != "parquet")
     model = trainer_for(args.scheme, None, **kw, **overrides).fit(data.where(F.col(SPLIT) == "train"))
     t_test = time.perf_counter()
-    scored = model.transform(data, keep=["id", "label", SPLIT], labels_only=True).cache()
+    scored = model.transform(data, keep=["label", SPLIT], labels_only=True).cache()
     summary = accuracy_summary(scored).first()
     by_label = metrics_by_label(confusion(scored.where(F.col(SPLIT) == "test"))).orderBy("label").collect()
     t_end = time.perf_counter()

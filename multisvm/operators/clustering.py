@@ -7,8 +7,10 @@ Two ways to fit the centres:
 * ``lloyd(...)`` runs Lloyd iterations from explicit starting centres (by
   default the rows with the lowest and highest id). Each iteration is one job:
   a vectorized kernel assigns rows to the nearest centre and emits per-cluster
-  partial sums; the driver divides. Same stop rule as Spark's k-means: stop
-  once no centre moved more than ``tol``. Reproducible, so SQL can check it.
+  partial sums; the driver divides. A set small enough for one task is gathered
+  there and iterated in one job (:func:`lloyd_steps`). Same stop rule as Spark's
+  k-means: stop once no centre moved more than ``tol``. Reproducible, so SQL can
+  check it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from multisvm.operators.blocks import feature_block, squared_distances, t_product
 from multisvm.operators.partials import PARTIAL_SCHEMA, partial_batch, reduce_partials
+from multisvm.operators.trainer import fits_one_task, gathered
 from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
@@ -65,28 +68,62 @@ def _dense(v) -> np.ndarray:
     return np.asarray(v.toArray() if hasattr(v, "toArray") else v, dtype=np.float64)
 
 
+def moved_centres(centres: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """(means, largest squared move); an empty cluster keeps its centre."""
+    new, filled = centres.copy(), counts > 0
+    new[filled] = sums[filled] / counts[filled][:, None]
+    return new, float(((new - centres) ** 2).sum(axis=1).max())
+
+
+def lloyd_steps(centres: np.ndarray, max_iter: int, tol: float):
+    """Arrow-batch function for the gathered rows of a small set: all iterations.
+    Emits the centres as partial rows whose count is the iterations run."""
+
+    def kernel(batches):
+        held = [feature_block(b.column(FEATURES), centres.shape[1]) for b in batches if b.num_rows]
+        now, done = centres, 0
+        while held and done < max_iter:
+            sums, counts = np.zeros_like(now), np.zeros(len(now), dtype=np.int64)
+            for x in held:
+                nearest = np.argmin(squared_distances(x, now), axis=1)
+                sums += t_product(np.eye(len(now))[nearest], x)
+                counts += np.bincount(nearest, minlength=len(now))
+            now, moved = moved_centres(now, sums, counts)
+            done += 1
+            if moved <= tol * tol:
+                break
+        yield partial_batch(np.arange(len(now)), np.full(len(now), done), now)
+
+    return kernel
+
+
 def lloyd(data: DataFrame, centres: np.ndarray, max_iter: int, tol: float = 1e-4,
-          cache: bool = True) -> tuple[np.ndarray, int]:
-    """Lloyd iterations from ``centres``; returns (centres, iterations run)."""
+          cache: bool = True, n_rows: int | None = None, in_task: bool | None = None) -> tuple[np.ndarray, int]:
+    """Lloyd iterations from ``centres``; returns (centres, iterations run).
+    ``in_task``: gather the rows in one task (None: if they fit)."""
     ship_package(data.sparkSession)
     centres = np.array(centres, dtype=np.float64)
     k, dim = centres.shape
-    data = data.select(FEATURES)
+    order = [ID] if ID in data.columns else []
+    data = data.select(*order, FEATURES)
     if cache:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if in_task is None:
+            in_task = fits_one_task(data.count() if n_rows is None else n_rows, dim, k)
+        if in_task:
+            one = gathered(data, FEATURES) if order else data.coalesce(1)
+            found = reduce_partials(one.mapInArrow(lloyd_steps(centres, max_iter, tol), PARTIAL_SCHEMA), k, dim, 1)
+            return found[0], int(found[1][0])
+        data = data.select(FEATURES)
         n_parts = data.rdd.getNumPartitions()
         done = 0
         for it in range(max_iter):
             parts = data.mapInArrow(lloyd_kernel(centres), PARTIAL_SCHEMA)
             sums, counts = reduce_partials(parts, k, dim, n_parts)
-            new = centres.copy()
-            filled = counts > 0
-            new[filled] = sums[filled] / counts[filled][:, None]  # empty cluster keeps its centre
-            moved = ((new - centres) ** 2).sum(axis=1)
-            centres = new
+            centres, moved = moved_centres(centres, sums, counts)
             done = it + 1
-            if np.all(moved <= tol * tol):
+            if moved <= tol * tol:
                 break
         return centres, done
     finally:
@@ -95,13 +132,13 @@ def lloyd(data: DataFrame, centres: np.ndarray, max_iter: int, tol: float = 1e-4
 
 
 def kmeans_fit(data: DataFrame, k: int = 2, max_iter: int = 20, seed: int | None = 42,
-               init: str = "first_last", tol: float = 1e-4, cache: bool = True) -> np.ndarray:
+               init: str = "first_last", tol: float = 1e-4, cache: bool = True, n_rows: int | None = None) -> np.ndarray:
     """Centres (k x D). ``init``: 'first_last' (k = 2, Lloyd, reproducible) or
     'k-means||' / 'random' (Spark ML)."""
     if init == "first_last":
         if k != 2:
             raise ValueError("first_last init gives exactly two centres")
-        return lloyd(data, first_last_centres(data), max_iter, tol, cache=cache)[0]
+        return lloyd(data, first_last_centres(data), max_iter, tol, cache=cache, n_rows=n_rows)[0]
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

@@ -19,21 +19,34 @@ intercept), t = 1, 2, ...::
 ``n_t`` is the number of batch rows the problem uses. The batch of iteration t
 is a run of hash buckets or a hash draw of every row (see :class:`SGDParams`;
 all rows at fraction 1), chosen JVM-side before any row goes to Python.
+
+A set small enough for one task (``fits_one_task``) needs no sums across tasks:
+its rows are gathered in one and the steps run there, many a job
+(:func:`steps_kernel`), with the same sums and the same update but without a
+job an iteration. A job comes back after ``TASK_SECONDS`` with the state, so a
+lost executor costs at most that.
 """
 
 from __future__ import annotations
 
+import copy
 import math
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from multisvm.functions.hashing import bucket_of, bucket_offset, bucket_run, in_fraction_expr
-from multisvm.operators.blocks import feature_block, t_product
-from multisvm.operators.partials import PARTIAL_SCHEMA, partial_batch, reduce_partials
+from multisvm.operators.blocks import SparseRows, feature_block, t_product
+from multisvm.operators.coding import Coding, as_coding
+from multisvm.operators import partials
+from multisvm.operators.partials import PARTIAL_SCHEMA, features_matrix, list_column, partial_batch, reduce_partials
 from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
@@ -44,6 +57,15 @@ BLOCK_BYTES = 128 * 1024 * 1024
 # Weights above this travel as a broadcast that is dropped after its iteration
 # (smaller ones ride in the task closure).
 CLOSURE_BYTES = 1024 * 1024
+# Values of a kernel's temporaries: rows x problems at a time.
+STEP_VALUES = 4_000_000
+# Weights of single classes' problems that a task keeps sorted out (see hinge_sums).
+KEPT_BYTES = 64 * 1024 * 1024
+# A training set of at most so many values, and multiplications of a step, is
+# trained inside one task; it returns its state after so many seconds.
+ONE_TASK_VALUES = 16_000_000
+ONE_TASK_WORK = 100_000_000
+TASK_SECONDS = 30.0
 
 
 def problem_blocks(keys: np.ndarray, dim: int, block_bytes: int | None = None) -> list[np.ndarray]:
@@ -186,85 +208,250 @@ class FitResult:
     history: list = field(default_factory=list)  # seconds per iteration
 
 
-def gradient_kernel(classes: np.ndarray, code: np.ndarray, weights, keys: np.ndarray, dim: int):
+def fits_one_task(n_rows: int, dim: int, per_row: int, fraction: float = 1.0) -> bool:
+    """The rows, and a step's products of a fraction of them with ``per_row``
+    vectors each, are small enough for one task."""
+    return n_rows * dim <= ONE_TASK_VALUES and min(fraction, 1.0) * n_rows * dim * per_row <= ONE_TASK_WORK
+
+
+def trains_in_task(n_rows: int, dim: int, code: Coding, params: SGDParams) -> bool:
+    """``fits_one_task`` with the model's size (per-row draws hash every row
+    JVM-side and stay there)."""
+    per_row = code.p if code.dense else min(code.p, code.k)
+    drawn = params.bucketed or params.fraction >= 1.0
+    return drawn and 8 * code.p * dim <= BLOCK_BYTES and fits_one_task(n_rows, dim, per_row, params.fraction)
+
+
+def gathered(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the rows in one partition, in an order (of the id's hash)
+    that no layout of the input changes."""
+    rows = rows.select(F.xxhash64(ID).alias("_order"), *columns)
+    return rows.repartition(1).sortWithinPartitions("_order").select(*columns)
+
+
+class State:
+    """Weights and progress of every problem."""
+
+    def __init__(self, p: int, dim: int):
+        self.weights = np.zeros((p, dim))
+        self.iterations = np.zeros(p, dtype=np.int64)
+        self.converged = np.zeros(p, dtype=bool)
+        self.updated_once = np.zeros(p, dtype=bool)
+
+    def active(self) -> np.ndarray:
+        return np.flatnonzero(~self.converged)
+
+    def update(self, t: int, keys: np.ndarray, grad: np.ndarray, used: np.ndarray, params: SGDParams) -> None:
+        """The update of iteration t for problems ``keys``; a problem without a
+        row in the batch keeps its weights."""
+        some = used > 0
+        at = np.flatnonzero(some)
+        eta = params.step / math.sqrt(t)
+        step = max(1, STEP_VALUES // max(1, self.weights.shape[1]))
+        for lo in range(0, len(at), step):
+            part = at[lo:lo + step]
+            own = keys[part]
+            old = self.weights[own]
+            new = old * (1.0 - eta * params.reg) + (-eta) * (grad[part] / used[part][:, None].astype(float))
+            finite = np.isfinite(new).all(axis=1)
+            if not finite.all():
+                raise ValueError(f"problem {own[~finite][0]}: weights are not finite after iteration {t}; check the features")
+            self.weights[own] = new
+            self.iterations[own] += 1
+            size = np.sqrt(np.einsum("ij,ij->i", new, new))
+            new -= old
+            moved = np.sqrt(np.einsum("ij,ij->i", new, new))
+            self.converged[own] = self.updated_once[own] & (moved < params.tol * np.maximum(size, 1.0))
+            self.updated_once[own] = True
+
+
+def class_index(labels: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Position of each label in the sorted classes, -1 where absent."""
+    at = np.clip(np.searchsorted(classes, labels), 0, len(classes) - 1)
+    return np.where(classes[at] == labels, at, -1)
+
+
+def hinge_sums(x, index: np.ndarray, code: Coding, keys: np.ndarray, w: np.ndarray, grad: np.ndarray, used: np.ndarray,
+               kept: dict | None = None) -> None:
+    """Add the rows' hinge sub-gradients for problems ``keys`` (weights ``w``) to
+    ``grad`` and their row counts to ``used``.
+
+    With a dense code (one-vs-all) rows are multiplied by all problems. With
+    zeros in the code (one-vs-one, tree) rows are grouped by class and each
+    group is multiplied only by the problems that class takes part in: K-1 of
+    K(K-1)/2 for one-vs-one, the nodes on its path for the tree. Temporaries
+    hold ``STEP_VALUES`` values at most beside the rows. ``kept`` keeps classes'
+    weights for the next batch.
+    """
+    n = len(index)
+    if code.dense:
+        step = max(1, STEP_VALUES // max(1, len(keys)))
+        w_t = np.ascontiguousarray(w.T) if isinstance(x, SparseRows) else w.T
+        for lo in range(0, n, step):
+            part = x if n <= step else x[np.arange(lo, min(n, lo + step))]
+            y = code.signs(index[lo:lo + step], keys)
+            active = np.where(y * (part @ w_t) < 1.0, y, 0.0)
+            grad -= t_product(active, part)
+            used += np.count_nonzero(y, axis=0)
+        return
+    kept = {} if kept is None else kept
+    order = np.argsort(index, kind="stable")
+    present, starts = np.unique(index[order], return_index=True)
+    for c, lo, hi in zip(present, starts, [*starts[1:], n]):
+        if c < 0:
+            continue
+        if c not in kept:
+            cols, y = code.entries(int(c))
+            if len(keys) != code.p:
+                at = np.searchsorted(keys, cols)
+                own = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == cols)
+                cols, y = at[own], y[own]
+            found = cols, y.astype(float), np.ascontiguousarray(w[cols].T)
+            if (len(kept) + 1) * found[2].nbytes <= KEPT_BYTES:
+                kept[c] = found
+        else:
+            found = kept[c]
+        cols, y, w_t = found
+        if len(cols) == 0:
+            continue
+        step = max(1, STEP_VALUES // len(cols))
+        for a in range(lo, hi, step):
+            rows = x[order[a:min(hi, a + step)]]
+            active = np.where(y[None, :] * (rows @ w_t) < 1.0, y[None, :], 0.0)
+            grad[cols] -= t_product(active, rows)
+        used[cols] += hi - lo
+
+
+def shared(spark, value, size: int):
+    """``value`` itself if it fits a closure, else a broadcast of it (one copy an
+    executor's disk, read once a worker); ``fetch`` gives it back in a task."""
+    return value if size <= CLOSURE_BYTES else spark.sparkContext.broadcast(value)
+
+
+def fetch(sent):
+    return sent.value if hasattr(sent, "unpersist") else sent
+
+
+def gradient_kernel(classes: np.ndarray, code, weights, keys, dim: int, span: int | None = None):
     """Arrow-batch function: partial hinge sub-gradients for problems ``keys``.
 
-    ``code`` is K x P (all problems), ``weights`` is len(keys) x D (an array or
-    a broadcast of one). With a dense code (one-vs-all) each batch is one
-    ``X @ W.T``. With zeros in the code (one-vs-one, tree) rows are grouped by
-    class and each group is multiplied only by the columns of the problems that
-    class takes part in: K-1 of K(K-1)/2 for one-vs-one, the nodes on its path
-    for the tree. Only the weights, once, and the code's non-zeros travel.
+    ``code`` is a :class:`Coding` or a K x P matrix, ``weights`` is len(keys) x D;
+    those and ``keys`` may be broadcasts.
     """
-    classes = np.asarray(classes, dtype=np.int64)
-    sub = code[:, keys]
-    n_keys, k = len(keys), len(classes)
-    dense = bool(np.all(sub != 0))
-    signs = sub.astype(np.int8) if dense else None
-    cols_of = [] if dense else [np.flatnonzero(sub[c]).astype(np.int32) for c in range(k)]
-    y_of = [sub[c, cols].astype(np.int8) for c, cols in enumerate(cols_of)]
-    del sub
-
-    def class_index(labels: np.ndarray) -> np.ndarray:
-        pos = np.clip(np.searchsorted(classes, labels), 0, k - 1)
-        return np.where(classes[pos] == labels, pos, -1)
+    classes, code = np.asarray(classes, dtype=np.int64), as_coding(code)
+    span = partials.SPAN if span is None else span
 
     def kernel(batches):
-        w = weights if isinstance(weights, np.ndarray) else weights.value
-        w_t = np.ascontiguousarray(w.T) if dense else None
-        w_of: dict[int, np.ndarray] = {}  # of the classes this task meets
-        grad = np.zeros((n_keys, dim))
-        used = np.zeros(n_keys, dtype=np.int64)
+        w, own = fetch(weights), fetch(keys)
+        grad = np.zeros((len(own), dim))
+        used = np.zeros(len(own), dtype=np.int64)
+        kept: dict = {}
         seen = False
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             seen = True
             labels = batch.column(LABEL).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = feature_block(batch.column(FEATURES), dim)
-            idx = class_index(labels)
-            if dense:
-                y = np.where((idx >= 0)[:, None], signs[np.maximum(idx, 0)], 0).astype(float)
-                active = np.where(y * (x @ w_t) < 1.0, y, 0.0)
-                grad -= t_product(active, x)
-                used += np.count_nonzero(y, axis=0)
-                continue
-            order = np.argsort(idx, kind="stable")
-            bounds = np.searchsorted(idx[order], np.arange(k + 1))
-            for c in range(k):
-                lo, hi = bounds[c], bounds[c + 1]
-                cols = cols_of[c]
-                if hi == lo or len(cols) == 0:
-                    continue
-                if c not in w_of:
-                    w_of[c] = np.ascontiguousarray(w[cols].T)
-                rows = x[order[lo:hi]]
-                y = y_of[c].astype(float)
-                active = np.where(y[None, :] * (rows @ w_of[c]) < 1.0, y[None, :], 0.0)
-                grad[cols] -= t_product(active, rows)
-                used[cols] += hi - lo
+            hinge_sums(feature_block(batch.column(FEATURES), dim), class_index(labels, classes), code, own, w, grad, used, kept)
         if seen:
-            yield partial_batch(np.arange(n_keys), used, grad)
+            yield partial_batch(np.arange(len(own)), used, grad, span)
+
+    return kernel
+
+
+STATE_SCHEMA = StructType([
+    StructField("k", IntegerType(), False),
+    StructField("iterations", LongType(), False),
+    StructField("converged", BooleanType(), False),
+    StructField("updated_once", BooleanType(), False),
+    StructField("g", ArrayType(DoubleType(), False), False),
+])
+_ARROW_STATE = to_arrow_schema(STATE_SCHEMA)
+
+
+def steps_kernel(classes: np.ndarray, code: Coding, state, dim: int, params: SGDParams, first: int, seconds: float):
+    """Arrow-batch function for the gathered rows of a small set: iterations
+    from ``first`` on, until all are done, everything converged or ``seconds``
+    have gone. Rows out: one a problem, and k = -1 with each step's seconds."""
+    classes = np.asarray(classes, dtype=np.int64)
+
+    def kernel(batches):
+        held = [(feature_block(b.column(FEATURES), dim), b.column(LABEL).to_numpy(zero_copy_only=False).astype(np.int64),
+                 b.column(BUCKET).to_numpy(zero_copy_only=False) if params.bucketed else None) for b in batches if b.num_rows]
+        if not held:
+            return
+        x = np.concatenate([b.toarray() if isinstance(b, SparseRows) else b for b, _, _ in held])
+        index = class_index(np.concatenate([b for _, b, _ in held]), classes)
+        if params.bucketed:  # a batch of an iteration is then one or two slices
+            bucket = np.concatenate([b for _, _, b in held])
+            order = np.argsort(bucket, kind="stable")
+            x, index, bucket = x[order], index[order], bucket[order]
+        del held
+        now: State = copy.deepcopy(fetch(state))  # a retried task starts from the same state
+        began, took, t = time.perf_counter(), [], first
+        while t <= params.iterations and len(keys := now.active()) and (t == first or time.perf_counter() - began < seconds):
+            start = time.perf_counter()
+            slices = [slice(0, len(index))]
+            if params.bucketed:
+                offset, width, buckets = bucket_offset(params.seed, t, params.n_buckets), params.bucket_width, params.n_buckets
+                runs = [(offset, min(buckets, offset + width)), (0, max(0, offset + width - buckets))] if width < buckets else [(0, buckets)]
+                slices = [slice(*np.searchsorted(bucket, run)) for run in runs]
+            grad, used = np.zeros((len(keys), dim)), np.zeros(len(keys), dtype=np.int64)
+            w, kept = now.weights[keys], {}
+            for rows in slices:
+                if rows.stop > rows.start:
+                    hinge_sums(x[rows], index[rows], code, keys, w, grad, used, kept)
+            now.update(t, keys, grad, used, params)
+            took.append(time.perf_counter() - start)
+            t += 1
+        kind = _ARROW_STATE.field("g").type
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([False]), pa.array([False]),
+             list_column(np.array([took])).cast(kind)], schema=_ARROW_STATE)
+        step = max(1, STEP_VALUES // max(1, dim))
+        for lo in range(0, len(now.weights), step):
+            part = now.weights[lo:lo + step]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(lo, lo + len(part)), pa.int32()), pa.array(now.iterations[lo:lo + step]), pa.array(now.converged[lo:lo + step]),
+                 pa.array(now.updated_once[lo:lo + step]), list_column(part).cast(kind)], schema=_ARROW_STATE)
 
     return kernel
 
 
-def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGDParams,
-              cache: bool = True, block_bytes: int | None = None) -> FitResult:
+def fit_in_task(data: DataFrame, code: Coding, classes, dim: int, params: SGDParams, seconds: float = TASK_SECONDS) -> FitResult:
+    """Train on a small set, many steps a job."""
+    state, history, t = State(code.p, dim), [], 1
+    rows = gathered(data, LABEL, FEATURES, *([BUCKET] if params.bucketed else []))
+    while t <= params.iterations and len(state.active()):
+        sent = shared(data.sparkSession, state, state.weights.nbytes)
+        out = rows.mapInArrow(steps_kernel(classes, code, sent, dim, params, t, seconds), STATE_SCHEMA).toArrow()
+        if sent is not state:
+            sent.unpersist()
+        k = out.column("k").to_numpy()
+        if len(k) == 0:
+            break  # no rows, no update
+        mine = np.flatnonzero(k >= 0)
+        took = out.column("g")[int(np.flatnonzero(k < 0)[0])].as_py()
+        state.weights[k[mine]] = features_matrix(out.column("g").take(pa.array(mine)), dim)
+        for name in ("iterations", "converged", "updated_once"):
+            getattr(state, name)[k[mine]] = out.column(name).to_numpy()[mine]
+        history += took
+        t += len(took)
+    return FitResult(state.weights, state.iterations, state.converged, history)
+
+
+def fit_coded(train: DataFrame, code, classes, dim: int, params: SGDParams, cache: bool = True,
+              block_bytes: int | None = None, in_task: bool | None = None) -> FitResult:
     """Train every column of ``code`` at once on ``train`` (id, label, features).
 
     A model larger than ``block_bytes`` (``BLOCK_BYTES``) is trained in blocks
     of problems; they do not depend on each other, so the weights are the same.
+    ``in_task``: gather the rows in one task and run the steps there (None: if
+    they are one partition and ``trains_in_task`` says so).
     """
-    import time
-
-    k, p = code.shape
-    weights = np.zeros((p, dim))
-    iters = np.zeros(p, dtype=np.int64)
-    converged = np.zeros(p, dtype=bool)
-    updated_once = np.zeros(p, dtype=bool)
-    history = []
-    ship_package(train.sparkSession)
+    code = as_coding(code)
+    spark = train.sparkSession
+    ship_package(spark)
     if params.bucketed and BUCKET not in train.columns:
         train = train.withColumn(BUCKET, bucket_of(params.seed, F.col(ID), params.n_buckets))
     data = train.select(ID, LABEL, FEATURES, *([BUCKET] if params.bucketed else []))
@@ -272,8 +459,13 @@ def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGD
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_parts = data.rdd.getNumPartitions()
+        if in_task is None:
+            in_task = block_bytes is None and n_parts == 1 and trains_in_task(data.count(), dim, code, params)
+        if in_task:
+            return fit_in_task(data, code, classes, dim, params)
+        state, history = State(code.p, dim), []
         for t in range(1, params.iterations + 1):
-            keys = np.flatnonzero(~converged)
+            keys = state.active()
             if len(keys) == 0:
                 break
             start = time.perf_counter()
@@ -284,33 +476,17 @@ def fit_coded(train: DataFrame, code: np.ndarray, classes, dim: int, params: SGD
             elif params.fraction < 1.0:
                 batch = data.where(in_fraction_expr(f"{params.seed}:{t}", ID, params.fraction))
             batch = batch.select(LABEL, FEATURES)  # all that goes to Python
-            grad, used = np.zeros((p, dim)), np.zeros(p, dtype=np.int64)
             for block in problem_blocks(keys, dim, block_bytes):
-                own = weights[block]
-                sent = batch.sparkSession.sparkContext.broadcast(own) if own.nbytes > CLOSURE_BYTES else own
-                kernel = gradient_kernel(np.asarray(classes), code, sent, block, dim)
-                parts = batch.mapInArrow(kernel, PARTIAL_SCHEMA)
-                grad[block], used[block] = reduce_partials(parts, len(block), dim, n_parts)
-                if sent is not own:
-                    sent.unpersist()
-            eta = params.step / math.sqrt(t)
-            for j in keys:
-                n = used[j]
-                if n == 0:
-                    continue  # empty batch for this problem: no update this iteration
-                old = weights[j].copy()
-                new = old * (1.0 - eta * params.reg) + (-eta) * (grad[j] / float(n))
-                if not np.isfinite(new).all():
-                    raise ValueError(f"problem {j}: weights are not finite after iteration {t}; check the features")
-                weights[j] = new
-                iters[j] += 1
-                if updated_once[j]:
-                    diff = math.sqrt(float(np.dot(new - old, new - old)))
-                    if diff < params.tol * max(math.sqrt(float(np.dot(new, new))), 1.0):
-                        converged[j] = True
-                updated_once[j] = True
+                own = state.weights[block]
+                size = own.nbytes + block.nbytes
+                sent, sent_keys = shared(spark, own, size), shared(spark, block, size)
+                parts = batch.mapInArrow(gradient_kernel(classes, code, sent, sent_keys, dim), PARTIAL_SCHEMA)
+                state.update(t, block, *reduce_partials(parts, len(block), dim, n_parts), params)
+                for b in (sent, sent_keys):
+                    if b is not own and b is not block:
+                        b.unpersist()
             history.append(time.perf_counter() - start)
     finally:
         if cache:
             data.unpersist()
-    return FitResult(weights, iters, converged, history)
+    return FitResult(state.weights, state.iterations, state.converged, history)

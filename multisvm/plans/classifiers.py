@@ -1,10 +1,11 @@
 """The three multiclass classifiers: one trainer, three code matrices, three
 decoders.
 
-``fit`` plans the code matrix on the driver from K-sized facts (class list,
-class -> cluster map), trains every binary problem together with
-:func:`fit_coded`, and returns a model whose ``transform`` adds ``margins`` and
-``prediction`` to any labelled frame (batch or streaming).
+``fit`` plans the code on the driver from K-sized facts (class list, class ->
+cluster map), trains every binary problem together with :func:`fit_coded`, and
+returns a model whose ``transform`` adds ``margins`` and ``prediction`` to any
+labelled frame (batch or streaming). The driver holds the model (P x D weights);
+one larger than ``MODEL_BYTES`` is refused before anything is trained.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from multisvm.operators.clustering import (
     CLUSTER, assign_clusters, class_cluster_counts, class_to_cluster, kmeans_fit,
 )
 from multisvm.operators.coding import (
-    class_pairs, collect_inventory, one_vs_all_code, one_vs_one_code, tree_code, tree_layout,
+    Coding, OneVsAllCoding, PairCoding, TreeCoding, class_pairs, collect_inventory, tree_layout,
 )
 from multisvm.operators.metrics import PREDICTION
-from multisvm.operators.scoring import MARGINS, VOTES, pair_votes, walk, with_margins
-from multisvm.operators.trainer import FitResult, SGDParams, cache_rows, fit_coded, relayout
+from multisvm.operators.scoring import MARGINS, VOTES, ProblemBlocks, score
+from multisvm.operators.trainer import FitResult, SGDParams, cache_rows, fit_coded, relayout, trains_in_task
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
 # Hyper-parameters of the three reference programs (iterations, step, reg, batch fraction).
@@ -33,6 +34,10 @@ OVA_DEFAULTS = SGDParams(iterations=250, step=4.0, reg=0.01, fraction=0.25)
 OVO_DEFAULTS = SGDParams(iterations=400, step=4.0, reg=1e-5, fraction=0.5)
 TREE_DEFAULTS = SGDParams(iterations=500, step=4.0, reg=1e-6, fraction=0.5)
 
+# Largest model: the driver holds its weights and one block of gradients (one-vs-one
+# of 1,000 classes over 64 features is 256 MB, of 5,000 classes 6.4 GB).
+MODEL_BYTES = 8 * 1024**3
+
 
 @dataclass
 class CodedModel:
@@ -40,24 +45,33 @@ class CodedModel:
 
     scheme: str
     classes: list[int]
-    code: np.ndarray
+    code: np.ndarray | Coding
     weights: np.ndarray
     fit: FitResult | None = None
-    pairs: list[tuple[int, int]] = field(default_factory=list)
     nodes: list[dict] = field(default_factory=list)
     centres: np.ndarray | None = None
     class_clusters: list[tuple[int, int, int]] = field(default_factory=list)
+    pairs: list[tuple[int, int]] | None = None  # one-vs-one: must be all pairs in order, as :func:`class_pairs` lists them
+    _blocks: tuple | None = field(default=None, repr=False, compare=False)
+
+    def __post_init__(self):
+        if self.pairs is not None and self.pairs != class_pairs(len(self.classes)):
+            raise ValueError("pairs must be those of class_pairs, in its order")
 
     @property
     def problems(self) -> int:
         return self.weights.shape[0]
 
+    def blocks(self, spark) -> ProblemBlocks:
+        """The weights as tasks get them, sent once an application."""
+        key = spark.sparkContext.applicationId
+        if self._blocks is None or self._blocks[0] != key:
+            self._blocks = (key, ProblemBlocks(spark, self.weights))
+        return self._blocks[1]
+
     def margins(self, df: DataFrame, keep=(ID, LABEL), emit_margins: bool = True) -> DataFrame:
         """``keep`` + margins (+ per-class ``votes`` for one-vs-one)."""
-        pairs = None
-        if self.scheme == "ovo":
-            pairs = ([p for p, _ in self.pairs], [n for _, n in self.pairs], len(self.classes))
-        return with_margins(df, self.weights, [c for c in keep], pairs=pairs, emit_margins=emit_margins)
+        return score(df, self.blocks(df.sparkSession), keep, self.scheme, self.classes, self.nodes, margins=emit_margins, votes=self.scheme == "ovo")
 
     def decode(self) -> Column:
         if len(self.classes) == 1:
@@ -70,19 +84,6 @@ class CodedModel:
             return tree_walk(F.col(MARGINS), self.nodes)
         raise ValueError(self.scheme)
 
-    def predictor(self):
-        """The decoder as a function of a batch's margins (n x P to n labels)."""
-        classes = np.array(self.classes, dtype=np.int64)
-        if len(classes) == 1:
-            return lambda m: np.full(len(m), classes[0])
-        if self.scheme == "ova":
-            return lambda m: classes[m.argmax(axis=1)]  # ties: the first, i.e. lowest
-        if self.scheme == "ovo":
-            pos, neg = (np.array(x, dtype=np.int64) for x in zip(*self.pairs))
-            return lambda m: classes[pair_votes(m, pos, neg, len(classes)).argmax(axis=1)]
-        nodes = self.nodes
-        return lambda m: walk(m, nodes)
-
     def transform(self, df: DataFrame, keep=None, margins: bool = True, labels_only: bool = False) -> DataFrame:
         """``keep`` columns + margins (+ votes) + prediction (int).
 
@@ -91,7 +92,7 @@ class CodedModel:
         kernel: a row's prediction is all that comes back, for every scheme."""
         keep = list(keep) if keep is not None else [c for c in df.columns if c != FEATURES]
         if labels_only:
-            return with_margins(df, self.weights, keep, predict=self.predictor())
+            return score(df, self.blocks(df.sparkSession), keep, self.scheme, self.classes, self.nodes, labels=True)
         scored = self.margins(df, keep, emit_margins=margins or self.scheme != "ovo")
         return scored.withColumn(PREDICTION, self.decode().cast("int"))
 
@@ -107,13 +108,23 @@ class _Trainer:
         self.storage_level = storage_level or StorageLevel.MEMORY_AND_DISK
         self.checkpoint = checkpoint
 
+    def problems(self, k: int) -> Coding:
+        """The code of this scheme, or one of as many problems and entries."""
+        raise NotImplementedError
+
     def _prepare(self, df: DataFrame):
         """Persist the rows; the class inventory is the action that fills the
-        cache (one read of the source), then re-lay out only if needed."""
+        cache (one read of the source), then re-lay out only if needed.
+        Returns (rows, inventory, whether a task holds them all)."""
         cached = cache_rows(df.select(ID, LABEL, FEATURES), self.storage_level, self.checkpoint)
         try:
             inv = collect_inventory(cached)
-            return relayout(cached, sum(inv.counts), self.storage_level, self.params, inv.dim), inv
+            code, n = self.problems(inv.k), sum(inv.counts)
+            if 8 * code.p * inv.dim > MODEL_BYTES:
+                raise ValueError(f"{code.p} problems of {inv.dim} features need {8 * code.p * inv.dim >> 20} MB of weights, over {MODEL_BYTES >> 20} MB")
+            if trains_in_task(n, inv.dim, code, self.params):
+                return cached, inv, True
+            return relayout(cached, n, self.storage_level, self.params, inv.dim), inv, False
         except Exception:
             cached.unpersist()
             raise
@@ -125,11 +136,14 @@ class OneVsAll(_Trainer):
     scheme = "ova"
     defaults = OVA_DEFAULTS
 
+    def problems(self, k):
+        return OneVsAllCoding(k)
+
     def fit(self, df: DataFrame) -> CodedModel:
-        data, inv = self._prepare(df)
+        data, inv, in_task = self._prepare(df)
         try:
-            code = one_vs_all_code(inv.k)
-            res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False)
+            code = self.problems(inv.k)
+            res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False, in_task=in_task)
             return CodedModel("ova", list(inv.classes), code, res.weights, res)
         finally:
             data.unpersist()
@@ -141,12 +155,15 @@ class OneVsOne(_Trainer):
     scheme = "ovo"
     defaults = OVO_DEFAULTS
 
+    def problems(self, k):
+        return PairCoding(k)
+
     def fit(self, df: DataFrame) -> CodedModel:
-        data, inv = self._prepare(df)
+        data, inv, in_task = self._prepare(df)
         try:
-            code = one_vs_one_code(inv.k)
-            res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False)
-            return CodedModel("ovo", list(inv.classes), code, res.weights, res, pairs=class_pairs(inv.k))
+            code = self.problems(inv.k)
+            res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False, in_task=in_task)
+            return CodedModel("ovo", list(inv.classes), code, res.weights, res)
         finally:
             data.unpersist()
 
@@ -171,10 +188,13 @@ class ClusterTree(_Trainer):
         self.kmeans_iterations = kmeans_iterations
         self.kmeans_tol = kmeans_tol
 
-    def plan(self, data: DataFrame, cached: bool = False) -> tuple[np.ndarray, list[tuple[int, int, int]], list[dict], list[int]]:
+    def problems(self, k):
+        return OneVsAllCoding(max(1, k - 1))  # nodes of the tree, before it is laid out
+
+    def plan(self, data: DataFrame, cached: bool = False, n_rows: int | None = None) -> tuple[np.ndarray, list[tuple[int, int, int]], list[dict], list[int]]:
         """Centres, class -> (cluster, err) map and node layout (no SVM trained yet)."""
         iters = self.kmeans_iterations or self.params.iterations
-        centres = kmeans_fit(data, 2, iters, self.params.seed, self.kmeans_init, self.kmeans_tol, cache=not cached)
+        centres = kmeans_fit(data, 2, iters, self.params.seed, self.kmeans_init, self.kmeans_tol, cache=not cached, n_rows=n_rows)
         assigned = assign_clusters(data, centres, [LABEL])
         c2c = class_to_cluster(class_cluster_counts(assigned)).collect()  # K rows
         triples = sorted((int(r[LABEL]), int(r[CLUSTER]), int(r.err)) for r in c2c)
@@ -185,12 +205,12 @@ class ClusterTree(_Trainer):
         return centres, triples, tree_layout(side1, side0), classes
 
     def fit(self, df: DataFrame) -> CodedModel:
-        data, inv = self._prepare(df)
+        data, inv, in_task = self._prepare(df)
         try:
-            centres, triples, nodes, classes = self.plan(data, cached=True)
+            centres, triples, nodes, classes = self.plan(data, cached=True, n_rows=sum(inv.counts))
             assert tuple(classes) == inv.classes
-            code = tree_code(nodes, classes)
-            res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False)
+            code = TreeCoding(nodes, classes)
+            res = fit_coded(data, code, inv.classes, inv.dim, self.params, cache=False, in_task=in_task)
             return CodedModel("tree", classes, code, res.weights, res, nodes=nodes,
                               centres=centres, class_clusters=triples)
         finally:
