@@ -37,27 +37,34 @@ def _embeddings_src(split: str) -> list[str]:
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"""]
 
 
-def _lineitem_src(split: str) -> list[str]:
-    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+def _columns_src(table: str, cols: list[str], label: str, key: str, split: str) -> list[str]:
     maxes = ", ".join(f"max(abs(CAST({c} AS DOUBLE))) AS m{i}" for i, c in enumerate(cols))
     feats = ", ".join(f"CAST({c} AS DOUBLE) / CASE WHEN s.m{i} IS NULL OR s.m{i} = 0 THEN 1.0 ELSE s.m{i} END"
                       for i, c in enumerate(cols))
-    complete = " AND ".join(f"{c} IS NOT NULL" for c in ["l_returnflag"] + cols)
-    key = "concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [label] + cols)
     return [
-        f"scale AS (SELECT {maxes} FROM lineitem WHERE {complete})",
+        f"scale AS (SELECT {maxes} FROM {table} WHERE {complete})",
         f"""src AS (
   SELECT {key} AS id,
-         CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS label,
+         CAST(dense_rank() OVER (ORDER BY {label}) - 1 AS INTEGER) AS label,
          [{feats}] AS f,
          CASE WHEN {split.format(key=key)} THEN 'train' ELSE 'test' END AS split
-  FROM lineitem CROSS JOIN scale s WHERE {complete})""",
+  FROM {table} CROSS JOIN scale s WHERE {complete})""",
     ]
 
 
+def _lineitem_src(split: str) -> list[str]:
+    key = "concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+    return _columns_src("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag", key, split)
+
+
+def _part_src(split: str) -> list[str]:
+    return _columns_src("part", ["p_size", "p_retailprice", "p_partkey"], "p_brand", "p_partkey", split)
+
+
 def base_ctes(table: str = "embeddings") -> list[str]:
     split = _in_fraction(f"'{Q.SEED}'", "{key}", Q.TRAIN_FRACTION)
-    src = {"embeddings": _embeddings_src, "lineitem": _lineitem_src}[table](split)
+    src = {"embeddings": _embeddings_src, "lineitem": _lineitem_src, "part": _part_src}[table](split)
     return src + [
         "train AS (SELECT id, label, f FROM src WHERE split = 'train')",
         """cls AS (
@@ -387,6 +394,15 @@ FROM nodes""", recursive=True)
     for scheme in ("ovo", "tree"):
         lc, lp = _scheme(scheme, "lineitem")
         out[f"lineitem_{scheme}_metrics_summary"] = sql(lc + lp, SUMMARY, recursive=True)
+    # 25 classes: 300 pairs, a tree of 24 nodes
+    pc, pp = _scheme("ovo", "part")
+    out["part_binarize_pair"] = sql(base_ctes("part") + ovo_code(),
+                                    "SELECT r.id, r.label, CAST(c.problem AS INTEGER) AS problem, CAST(c.y AS INTEGER) AS y FROM train r JOIN code c ON c.label = r.label")
+    out["part_train_ovo"] = sql(pc, _weights_body(", p.pos_label, p.neg_label", " JOIN pairs p ON p.problem = m.problem"), recursive=True)
+    out["part_ovo_votes"] = sql(pc + pp, "SELECT id, class, votes FROM votes", recursive=True)
+    out["part_score_ovo"] = sql(pc + pp, "SELECT id, label, split, prediction FROM pred", recursive=True)
+    pc, pp = _scheme("tree", "part")
+    out["part_score_tree"] = sql(pc + pp, "SELECT id, label, split, prediction FROM pred", recursive=True)
     lb, _ = _scheme("ova", "lineitem", Q.ROW_BATCH_PARAMS)
     out["lineitem_train_ova_row_batches"] = sql(lb, _weights_body(", c.label", " JOIN cls c ON c.class_index = m.problem"),
                                              recursive=True)

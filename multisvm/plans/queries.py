@@ -21,7 +21,7 @@ from multisvm.operators.clustering import (
     kmeans_fit, lloyd,
 )
 from multisvm.operators.coding import (
-    binarize, class_inventory, code_table, collect_inventory, one_vs_all_code, one_vs_one_code, tree_code,
+    PairCoding, binarize, class_inventory, code_entries, collect_inventory, one_vs_all_code,
 )
 from multisvm.operators.metrics import PREDICTION, accuracy_summary, confusion, metrics_by_label
 from multisvm.operators.partials import PARTIAL_SCHEMA
@@ -32,7 +32,7 @@ from multisvm.session import scratch_path, ship_package
 from multisvm.sources.csv import read_labeled_csv, write_labeled_csv
 from multisvm.sources.libsvm import read_libsvm, write_libsvm
 from multisvm.sources.split import SPLIT, with_split
-from multisvm.sources.tables import FEATURES, ID, LABEL, dense_array, embeddings, lineitem
+from multisvm.sources.tables import FEATURES, ID, LABEL, dense_array, embeddings, lineitem, part
 
 # Fixed parameters of the registered queries.
 SEED = 42
@@ -52,7 +52,7 @@ def rounded(col) -> F.Column:
     return F.round(col, DIGITS) + F.lit(0.0)
 
 
-TABLES = {"embeddings": embeddings, "lineitem": lineitem}
+TABLES = {"embeddings": embeddings, "lineitem": lineitem, "part": part}
 
 
 def labelled_split(spark: SparkSession, sf_dir: str, table: str = "embeddings") -> DataFrame:
@@ -151,25 +151,29 @@ def q_class_inventory(spark, sf_dir):
     return class_inventory(train_rows(spark, sf_dir))
 
 
-def _binarized(spark, sf_dir, code_for) -> DataFrame:
-    train = train_rows(spark, sf_dir)
-    inv = collect_inventory(train)
-    code = code_for(inv)
-    codes = code_table(spark, code, list(inv.classes))
-    return binarize(train, codes, int(np.count_nonzero(code))).select(ID, LABEL, "problem", "y")
+def _binarized(spark, sf_dir, scheme, nodes=(), table="embeddings") -> DataFrame:
+    """Targets of every problem, from the table of classes."""
+    train = train_rows(spark, sf_dir, table)
+    classes = class_inventory(train).select(LABEL, "class_index")
+    k = classes.count()
+    n_entries = sum(len(n["pos_classes"]) + len(n["neg_classes"]) for n in nodes) if scheme == "tree" else k * k
+    return binarize(train, code_entries(classes, k, scheme, nodes), n_entries).select(ID, LABEL, "problem", "y")
 
 
 def q_binarize_one_vs_rest(spark, sf_dir):
-    return _binarized(spark, sf_dir, lambda inv: one_vs_all_code(inv.k))
+    return _binarized(spark, sf_dir, "ova")
 
 
 def q_binarize_pair(spark, sf_dir):
-    return _binarized(spark, sf_dir, lambda inv: one_vs_one_code(inv.k))
+    return _binarized(spark, sf_dir, "ovo")
+
+
+def q_part_binarize_pair(spark, sf_dir):
+    return _binarized(spark, sf_dir, "ovo", table="part")
 
 
 def q_binarize_class_set(spark, sf_dir):
-    model = fitted(spark, sf_dir, "tree")
-    return _binarized(spark, sf_dir, lambda inv: tree_code(model.nodes, model.classes))
+    return _binarized(spark, sf_dir, "tree", fitted(spark, sf_dir, "tree").nodes)
 
 
 def q_filter_class_set(spark, sf_dir):
@@ -213,12 +217,15 @@ def q_train_ova(spark, sf_dir):
     return weights_frame(spark, m.weights, {"label": m.classes})
 
 
-def q_train_ovo(spark, sf_dir):
-    m = fitted(spark, sf_dir, "ovo")
-    return weights_frame(spark, m.weights, {
-        "pos_label": [m.classes[p] for p, _ in m.pairs],
-        "neg_label": [m.classes[n] for _, n in m.pairs],
-    })
+def _train_ovo_query(table="embeddings"):
+    def q(spark, sf_dir):
+        m = fitted(spark, sf_dir, "ovo", table)
+        pos, neg = PairCoding(len(m.classes)).pairs()
+        return weights_frame(spark, m.weights, {
+            "pos_label": [m.classes[p] for p in pos],
+            "neg_label": [m.classes[n] for n in neg],
+        })
+    return q
 
 
 def q_train_tree(spark, sf_dir):
@@ -228,14 +235,16 @@ def q_train_tree(spark, sf_dir):
 
 # ---------------------------------------------------------------- scoring
 
-def scored(spark, sf_dir, scheme: str, split: str | None = None, table: str = "embeddings") -> DataFrame:
+def scored(spark, sf_dir, scheme: str, split: str | None = None, table: str = "embeddings",
+           keep: tuple[str, ...] = (LABEL, SPLIT)) -> DataFrame:
     """Score the labelled rows; a split filter goes below the (opaque) Arrow
-    scoring step so the other split is never scored."""
+    scoring step so the other split is never scored, and only the columns in
+    ``keep`` pass through it."""
     m = fitted(spark, sf_dir, scheme, table)
     rows = labelled_split(spark, sf_dir, table)
     if split is not None:
         rows = rows.where(F.col(SPLIT) == split)
-    return m.transform(rows, keep=[ID, LABEL, SPLIT], labels_only=True)
+    return m.transform(rows, keep=keep, labels_only=True)
 
 
 def q_ova_margins(spark, sf_dir):
@@ -245,18 +254,20 @@ def q_ova_margins(spark, sf_dir):
         ID, "problem", rounded(F.col("m")).alias("margin"))
 
 
-def _score_query(scheme):
+def _score_query(scheme, table="embeddings"):
     def q(spark, sf_dir):
-        return scored(spark, sf_dir, scheme).select(ID, LABEL, SPLIT, PREDICTION)
+        return scored(spark, sf_dir, scheme, table=table, keep=(ID, LABEL, SPLIT))
     return q
 
 
-def q_ovo_votes(spark, sf_dir):
-    m = fitted(spark, sf_dir, "ovo")
-    votes = m.margins(labelled_split(spark, sf_dir), keep=[ID])
-    classes = F.array(*[F.lit(int(c)) for c in m.classes])
-    return votes.select(ID, F.posexplode("votes").alias("pos", "votes")).select(
-        ID, F.element_at(classes, F.col("pos") + 1).alias("class"), F.col("votes").cast("long").alias("votes"))
+def _votes_query(table="embeddings"):
+    def q(spark, sf_dir):
+        m = fitted(spark, sf_dir, "ovo", table)
+        votes = m.margins(labelled_split(spark, sf_dir, table), keep=[ID], emit_margins=False)
+        classes = F.array(*[F.lit(int(c)) for c in m.classes])
+        return votes.select(ID, F.posexplode("votes").alias("pos", "votes")).select(
+            ID, F.element_at(classes, F.col("pos") + 1).alias("class"), F.col("votes").cast("long").alias("votes"))
+    return q
 
 
 # ---------------------------------------------------------------- clustering
@@ -360,8 +371,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ova_confusion_matrix": _confusion_query("ova"),
     "ova_metrics_by_label": _by_label_query("ova"),
     "ova_metrics_summary": _summary_query("ova"),
-    "train_ovo": q_train_ovo,
-    "ovo_votes": q_ovo_votes,
+    "train_ovo": _train_ovo_query(),
+    "ovo_votes": _votes_query(),
     "score_ovo": _score_query("ovo"),
     "ovo_confusion_matrix": _confusion_query("ovo"),
     "ovo_metrics_by_label": _by_label_query("ovo"),
@@ -385,6 +396,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lineitem_train_ova_row_batches": q_lineitem_train_ova_row_batches,
     "lineitem_ovo_metrics_summary": _summary_query("ovo", "lineitem"),
     "lineitem_tree_metrics_summary": _summary_query("tree", "lineitem"),
+    # Many classes: the 25 brands of part, 300 pairs and a tree of 24 nodes.
+    "part_binarize_pair": q_part_binarize_pair,
+    "part_train_ovo": _train_ovo_query("part"),
+    "part_ovo_votes": _votes_query("part"),
+    "part_score_ovo": _score_query("ovo", "part"),
+    "part_score_tree": _score_query("tree", "part"),
     # The survey's generic names (EVL-1..8, SNK-1/2) for the flagship one-vs-all program.
     "confusion_matrix": _confusion_query("ova"),
     "metrics_by_label": _by_label_query("ova"),

@@ -133,3 +133,11 @@ LINEITEM_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as a labelled frame: 4 scaled numeric features, class = return flag."""
     return from_columns(read_table(spark, sf_dir, "lineitem"), LINEITEM_FEATURES, "l_returnflag", LINEITEM_KEY)
+
+
+PART_FEATURES = ["p_size", "p_retailprice", "p_partkey"]
+
+
+def part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as a labelled frame: 3 scaled numeric features, class = brand (25 of them)."""
+    return from_columns(read_table(spark, sf_dir, "part"), PART_FEATURES, "p_brand", ["p_partkey"])

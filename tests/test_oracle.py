@@ -16,7 +16,7 @@ NAMES = list(oracle_sql())
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("embeddings", "lineitem"):
+    for t in ("embeddings", "lineitem", "part"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return c
 
