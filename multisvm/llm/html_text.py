@@ -5,28 +5,35 @@ one a block of text (whatever a block-level tag sets apart), each with its
 characters, the characters inside links, the tags met while it was open and the
 elements it stands in. Then
 
-1. lines inside scripts, styles, forms, menus, page headers and footers,
-   sidebars, notices, adverts and reader comments (by tag, role, class or id)
-   are furniture; a named container that holds the article itself is not;
+1. lines inside scripts, styles, forms, menus, page headers and footers and
+   sidebars (by tag) or hidden elements are furniture;
 2. a line's ratio is its text outside links over its tags; ratios are smoothed
    with a Gaussian over neighbouring lines, and lines above a threshold between
    the two clusters of ratios (two means) are content;
-3. the region is the lowest element around all content lines, all article
+3. an element whose role, class or id names furniture (a notice, an advert,
+   reader comments, ...) is furniture too, unless most content lines stand in it.
+   A class or id counts if it is made of such words and of words of layout alone:
+   "related-posts" does, "related-work" does not;
+4. the region is the lowest element around all content lines, all article
    elements and the heading before them (an article around it is taken whole);
-   where the page has a main element with text, the tag decides instead: the
-   region is every main and article element, and the ratios change nothing;
-4. every line of the region that is not furniture is kept, short ones too.
+   where the page has a main element with text, it is every main and article;
+5. inside the region, blocks of three lines and more that are links and nothing
+   else, at most half of them content by their smoothed ratios, are menus and go;
+6. every other line of the region that is not furniture is kept, short ones too.
 
 Defined cases: null or empty html gives an empty text; a page without
 any text outside furniture gives an empty text; unclosed, stray and nested
-tags are tolerated; ratios of about one size fall in one cluster; repeated rows are
-extracted row by row; other columns pass through; an empty table gives an
-empty result.
+tags are tolerated; unknown declarations and sections are comments; a comment
+or a tag that the page does not close reaches to its end, as in browsers; ratios
+of about one size fall in one cluster; repeated rows are extracted row by row;
+other columns pass through; an empty table gives an empty result. A very long
+page is parsed in chunks, in time linear in its size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -67,9 +74,17 @@ FURNITURE = set(
     "newsletter subscribe subscription signup login search searchbox share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond replies reply form toolbar tooltip skip copyright".split()
 )
+# Words of layout that may stand beside them in a name (fixed values).
+LAYOUT = set(
+    "area article articles bar bars block blocks bottom box boxes btn button buttons card cards col column container content "
+    "desktop el element fixed foot global group head holder icon icons id inline inner item items js label large layout left "
+    "line link links list main mobile module nd page pages panel post posts primary region right row secondary section sections "
+    "site slot small st sticky story stories tablet th title top unit units view wrap wrapper zone".split()
+)
 HEADER = set("header masthead banner".split())
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_OPEN = re.compile(r"<[A-Za-z/!?]")
 
 
 class _Events(HTMLParser):
@@ -80,6 +95,7 @@ class _Events(HTMLParser):
         # per element: parent, name, flag (0 none, 1 by class or id, 2 by tag, 3 a header by class or id)
         self.parent, self.name, self.flag = [-1], ["#"], [0]
         self.open = [0]
+        self.opened: Counter[str] = Counter()  # names of open elements
         self.hidden = 0
         # per line: text, characters in links, tags, element
         self.lines: list[tuple[str, int, int, int]] = []
@@ -118,6 +134,7 @@ class _Events(HTMLParser):
         self.name.append(tag)
         self.flag.append(flag)
         self.open.append(len(self.name) - 1)
+        self.opened[tag] += 1
         self.hidden += tag in HIDDEN
 
     def _close(self, names: set[str]) -> None:
@@ -134,6 +151,7 @@ class _Events(HTMLParser):
         self._cut()
         for e in self.open[k:]:
             self.hidden -= self.name[e] in HIDDEN
+            self.opened[self.name[e]] -= 1
         del self.open[k:]
 
     def handle_endtag(self, tag):
@@ -147,6 +165,8 @@ class _Events(HTMLParser):
                 self._leave(len(self.open) - 1)
             return
         self._cut()
+        if not self.opened[tag]:
+            return  # a stray end tag
         for k in range(len(self.open) - 1, 0, -1):
             if self.name[self.open[k]] == tag:
                 self._leave(k)
@@ -163,25 +183,50 @@ class _Events(HTMLParser):
             if self._links:
                 self._linked += len(data)
 
+    def parse_marked_section(self, i, report=1):
+        """Sections are comments: to "]]>" if it is one of character data, else
+        to the next ">"."""
+        if self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find("]]>", i)
+            if end >= 0:
+                return end + 3
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def finish(self) -> None:
+        if _OPEN.match(self.rawdata):  # an unfinished comment, declaration or tag
+            self.rawdata = ""
         self.close()
         self._cut()
 
 
+def _names(value: str) -> set[str]:
+    """The furniture that a class, id or role names: words of those tokens that
+    consist of such words and words of layout."""
+    found = set()
+    for token in value.split():
+        words = {word.lower() for word in _NAME.findall(token)}
+        if words <= FURNITURE | LAYOUT:
+            found |= words & FURNITURE
+    return found
+
+
 def _named(tag: str, attrs) -> int:
     """Do the class, id or role of an element call it furniture? 1 if so, 3 if
-    only a header, 0 if not. (A heading is furniture only with what it stands in.)"""
+    only a header, 0 if not; 2 if it is hidden. (A heading is furniture only
+    with what it stands in.)"""
     if tag in HEADINGS:
         return 0
     found = 0
     for key, value in attrs:
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return 1
+            return 2
         if value and key in ("class", "id", "role"):
-            words = {word.lower() for word in _NAME.findall(value)} & FURNITURE
+            words = _names(value)
             if words - HEADER:
-                return 1
-            found = 3 if words else found
+                found = 1
+            elif words:
+                found = found or 3
     return found
 
 
@@ -222,44 +267,42 @@ def main_text(html: str | None) -> str:
     if not page.lines:
         return ""
     n, parent, name = len(page.name), page.parent, page.name
-    # What holds an article or main element is not furniture by its class or id,
-    # unless all it holds are cards: articles under a tenth of the largest one.
+    # lines outside of what tags make furniture, and the content among them;
+    # a header inside an article is its heading
+    inside, tagged = [False] * n, [False] * n
+    for e in range(1, n):
+        p = parent[e]
+        inside[e] = inside[p] or name[e] in ("article", "main")
+        tagged[e] = tagged[p] or page.flag[e] == 2 and not (name[e] == "header" and inside[p])
+    lines = [x for x in page.lines if not tagged[x[3]]]
+    if not lines:
+        return ""
+    ratios = np.array([max(0, len(t) - linked) / max(1, tags) for t, linked, tags, _ in lines])
+    content = content_lines(smoothed(ratios))
+    # what most of them stand in is not furniture by its name
+    held = [0] * n
+    for x, good in zip(lines, content):
+        held[x[3]] += int(good)
+    for e in range(n - 1, 0, -1):
+        held[parent[e]] += held[e]
     frames = [e for e in range(n) if name[e] in ("article", "main") and page.flag[e] == 0]
-    holds, spared = [False] * n, [False] * n
+    holds = [False] * n
     _mark(frames, parent, holds)
-    if frames:
-        own, plain = [0] * n, [True] * n
-        for e in range(1, n):
-            plain[e] = plain[parent[e]] and not (page.flag[e] == 2 or page.flag[e] in (1, 3) and not holds[e])
-        for t, linked, _, e in page.lines:
-            own[e] += max(0, len(t) - linked) if plain[e] else 0
-        for e in range(n - 1, 0, -1):
-            own[parent[e]] += own[e]
-        largest = max(own[e] for e in frames)
-        _mark([e for e in frames if 10 * own[e] >= largest], parent, spared)
-    else:  # nor is what holds the first heading and most of the text
-        size, headed = [0] * n, [x == "h1" for x in name]
-        for t, _, _, e in page.lines:
-            size[e] += len(t)
-        for e in range(n - 1, 0, -1):
-            size[parent[e]] += size[e]
-            headed[parent[e]] = headed[parent[e]] or headed[e]
-        for e in range(1, n):
-            spared[e] = page.flag[e] in (1, 3) and headed[e] and 10 * size[e] >= 6 * size[0]
     in_article = [False] * n
     furniture = [False] * n
     for e in range(1, n):
         p = parent[e]
         in_article[e] = in_article[p] or (holds[e] and name[e] in ("article", "main"))
-        flag = page.flag[e]
-        if in_article[p] and (name[e] == "header" and flag == 2 or flag == 3 or holds[e] and flag == 1):
+        flag = 0 if page.flag[e] == 2 and not tagged[e] else page.flag[e]
+        if in_article[p] and (flag == 3 or holds[e] and flag == 1):
             flag = 0  # an article's own heading, or what holds an article inside it
-        furniture[e] = furniture[p] or flag == 2 or flag in (1, 3) and not spared[e]
-    lines = [x for x in page.lines if not furniture[x[3]]]
+        furniture[e] = furniture[p] or flag == 2 or flag in (1, 3) and 2 * held[e] <= held[0]
+    content = [good for x, good in zip(lines, content) if not furniture[x[3]]]
+    lines = [x for x in lines if not furniture[x[3]]]
     if not lines:
         return ""
-    ratios = np.array([max(0, len(t) - linked) / max(1, tags) for t, linked, tags, _ in lines])
-    content = content_lines(smoothed(ratios))
+    if not any(content):
+        content = [True] * len(lines)
     worded = [False] * n  # elements with a line
     _mark([x[3] for x in lines], parent, worded)
     frames = [e for e in frames if not furniture[e] and worded[e]]
@@ -269,13 +312,33 @@ def main_text(html: str | None) -> str:
         under = [0] * n  # 2 in a main heading, 1 in another
         for e in range(1, n):
             under[e] = under[parent[e]] or (2 if name[e] == "h1" else int(name[e] in HEADINGS))
-        heads = [x[3] for x in lines[: int(np.argmax(content))] if under[x[3]]]
+        heads = [x[3] for x in lines[: content.index(True)] if under[x[3]]]
         titles = [e for e in heads if under[e] == 2] or heads[-1:]
         roots = {_region([x[3] for x, good in zip(lines, content) if good] + frames + titles, name, parent)}
     kept = [False] * n
     for e in range(n):
         kept[e] = e in roots or e > 0 and kept[parent[e]]
-    return "\n\n".join(x[0] for x in lines if kept[x[3]])
+    menu = _menus(lines, content, parent, name)
+    return "\n\n".join(x[0] for x in lines if kept[x[3]] and not menu[x[3]])
+
+
+def _menus(lines: list, content: list[bool], parent: list[int], name: list[str]) -> list[bool]:
+    """Elements inside blocks of three lines and more that are all links and at
+    most half of them content (text beside a menu raises its outer lines)."""
+    n = len(parent)
+    count, good, plain = [0] * n, [0] * n, [False] * n
+    for (text, linked, _, e), high in zip(lines, content):
+        count[e] += 1
+        good[e] += int(high)
+        plain[e] = plain[e] or linked < 0.9 * len(text)
+    for e in range(n - 1, 0, -1):
+        count[parent[e]] += count[e]
+        good[parent[e]] += good[e]
+        plain[parent[e]] = plain[parent[e]] or plain[e]
+    menu = [False] * n
+    for e in range(1, n):
+        menu[e] = menu[parent[e]] or count[e] >= 3 and not plain[e] and 2 * good[e] <= count[e] and name[e] not in BODY
+    return menu
 
 
 def _mark(elements: list[int], parent: list[int], marks: list[bool]) -> None:

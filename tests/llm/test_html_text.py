@@ -1,9 +1,12 @@
 import html
+import random
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
 from helpers import with_clashes
+from multisvm.llm import html_text
 from multisvm.llm.html_text import content_lines, extract_text, main_text, smoothed
 
 
@@ -87,3 +90,70 @@ def test_title_lead_and_smaller_sections_stay():
         nested = f"<div>{nested}</div><section>{part}</section>"
     assert main_text(f"<body>{nested}</body>").split("\n\n") == [*text, *text, *[LONG] * 12]
     assert main_text(f"<div><p>{LONG * 3}</p><p>Short.</p></div>").split("\n\n") == [LONG * 3, "Short."]
+
+
+def test_declarations_and_unfinished_markup():
+    assert main_text("<p>a</p><![foo bar]><p>b</p>") == "a\n\nb"
+    assert main_text("<p>a</p><![ x]><p>b</p>") == "a\n\nb"
+    assert main_text("<p>a</p><![if IE]><p>b</p><![endif]--><p>c</p>") == "a\n\nb\n\nc"
+    assert main_text("<p>a</p><![CDATA[ x > y ]]><p>b</p><!weird><?php x ?><p>c</p>") == "a\n\nb\n\nc"
+    assert main_text("<p>a</p><!-- no end <p>b</p>") == "a"
+    assert main_text('<p>a</p><a href="x') == main_text("<p>a</p><p class") == main_text("<p>a</p></p") == main_text("<p>a</p><![x") == "a"
+    assert main_text("<p>a &lt b & c &amp</p>") == "a < b & c &"
+
+
+def test_any_mix_of_markup_gives_text():
+    rng = random.Random(11)
+    parts = ["<p>", "</p>", "<div class=nav>", "</div>", "<a href='x'>", "</a>", "<!", "<![", "<!--", "-->", "]]>", "<![CDATA[", "<?", "?>", "<script>",
+             "</script>", "<", ">", "&", "&#", "&#x110000;", "&#0;", "&bogus;", "\"", "'", "<a b='", "</", "</ x", "<article>", "</article>", "<!DOCTYPE",
+             "[", "text", "long text of a page, with words", "\x00", "퟿", "é", "<br/", "<li", "=", "/>", "<title>", "<textarea>", "<svg><p>", "<p/>"]
+    for _ in range(1500):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        assert isinstance(main_text(page), str)
+
+
+def test_words_inside_a_name_are_not_furniture():
+    blocks = ['<section id="related-work"><p>{}</p></section>', '<section id="search-algorithms"><p>{}</p></section>',
+              '<div id="form-of-government"><p>{}</p></div>', '<p id="copyright-law">{}</p>', '<p>The <span class="share-price">{}</span></p>']
+    for i, block in enumerate(blocks):
+        for around in ("<article>{}</article>", '<div class="story">{}</div>'):
+            page = around.format(f"<h1>T</h1><p>{LONG}</p>{block.format(f'Kept {i}.')}<p>{LONG}</p>")
+            assert f"Kept {i}." in main_text(page)
+    for name in ("related-posts", "ad-slot", "cookie notice", "commentList", "social-share-buttons", "newsletterSignup", "site-footer"):
+        assert "Gone" not in main_text(f"<article><h1>T</h1><p>{LONG}</p><div class='{name}'><p>Gone.</p></div></article>"), name
+    assert main_text(f"<div class='page-header'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>") == f"T\n\n{LONG}\n\n{LONG}"  # the story itself
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Menu {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+def test_lists_of_links_beside_and_around_the_story_go():
+    story = f"<h1>T</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+    want = ["T", LONG, "Short.", LONG]
+    assert main_text(f"<body>{LINKS}<div>{story}</div></body>").split("\n\n") == want
+    assert main_text(f"<body><div>{LINKS}{story}{LINKS}</div></body>").split("\n\n") == want
+    assert main_text(f"<body><main>{LINKS}{story}</main></body>").split("\n\n") == want
+    # links with words of their own, and two links, stay
+    cited = "<ul>" + "".join(f"<li><a href=/{i}>Paper {i}</a>, by some people, in a journal</li>" for i in range(3)) + "</ul>"
+    assert main_text(f"<body><div>{story}{cited}<p><a href=x>One</a></p><p><a href=y>Two</a></p></div></body>").count("Paper") == 3
+    assert main_text(f"<body><div>{story}<p><a href=x>One</a></p><p><a href=y>Two</a></p></div></body>").endswith("One\n\nTwo")
+
+
+def test_the_ratios_decide(monkeypatch):
+    story = ["T", "Short.", LONG, LONG, "Short.", "Short."]
+    outside = "".join(f"<p>Tiny {i}.</p>" for i in range(5))
+    page = f"<body><div>{outside}</div><div><h1>T</h1>{''.join(f'<p>{x}</p>' for x in story[1:])}</div><div>{outside}</div></body>"
+    with_ratios = main_text(page)
+    monkeypatch.setattr(html_text, "content_lines", lambda ratios: np.ones(len(ratios), bool))
+    assert with_ratios.split("\n\n") == story and main_text(page).count("Tiny") == 10
+
+
+def test_stray_end_tags_cost_linear_time():
+    def took(n):
+        page = "<div>" * n + "text" + "</section></p></li>" * n
+        start = time.perf_counter()
+        assert main_text(page) == "text"
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(8000) < 40 * took(1000)
