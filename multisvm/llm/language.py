@@ -8,20 +8,25 @@ and texts are scored in batches: presence matrix x landmark n-grams, then
 kernel values x coefficients.
 
 Fitting uses a bounded sample, at most ``TRAIN_PER_LANGUAGE`` rows a language
-(the least hashes of doc_id, texts of ``TRAIN_CHARS`` characters first), of
-which ``LANDMARKS_PER_LANGUAGE`` are landmarks. Scoring reads every whole text.
-The number of languages is the number of labels in the data and is expected to
-be small (each adds its landmarks to the model).
-
-Defined cases: null texts and texts without a letter are ``und`` with score 0;
-equal scores go to the alphabetically first language; null languages teach
-nothing; with no row to learn from every text is ``und``; repeated rows are
-scored row by row; an empty table gives an empty result.
+(the least hashes of id and text, texts of ``TRAIN_CHARS`` characters first), of
+which ``LANDMARKS_PER_LANGUAGE`` are landmarks. As many rows again, outside the
+fit, tell what score a text of the learned languages has at least; a text is
+``accepted`` if its own reaches ``SLACK`` of their ``LOW_QUANTILE``. Scoring reads
+every whole text. The number of languages is the number of labels in the data
+(each adds its landmarks to the model); over ``MOST_LANGUAGES`` is an error.
+
+Defined cases: null texts and texts without a letter are ``und`` with score 0
+and not accepted; equal scores go to the alphabetically first language; null
+languages teach nothing, rows of one id and text teach once; with no row to
+learn from every text is ``und``; repeated rows are scored row by row; an empty
+table gives an empty result. A very long text is read in pieces of ``PIECE``
+characters that end between words; what is kept of it are its distinct n-grams.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +40,11 @@ TRAIN_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 32
 TRAIN_CHARS = (200, 4000)
 RIDGE = 1e-3
+LOW_QUANTILE, SLACK = 0.001, 0.75
+MOST_LANGUAGES = 2000
+PIECE = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDED = re.compile(r"[^\W\d_]+")
 _BLANKS = re.compile(r"[\W\d_]+")
 
 
@@ -46,33 +54,67 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def has_letter(text: str | None) -> bool:
+    """Is there a character of a letter category (not a numeral such as a superscript)?"""
+    return bool(text) and any(any(map(str.isalpha, m.group())) for m in _WORDED.finditer(text))
+
+
+def pieces(text: str) -> Iterator[np.ndarray]:
+    """``points`` of a text in runs of about ``PIECE`` characters. Runs end
+    between words and repeat the letter before, so that their n-grams together
+    are those of the whole."""
+    start, tail = 0, None
+    while True:
+        blank = _BLANKS.search(text, start + PIECE) if len(text) - start > PIECE else None
+        end = blank.start() if blank else len(text)
+        at = points(text[start:end])
+        last = end == len(text)
+        if len(at) > 2 or last and tail is None:
+            yield at if tail is None else np.concatenate([tail, at])
+            tail = at[-2:-1]
+        if last:
+            return
+        start = end
+
+
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray  # code point -> 1 .. A - 1 (letters of the landmarks), 0 for others
-    letters: int  # A
-    codes: np.ndarray  # n-gram codes of the landmarks
+    letters: np.ndarray  # sorted code points of the landmarks
+    codes: np.ndarray  # sorted n-gram codes of the landmarks
     grams: np.ndarray  # presence of each code in each landmark, normalized by landmark
     coefficients: np.ndarray  # landmarks x languages
+    least: float = 0.0  # score of an accepted text
 
     def grams_of(self, at: np.ndarray) -> np.ndarray:
-        """Codes of the 1-, 2- and 3-grams (0-based blocks; base A digits)."""
-        a = self.alphabet[np.minimum(at, len(self.alphabet) - 1)]
-        n = self.letters
+        """Codes of the 1-, 2- and 3-grams (0-based blocks; digits are places
+        among the known letters, 0 for any other)."""
+        place = np.searchsorted(self.letters, at)
+        known = self.letters[np.minimum(place, len(self.letters) - 1)] == at
+        a = np.where(known, place + 1, 0)
+        n = len(self.letters) + 1
         two = a[:-1] * n + a[1:]
         return np.concatenate([a, n + two, n + n * n + two[:-1] * n + a[2:]])
 
+    def distinct(self, text: str) -> np.ndarray:
+        """Sorted distinct n-gram codes of a whole text."""
+        found = None
+        for at in pieces(text):
+            codes = self.grams_of(at)
+            codes.sort()
+            codes = codes[np.append(True, codes[1:] != codes[:-1])]
+            found = codes if found is None else np.union1d(found, codes)
+        return found
+
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Normalized kernel values of the texts with the landmarks."""
-        seen = np.zeros(self.letters + self.letters**2 + self.letters**3, bool)
         rows = np.zeros((len(texts), len(self.codes)), np.float32)
         own = np.ones(len(texts), np.float32)
         for i, t in enumerate(texts):
-            codes = self.grams_of(points(t))
-            seen[codes] = True
-            rows[i] = seen[self.codes]
-            own[i] = max(1, np.count_nonzero(seen))
-            seen[codes] = False
+            codes = self.distinct(t)
+            place = np.searchsorted(self.codes, codes)
+            rows[i, place[self.codes[np.minimum(place, len(self.codes) - 1)] == codes]] = 1
+            own[i] = max(1, len(codes))
         return (rows @ self.grams) / np.sqrt(own)[:, None]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -89,13 +131,11 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_L
     names = sorted(set(languages))
     if not names:
         none = np.zeros(0)
-        return Model([], none, 0, none, none, none)
+        return Model([], none, none, none, none)
     marks = [t for name in names for t in [x for x, of in zip(texts, languages) if of == name][:landmarks]]
-    letters = np.unique(np.concatenate([points(t) for t in marks]))
-    alphabet = np.zeros(int(letters.max()) + 2, np.int64)
-    alphabet[letters] = np.arange(1, len(letters) + 1)
-    model = Model(names, alphabet, len(letters) + 1, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    sets = [np.unique(model.grams_of(points(t))) for t in marks]
+    letters = np.unique(np.concatenate([np.unique(at) for t in marks for at in pieces(t)])).astype(np.int64)
+    model = Model(names, letters, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    sets = [model.distinct(t) for t in marks]
     model.codes = np.unique(np.concatenate(sets))
     model.grams = np.zeros((len(model.codes), len(marks)), np.float32)
     for j, s in enumerate(sets):
@@ -111,50 +151,66 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_L
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list:
-    """A bounded sample: (lang, text), at most ``per_language`` rows each.
+    """A bounded sample: (lang, text), at most ``per_language`` rows each, ranked.
 
     A count per language gives the share of hash values that holds some four
-    times the rows wanted; only those are ranked, however many rows there are."""
+    times the rows wanted; the counts (a row a language) meet the rows without a
+    shuffle, and only the rows in that share are moved and ranked."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.where((fold(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     usual = F.length("text").between(*TRAIN_CHARS)
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
     rows = rows.select("id", "text", "lang", usual.alias("usual"), place.alias("place"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("usual").cast("long")).alias("n_usual"))
-    enough = F.col("n_usual") >= per_language
-    share = 4 * per_language / F.when(enough, F.col("n_usual")).otherwise(F.col("n"))
-    counts = counts.select("lang", enough.alias("enough"), share.alias("share"))
-    few = rows.join(counts, "lang").where((F.col("usual") | ~F.col("enough")) & (F.col("place") < F.col("share")))
+    known = counts.limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn; is {lang_col} a language?")
+    shares = [(r.lang, r.n_usual >= per_language, 4.0 * per_language / (r.n_usual if r.n_usual >= per_language else r.n)) for r in known]
+    shares = df.sparkSession.createDataFrame(shares, "lang string, enough boolean, share double")
+    few = rows.join(F.broadcast(shares), "lang").where((F.col("usual") | ~F.col("enough")) & (F.col("place") < F.col("share")))
+    few = few.dropDuplicates(["lang", "id", "text"])  # combined in tasks first
     order = Window.partitionBy("lang").orderBy(F.desc("usual"), "place", "id")
     ranked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
     return ranked.select("lang", "text", "k").orderBy("lang", "k").collect()
 
 
+def learn(rows: list, per_language: int) -> Model:
+    """Fit on the first ``per_language`` rows of each language; the others tell
+    the least score of an accepted text (those of the fit where there are none)."""
+    first, rest = ([r for r in rows if (r["k"] <= per_language) == own] for own in (True, False))
+    model = fit([r["text"] for r in first], [r["lang"] for r in first])
+    if first:
+        model.least = SLACK * float(np.quantile(model.predict([r["text"] for r in rest or first])[1], LOW_QUANTILE))
+    return model
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", out: str = "language",
              learn_from: DataFrame | None = None, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
-    """The input plus a struct ``out``: lang_pred, score (0 to 1). The model is
+    """The input plus a struct ``out``: lang_pred, score (0 to 1), accepted. The model is
     learned from ``learn_from`` (the input itself if none is given), never from
     rows of the held-out fold. (A column named like ``out`` is replaced.)"""
     spark = df.sparkSession
     workers(spark)
-    rows = training_rows(df if learn_from is None else learn_from, id_col, text_col, lang_col, per_language)
-    model = spark.sparkContext.broadcast(fit([r["text"] for r in rows], [r["lang"] for r in rows]))  # bounded by the sample
+    rows = training_rows(df if learn_from is None else learn_from, id_col, text_col, lang_col, 2 * per_language)
+    model = spark.sparkContext.broadcast(learn(rows, per_language))  # bounded by the sample
 
     def run(batches):
         for b in batches:
             for low in range(0, b.num_rows, 128):
                 part = b.slice(low, 128)
                 texts = part.column(0).to_pylist()
-                known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if has_letter(t)]
                 pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 got, value = model.value.predict([texts[i] for i in known])
                 for i, p, v in zip(known, got, value):
                     pred[i], score[i] = p, v
+                accepted = [p != UNKNOWN and v >= model.value.least for p, v in zip(pred, score)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["_rest", "lang_pred", "score"]
+                    [part.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
+                    names=["_rest", "lang_pred", "score", "accepted"],
                 )
 
     carried = [c for c in df.columns if c != out]
     given = df.select(F.col(f"`{text_col}`").cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_rest"))
-    done = given.mapInArrow(run, f"_rest {given.schema['_rest'].dataType.simpleString()}, lang_pred string, score double")
-    return done.select(*[F.col(f"_rest.`{c}`").alias(c) for c in carried], F.struct("lang_pred", "score").alias(out))
+    done = given.mapInArrow(run, f"_rest {given.schema['_rest'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
+    return done.select(*[F.col(f"_rest.`{c}`").alias(c) for c in carried], F.struct("lang_pred", "score", "accepted").alias(out))

@@ -80,3 +80,93 @@ def test_ranking_learns_the_better_side():
     score = (x - centre) / spread @ w
     assert ((score > threshold) == y).mean() > 0.95 and abs((score > threshold).mean() - y.mean()) < 0.01
     random.seed(0)
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(["the of and"] * 20 + ["²", "½ ³", "③ Ⅷ", "ª", "x²", "12_3", "日"])]
+    out = {r.text: r.language.lang_pred for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [t for t, p in out.items() if p == "und"] == ["²", "½ ³", "③ Ⅷ", "12_3"]
+
+
+def test_pieces_have_the_grams_of_the_whole(monkeypatch):
+    rng = random.Random(5)
+    text = "  " + "".join(rng.choice("abcé 1.,\n日") for _ in range(3000)) + " .. "
+    model = language.fit([text, "abc ab"], ["a", "b"])
+    whole = model.distinct(text)
+    for size in (1, 7, 50, 2990):
+        monkeypatch.setattr(language, "PIECE", size)
+        assert np.array_equal(model.distinct(text), whole)
+
+
+def test_memory_follows_the_ngrams_not_the_alphabet():
+    import tracemalloc
+
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    texts = ["".join(rng.choices(letters, k=600)) for _ in range(40)]
+    tracemalloc.start()
+    model = language.fit(texts, ["a", "b"] * 20, landmarks=10)
+    model.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.letters) > 1900 and peak < 200_000_000
+
+
+def test_ridge_equals_a_dense_solution():
+    """With every text a landmark, Nystroem features lose nothing: plain kernel ridge regression."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcdef ghij", k=rng.randint(5, 60))) + "a" for _ in range(24)]
+    names = [rng.choice("xyz") for _ in texts]
+    model = language.fit(texts, names, landmarks=24, ridge=0.05)
+    sets = [set(model.distinct(t).tolist()) for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    target = np.array([[float(n == m) for m in model.languages] for n in names])
+    want = kernel @ np.linalg.solve(kernel + 0.05 * len(texts) * np.eye(len(texts)), target)
+    assert np.abs(model.kernel(texts) @ model.coefficients - want).max() < 1e-3
+
+
+def test_no_text_is_shuffled_by_language(spark, monkeypatch):
+    """The rows meet the counts without an exchange, and only the sample's share is moved."""
+    df = spark.range(4000).selectExpr("id as doc_id", "concat('the words of text ', id) as text", "if(id % 3 = 0, 'a', 'b') as lang")
+    df = df.unionByName(df.where("doc_id = 5").crossJoin(spark.range(500)).selectExpr("doc_id", "text", "lang"))  # a repeated row
+    df = df.unionByName(spark.range(500).selectExpr("cast(null as long) as doc_id", "concat('more words ', id) as text", "'a' as lang"))
+    plans = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    rows = language.training_rows(df, "doc_id", "text", "lang", 20)
+    last = plans[-1]
+    joined = last.index("BroadcastHashJoin")
+    assert "SortMergeJoin" not in last and "Exchange hashpartitioning" not in last[joined:]
+    assert len(rows) == 40 and len({r["text"] for r in rows}) == 40
+
+
+def test_accepted_texts_reach_the_learned_score(spark):
+    rng = random.Random(8)
+    words = {"a": ["the", "of", "and", "then", "that"], "b": ["sch", "und", "ein", "nicht", "auch"]}
+    rows = [(i, " ".join(rng.choices(words["ab"[i % 2]], k=30)), "ab"[i % 2], "s", 1) for i in range(400)]
+    odd = [(1000, "これは日本語の文章です" * 5, None, "s", 1), (1001, "zqx wvk jpf qqz" * 5, None, "s", 1), (1002, "²", None, "s", 1), (1003, None, None, "s", 1)]
+    out = {r.doc_id: r.language.accepted for r in language.identify(spark.createDataFrame(rows + odd, SCHEMA), per_language=50).collect()}
+    assert all(out[i] for i in range(400)) and not any(out[1000 + i] for i in range(4))
+
+
+def test_pair_weights_equal_a_plain_descent():
+    """Newton steps on the pair loss against gradient descent on the same pairs."""
+    rng = np.random.default_rng(2)
+    rows = rng.normal(0, 1, (60, 3)) * [1.0, 5.0, 0.2] + 3
+    labels = (rows @ [1.0, 0.1, -2.0] + rng.normal(0, 1.0, 60) > np.median(rows @ [1.0, 0.1, -2.0])).astype(int)
+    w, _, _, centre, spread = quality_ranking.fit(rows, labels, pairs=500)
+    x = (rows - centre) / spread
+    draw = np.random.default_rng(7)
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    delta = x[draw.choice(good, 500)] - x[draw.choice(bad, 500)]
+    v = np.zeros(3)
+    for _ in range(20_000):
+        v -= 0.2 * (-(delta / (1 + np.exp(delta @ v))[:, None]).mean(axis=0) + quality_ranking.DECAY * v)
+    assert np.abs(v - w).max() < 1e-4
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 30, f"{'good words here' if i % 2 else '# $ % !!'} {i}", None, None, 0) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
+    a, b = (sorted((r.doc_id, r.score) for r in quality_ranking.rank_quality(spark.createDataFrame(x, SCHEMA), labels).collect()) for x in (rows, rows[::-1]))
+    assert a == b
