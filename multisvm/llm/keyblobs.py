@@ -3,21 +3,37 @@
 Documents are dealt into batches; a batch's sorted keys are cut by hash range
 into buckets, one packed binary row each. A bucket's task sees every batch's
 keys of its range and answers each batch with the keys that are shared. A key
-is counted at most twice a batch, so hot keys cost two entries a batch, and
-the number of buckets grows with the keys: no task's share grows with the data.
+is counted at most twice a batch, so hot keys cost two entries a batch.
+
+Batches and buckets grow in number with the keys as long as their product, the
+packed rows, stays under a ``LEAST_KEYS``-th of the keys (``layout``). Beyond,
+both grow in size instead, with the square root of the input: rows in proportion
+to the keys, and a task's memory in proportion to their root.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOB_SCHEMA = "bucket long, batch long, keys binary"
+LEAST_KEYS = 32  # keys of a packed row, on average and at least
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # mixing multipliers
 
 
+def layout(keys: int, batch_keys: int, bucket_keys: int) -> tuple[int, int]:
+    """(batches, buckets) for so many keys, of the given sizes or larger."""
+    batches, buckets = max(1, -(-keys // batch_keys)), max(1, -(-keys // bucket_keys))
+    over = batches * buckets * LEAST_KEYS / max(1, keys)
+    if over <= 1:
+        return batches, buckets
+    return max(1, math.ceil(batches / math.sqrt(over))), max(1, math.ceil(buckets / math.sqrt(over)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of uint64 values, so that key ranges are even; it
     works in place on the array given."""
@@ -78,11 +94,19 @@ def unpack(blob: bytes) -> np.ndarray:
     return keys
 
 
+def bucket_numbers(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Bucket of each key below 2^bits: even ranges, by the top 32 bits."""
+    high = keys >> np.uint64(bits - 32) if bits > 32 else keys
+    return high * np.uint64(buckets) >> np.uint64(min(bits, 32))
+
+
 def buckets_of(keys: np.ndarray, buckets: int, bits: int) -> list[tuple[int, np.ndarray]]:
-    """Sorted keys below 2^bits cut into equal ranges; (bucket, its keys)."""
-    edges = [(i << bits) // buckets for i in range(1, buckets)]
-    cuts = np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
-    return [(b, keys[cuts[b]:cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    """Sorted keys below 2^bits cut into ranges; (bucket, its keys) of those that hold one."""
+    if not len(keys):
+        return []
+    number = bucket_numbers(keys, buckets, bits)
+    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return [(int(b), part) for b, part in zip(number[starts], np.split(keys, starts[1:]))]
 
 
 def blob_table(batch: int, keys: np.ndarray, buckets: int, bits: int) -> pa.Table:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from multisvm.llm import keyblobs
 from multisvm.llm.common import workers, written
-from multisvm.llm.components import components
+from multisvm.llm.components import components, join_counted
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -120,7 +120,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     masks = flips((max_bits + 1) // 2)  # an odd radius is met with one more bit on both sides
     total = max(1, n * len(masks))
     bits = min(64, max(24, total.bit_length() + 8))  # one variant in 256 or fewer meets another by its hash alone
-    buckets, batches = max(1, -(-total // BUCKET_KEYS)), max(1, -(-n // BATCH))
+    batches, buckets = keyblobs.layout(total, BATCH * len(masks), BUCKET_KEYS)
     tight = max(1, buckets // 16)
     dealt = distinct.select("fp", F.pmod(F.xxhash64("fp"), F.lit(batches)).alias("batch"))
     dealt = dealt.repartition(2 * batches, "batch")  # a few bytes a row, but thousands of variants: no merging of tasks
@@ -183,6 +183,6 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = distinct.join(rooted, distinct.fp == rooted.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = join_counted(named, least, "root", distinct.count()).select("fp", "component_id")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")

@@ -1,7 +1,7 @@
 """Substring deduplication by recompression, exact at word windows.
 
 A word goes if a window of ``window`` consecutive words that covers it starts
-anywhere else too. Documents are dealt into batches by id; every batch
+anywhere else too. Documents are dealt into batches by a hash; every batch
 
 1. parses its texts by recompression (``recompress``) and sends the names of
    its symbols to hash ranges (``keyblobs``), which answer with those that
@@ -43,6 +43,7 @@ from multisvm.llm.recompress import candidates, find_words, symbols, window_hash
 WINDOW = 35
 BATCH_CHARS = 6_000_000  # of text in one batch, on average
 BUCKET_CHARS = 4_000_000  # of text for each hash range
+KEY_CHARS = 4  # of text for each key sent, about
 PART = 1_000_000  # bytes that are parsed at once
 
 
@@ -71,11 +72,12 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     workers(spark)
     size = df.agg(F.coalesce(F.sum(F.length(F.col(f"`{text_col}`").cast("string"))), F.lit(0))).first()[0]
-    batches, buckets = max(1, -(-size // BATCH_CHARS)), max(1, -(-size // BUCKET_CHARS))
+    batches, buckets = keyblobs.layout(size // KEY_CHARS, BATCH_CHARS // KEY_CHARS, BUCKET_CHARS // KEY_CHARS)
     carried = [c for c in df.columns if c != out]
     slices = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.select(
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(batches)).alias("_batch"),
+        # by id and place: rows of one id, or of none, are dealt over the batches too
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.monotonically_increasing_id()), F.lit(batches)).alias("_batch"),
         F.col(f"`{text_col}`").cast("string").alias("_text"),
         F.struct(*[F.col(f"`{c}`") for c in carried if c != text_col], F.lit(0).alias("_none")).alias("_rest"),
     ).repartition(slices, "_batch")

@@ -97,3 +97,8 @@ def test_near_duplicate_stage_keeps_a_row_of_every_group_of_a_shared_id(spark):
         df = spark.createDataFrame(order, SCHEMA).coalesce(1)
         kept = stage("simhash_near_dedup")(spark, df, "").collect()
         assert sorted((r.text, r.doc_id) for r in kept) == sorted((t, i if i < 4 else 5) for i, t in enumerate(texts))
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -115,3 +115,40 @@ def test_keys_pack_and_meet():
     some = np.unique(rng.integers(0, 1 << 40, 500).astype(np.uint64))
     every = np.concatenate([some[::3], rng.integers(0, 1 << 40, 500).astype(np.uint64)])
     assert (keyblobs.member(some, every) == np.isin(every, some)).all()
+
+
+def test_packed_rows_grow_with_the_keys_and_memory_with_their_root():
+    from multisvm.llm import keyblobs
+
+    for keys in (0, 1, 10**6, 10**9, 10**11, 10**13, 10**14):
+        batches, buckets = keyblobs.layout(keys, 1_000_000, 700_000)
+        assert batches * buckets * keyblobs.LEAST_KEYS <= max(2 * keys, 10**8)
+        assert keys / batches <= max(1_000_000, 100 * keys**0.5) and keys / buckets <= max(700_000, 100 * keys**0.5)
+    small, large = (keyblobs.layout(n, 1_000_000, 700_000) for n in (10**11, 10**14))
+    assert large[0] < 40 * small[0]  # a thousand times the keys: some thirty times the batches and the rows of each, not a thousand
+
+
+def test_buckets_are_even_ranges_of_any_width():
+    import numpy as np
+    from multisvm.llm import keyblobs
+
+    rng = np.random.default_rng(1)
+    for bits, buckets in ((64, 1), (64, 7), (44, 1000), (24, 5), (32, 3), (64, 3_000_000)):
+        keys = np.sort(rng.integers(0, 1 << bits, 5000, dtype=np.uint64))
+        parts = keyblobs.buckets_of(keys, buckets, bits)
+        assert np.array_equal(np.concatenate([k for _, k in parts]), keys) and [b for b, _ in parts] == sorted({b for b, _ in parts})
+        assert all(0 <= b < buckets and (keyblobs.bucket_numbers(k, buckets, bits) == b).all() for b, k in parts)
+        if buckets <= 1000:
+            assert max(len(k) for _, k in parts) < 3 * len(keys) / buckets + 20
+
+
+def test_hot_centres_are_joined_by_broadcast(spark):
+    from multisvm.llm import components as c
+
+    links = [(i, 0) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)]
+    df = spark.createDataFrame(links, "u long, v long")
+    facts = df.groupBy("u").agg(c.F.min("v").alias("m"), c.F.count("*").alias("n"))
+    rows = c.join_counted(df.select(c.F.col("v").alias("u"), c.F.col("u").alias("w")), df.groupBy(c.F.col("v").alias("u")).agg(c.F.count("*").alias("n")), "u", len(links))
+    assert rows.count() == len(links) and facts.count() > 0
+    roots = {r.node: r.root for r in c.components(df).collect()}
+    assert all(roots[i] == 0 for i in range(3000)) and all(roots[5000 + i] == 5000 for i in range(41))

@@ -75,3 +75,18 @@ def test_no_repeated_window_is_lost():
                 if seen[tuple(t[i:i + size])] > 1:
                     assert at + i in kept, (round_, i)
             at += len(t)
+
+
+def test_rows_of_one_id_are_dealt_over_the_batches(spark, monkeypatch):
+    from multisvm.llm import substrings
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(substrings, "BATCH_CHARS", 400)
+    rows = [(None, f"some words of text {i} " * 3, None, None, None) for i in range(400)]
+    out = substrings.dedup_substrings(spark.createDataFrame(rows, SCHEMA))
+    assert out.count() == 400
+    size = sum(len(r[1]) for r in rows)
+    batches, _ = substrings.keyblobs.layout(size // substrings.KEY_CHARS, 400 // substrings.KEY_CHARS, substrings.BUCKET_CHARS // substrings.KEY_CHARS)
+    assert batches > 20
+    per = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per) > 3 and max(r["count"] for r in per) < 200
