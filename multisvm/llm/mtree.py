@@ -8,21 +8,25 @@ over what cannot matter, carry a small allowance.
 
 1. Equal vectors become one object with the few smallest ids that any answer
    can need (limited per task before the shuffle, so a hot vector is no group).
-2. Objects are dealt by hash into shards of bounded size; each shard's task
-   builds an M-tree: pages of entries with a routing object, the entries'
-   distances to it, and covering radii.
-3. Queries go in blocks to every shard. A best-first search opens pages in
-   order of the least distance they can hold, skips entries by the stored
-   parent distance without computing theirs (triangle inequality), and stops
-   at the k-th best. A bounded sample of the objects, scored first, gives a
-   k-th best to start with.
+2. Objects go to the nearest of a few pivots (far apart in a bounded sample);
+   a pivot's objects, however many, are dealt by hash into shards of bounded
+   size, which share its covering radius. Each shard's task builds an M-tree:
+   pages of entries with a routing object, the entries' distances to it, and
+   covering radii.
+3. Queries go in blocks of one pivot. A sample of the objects, scored first,
+   gives each a k-th best to start with; a block sends a shard only the queries
+   that the pivot's covering radius does not rule out, and skips the shard if
+   there are none. A best-first search opens pages in order of the least
+   distance they can hold, skips entries by the stored parent distance without
+   computing theirs (triangle inequality), and stops at the k-th best.
 4. The shards' answers of a query are ranked together.
 
 Defined cases: rows whose id or vector is null, or whose vector holds null or
 non-finite components, take no part; shorter vectors count as padded with
 zeros; equal scores go to the smaller id; repeated rows of one id and vector
-count once, and no row of the query's own id is its candidate; other columns
-are not read; an empty table or no query gives an empty result.
+count once, and no row of the query's own id is its candidate; a component
+times ``scale`` beyond 2^62 is an error, and so is a score beyond a long; other
+columns are not read; an empty table or no query gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,11 +41,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from multisvm.llm.common import workers, written
+from multisvm.llm.vectors import integers, matrix, whole_vectors
 
 PAGE = 256
 SHARD = 8192  # objects
 BLOCK = 512  # queries
 SEEDS = 512  # objects scored first
+PIVOTS = 128  # at most
+
+
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Objects as points of the metric space."""
+    x = vectors.astype(float)
+    return np.concatenate([x, np.sqrt(np.maximum(0.0, longest - (x**2).sum(axis=1)))[:, None]], axis=1)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of two sets of points."""
+    square = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
+    return np.sqrt(np.maximum(0.0, square))
+
+
+def far_points(points: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` points, each the farthest from those before."""
+    chosen, to = [0], apart(points, points[:1])[:, 0]
+    while len(chosen) < count and to.max() > 0:
+        chosen.append(int(to.argmax()))
+        to = np.minimum(to, apart(points, points[chosen[-1:]])[:, 0])
+    return points[chosen]
+
+
+def within(queries: np.ndarray, start: np.ndarray, pivots: np.ndarray, radius: np.ndarray, longest: float) -> np.ndarray:
+    """Queries x pivots: can the objects of a pivot, within its covering radius,
+    hold a score of at least the query's ``start``?"""
+    x = queries.astype(float)
+    own = (x**2).sum(axis=1) + longest  # squared distance of score 0
+    to = apart(np.concatenate([x, np.zeros((len(x), 1))], axis=1), pivots)
+    reach = np.sqrt(np.maximum(0.0, own - 2 * np.where(np.isfinite(start), start, 0.0)))
+    reach[~np.isfinite(start)] = np.inf
+    return to - radius[None, :] <= (reach + 1e-6 * (1 + np.sqrt(own)))[:, None]
 
 
 @dataclass
@@ -59,8 +97,7 @@ class MTree:
 
     def __init__(self, vectors: np.ndarray, ids: list[list[int]], longest: float, page: int = PAGE):
         self.vectors, self.ids, self.longest, self.page = vectors, ids, longest, page
-        extra = np.sqrt(np.maximum(0.0, longest - (vectors**2).sum(axis=1)))
-        self.points = np.concatenate([vectors, extra[:, None]], axis=1)
+        self.points = lifted(vectors, longest)
         level = [self._leaf(part) for part in self._split(np.arange(len(vectors)), self.points)]
         while len(level) > 1:
             objects = np.array([o for o, _, _ in level])
@@ -118,7 +155,7 @@ class MTree:
             near = np.abs(to - page.apart) - page.radius <= reach + slack  # without their distances
             entries = page.entries[near] if not near.all() else page.entries
             score = self.vectors[entries] @ query
-            if page.children is None:
+            if page.children is None:  # exact, whatever the type
                 for i in np.flatnonzero(score >= kth):
                     best += [(-int(score[i]), x) for x in self.ids[entries[i]] if x != own]
                 if len(best) > k:
@@ -127,7 +164,7 @@ class MTree:
                     kth = -max(best)[0]
                     reach = np.sqrt(max(0.0, square - 2 * kth))
                 continue
-            away = np.sqrt(np.maximum(0.0, square - 2 * score))
+            away = np.sqrt(np.maximum(0.0, square - 2 * score.astype(float)))
             low = np.maximum(0.0, away - page.radius[near])
             for i, child in enumerate(np.flatnonzero(near)):
                 if low[i] <= reach + slack:
@@ -136,17 +173,6 @@ class MTree:
         return [(-s, x) for s, x in sorted(best)]
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Integer vectors as rows, padded with zeros. Sums of products are exact:
-    in float64 up to 2^53, in int64 beyond."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    small = width * float(np.abs(out).max(initial=0)) ** 2 < 2.0**52
-    return out.astype(float) if small else out
-
-
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id",
           vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` best rows of ``df``
@@ -156,52 +182,78 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_co
     workers(spark)
 
     def whole(rows: DataFrame) -> DataFrame:
-        v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
-        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-        rows = rows.where(F.col(f"`{id_col}`").isNotNull() & F.coalesce(fine, F.lit(False)))
-        return rows.select(
-            F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v")
-        ).distinct()
+        rows = whole_vectors(rows, vector_col).where(F.col(f"`{id_col}`").isNotNull())
+        return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), integers(F.col(f"`{vector_col}`"), scale).alias("v")).distinct()
 
     first = Window.partitionBy("v").orderBy("id")
     few = whole(df).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)  # limited per task first
     objects = written(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "objects")
     asked = written(whole(queries), "queries")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    facts = objects.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
-    n, longest = facts[0], float(facts[1] or 0)
-    n_asked, widest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    width = max(1, facts[2] or 0, widest or 0)
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_asked // BLOCK))
-    sample = objects.orderBy(F.xxhash64("v"), "v").limit(SEEDS).collect()  # bounded
-    seeds = _matrix(pa.chunked_array([pa.array([r["v"] for r in sample], pa.list_(pa.int64()))]), width)
-    seed_ids = np.array([r["ids"][0] for r in sample], np.int64)
+    far = F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))
+    n, longest, wide, largest = objects.agg(F.count("*"), F.max(square), F.max(F.size("v")), far).first()
+    n_asked, widest, farthest = asked.agg(F.count("*"), F.max(F.size("v")), far).first()
+    if not n or not n_asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width, longest = max(1, wide, widest), float(longest)
+    bound = width * max(largest or 0, farthest or 0) ** 2
+    kind = np.float64 if bound < 1 << 52 else np.int64 if bound < 1 << 62 else object  # sums of products are exact
+
+    def load(table: pa.Table) -> np.ndarray:
+        return matrix(table.column("v"), width).astype(kind)
+
+    sample = objects.orderBy(F.xxhash64("v"), "v").limit(SEEDS).toArrow()  # bounded
+    seeds, seed_ids = load(sample), np.array([x[0] for x in sample.column("ids").to_pylist()], np.int64)
+    pivots = far_points(lifted(seeds, longest), min(PIVOTS, -(-n // SHARD)))
+
+    def nearest(batches):
+        for b in batches:
+            to = apart(lifted(load(pa.Table.from_batches([b])), longest), pivots)
+            at = to.argmin(axis=1)
+            own = [pa.array(at, pa.int32()), pa.array(to[np.arange(len(at)), at] if len(at) else np.zeros(0))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, "pivot", "apart"])
+
+    def dealt(rows: DataFrame, kept: str, size: int, by: str) -> tuple[DataFrame, dict]:
+        """Rows with their pivot's number and a part of it of bounded size (a
+        pivot with many rows has many); (rows, radius) of each pivot."""
+        near = written(rows.select(*kept.split()).mapInArrow(nearest, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept.split())
+                                                             + ", pivot int, apart double"), "pivots")
+        found = {r[0]: (r[1], r[2]) for r in near.groupBy("pivot").agg(F.count("*"), F.max("apart")).collect()}  # a row a pivot
+        parts = F.get(F.array(*[F.lit(max(1, -(-found.get(p, (0, 0))[0] // size))) for p in range(len(pivots))]), F.col("pivot"))
+        return near.withColumn("part", F.shiftleft(F.col("pivot").cast("long"), 32) + F.pmod(F.xxhash64(by), parts)), found
+
+    rows, held = dealt(objects, "v ids", SHARD, "v")
+    groups, _ = dealt(asked, "v id", BLOCK, "id")
+    radius = np.array([held.get(p, (0, 0.0))[1] * (1 + 1e-9) + 1e-6 for p in range(len(pivots))])
+    shards = [[(p << 32) + i for i in range(-(-held.get(p, (0, 0))[0] // SHARD))] for p in range(len(pivots))]
 
     def build(table: pa.Table) -> pa.Table:
-        tree = MTree(_matrix(table.column("v"), width), table.column("ids").to_pylist(), longest)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+        tree = MTree(load(table), table.column("ids").to_pylist(), longest)
+        return pa.table({"part": table.column("part").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     def bundle(table: pa.Table) -> pa.Table:
-        vectors = _matrix(table.column("v"), width)
+        vectors = load(table)
         ids = table.column("id").to_numpy()
         start = np.full(len(ids), -np.inf)
         if len(seed_ids) > k:
             score = (vectors @ seeds.T).astype(float)
             score[ids[:, None] == seed_ids[None, :]] = -np.inf  # not the query itself
             start = np.partition(score, -k, axis=1)[:, -k]
-        return pa.table({"queries": pa.array([pickle.dumps((ids, vectors, start))], pa.binary())})
+            if kind is not np.float64:
+                start = start * (1 - np.sign(start) * 1e-12)  # rounded: a little less
+        asks = within(vectors, start, pivots, radius, longest)
+        sent = [(shard, pickle.dumps((ids[asks[:, p]], vectors[asks[:, p]], start[asks[:, p]])))
+                for p in range(len(pivots)) if asks[:, p].any() for shard in shards[p]]
+        return pa.table({"part": pa.array([x for x, _ in sent], pa.int64()), "queries": pa.array([q for _, q in sent], pa.binary())})
 
-    trees = objects.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    trees = trees.groupBy("shard").applyInArrow(build, "shard long, tree binary")
-    groups = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    groups = groups.groupBy("block").applyInArrow(bundle, "queries binary")
-    pairs = groups.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(trees, "shard")
+    trees = rows.groupBy("part").applyInArrow(build, "part long, tree binary")
+    pairs = groups.groupBy("part").applyInArrow(bundle, "part long, queries binary").join(trees, "part")
 
     def search(batches):
         for b in batches:
             for i in range(b.num_rows):
                 tree: MTree = pickle.loads(b.column(1)[i].as_py())
-                ids, vectors, start = pickle.loads(b.column(0)[i].as_py())
+                ids, vectors, start = pickle.loads(b.column(0)[i].as_py())  # written by this job's own tasks
                 found = [(q, x, s) for q, v, t in zip(ids.tolist(), vectors, start) for s, x in tree.search(v, q, k, t)]
                 cols = list(zip(*found)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])

@@ -72,3 +72,39 @@ def test_pages_are_passed_over():
     want = sorted((-int(s), i) for i, s in enumerate(scores) if i != 17)[:5]
     assert [(-s, i) for s, i in got] == want
     assert sum(opened) < 0.7 * len(x)
+
+
+def test_far_shards_are_skipped():
+    """On clustered vectors most (query, pivot) pairs are ruled out, and none that holds an answer."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1000, (30, 10))
+    centres *= 2000 / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.round((centres[:, None, :] + rng.normal(0, 5, (30, 60, 10))).reshape(-1, 10))
+    longest = float((x**2).sum(axis=1).max())
+    points = mtree.lifted(x, longest)
+    pivots = mtree.far_points(points[::3], 30)
+    to = mtree.apart(points, pivots)
+    own = to.argmin(axis=1)
+    radius = np.array([to[own == p, p].max() for p in range(len(pivots))])
+    scores = x[::7] @ x.T
+    start = np.sort(scores, axis=1)[:, -6].astype(float)
+    asks = mtree.within(x[::7], start, pivots, radius, longest)
+    assert asks.mean() < 0.2
+    for i, row in enumerate(scores):
+        assert asks[i, np.unique(own[row >= start[i]])].all()
+
+
+def test_exact_beyond_doubles_and_longs(spark):
+    import pytest
+
+    rng = random.Random(9)
+    big = [(i, [math.floor(rng.gauss(0, 1) * 2**10) * 2.0**9, float(rng.randint(0, 3)), 0.0]) for i in range(80)]
+    rows = big + [(500, [0.0, 0.0, 2.0**40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [r for r in big if r[0] % 4 == 0]
+    got = sorted(tuple(r) for r in top_k(df, df.where("vec_id % 4 = 0 and vec_id < 100")).collect())
+    assert got == brute(rows, asked, 5)
+    with pytest.raises(Exception, match="exceeds 2\\^62"):
+        top_k(spark.createDataFrame([(1, [1e17])], "vec_id long, embedding array<double>"), df).collect()
