@@ -9,8 +9,8 @@ templates by an equi-join, and exact shingle containment decides.
   that start at every multiple of L. An occurrence lies inside some window
   whatever its start if it spans up to (reach - 1) x L + 1 shingles: with the
   default reach of 2 that holds for unedited notices, while one with inserted
-  words is found or not by where it starts. A reach of 4 holds notices of up to
-  three times their length. The default is 2 as the query's SQL defines it.
+  words is found or not by where it starts. A reach of 4, the query's, holds
+  notices of up to three times their length.
 - A match of containment 0.8 has Jaccard similarity of at least 0.8 / (reach +
   0.2), 0.36 for a reach of 2; there are as many bands of one row (64, or 131
   for a reach of 4) as retrieve a window that matches with probability over
@@ -42,6 +42,7 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 64  # at least; see ``bands_for``
 REACH = 2  # length of a window in template lengths
+LONG_REACH = 4  # of the query
 MISS = 1e-12  # of a window that matches
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from multisvm.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES
+from multisvm.llm.licenses import CONTAINMENT, LONG_REACH, SHINGLE, TEMPLATES
 from multisvm.llm.quality_rules import STOP_WORDS
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -41,7 +41,9 @@ def quality_rules_sql(of: str = "documents") -> str:
 
 
 def license_scans_sql() -> str:
-    """Exact containment of every template in every window, without bands."""
+    """Exact containment of every template in every window of four template
+    lengths that starts at a multiple of one, without bands."""
+    back = ", ".join(f"({i})" for i in range(LONG_REACH))
     values = ", ".join(f"({_literal(i)}, {_literal(t)})" for i, t in TEMPLATES)
     split = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     return rf"""
@@ -56,7 +58,7 @@ def license_scans_sql() -> str:
                  unnest(list_transform(range(0, len(ws) - n + 1), lambda i: array_to_string(ws[i + 1:i + n], ' '))) AS s
           FROM d, (SELECT DISTINCT n FROM t) WHERE len(ws) >= n),
     hit AS (SELECT g.r, g.doc_id, td.template_id, td.span, g.i, g.s FROM g JOIN td USING (n, s)),
-    win AS (SELECT r, doc_id, template_id, span, i, s, i // span - b AS wno FROM hit, (VALUES (0), (1)) v(b) WHERE i // span >= b),
+    win AS (SELECT r, doc_id, template_id, span, i, s, i // span - b AS wno FROM hit, (VALUES {back}) v(b) WHERE i // span >= b),
     m AS (SELECT r, doc_id, template_id, span, wno, count(DISTINCT s) AS c, min(i) AS i FROM win GROUP BY ALL),
     ok AS (SELECT DISTINCT doc_id, template_id, wno, c / k AS share, i FROM m JOIN tn USING (template_id, span)
            WHERE c / k >= {CONTAINMENT})

@@ -82,9 +82,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from multisvm.llm.licenses import scan_licenses
+    from multisvm.llm.licenses import LONG_REACH, scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), reach=LONG_REACH)
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
