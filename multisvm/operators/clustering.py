@@ -27,17 +27,19 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from multisvm.operators.blocks import feature_block, squared_distances, t_product
 from multisvm.operators.partials import PARTIAL_SCHEMA, partial_batch, reduce_partials
-from multisvm.operators.trainer import fits_one_task, gathered
+from multisvm.operators.trainer import fetch, fits_one_task, gathered, shared
 from multisvm.session import ship_package
 from multisvm.sources.tables import FEATURES, ID, LABEL
 
 CLUSTER = "cluster"
 
 
-def lloyd_kernel(centres: np.ndarray):
-    k, dim = centres.shape
+def lloyd_kernel(sent, k: int, dim: int):
+    """Arrow-batch function: partial sums and counts by nearest centre (``sent``:
+    the centres or a broadcast of them)."""
 
     def kernel(batches):
+        centres = fetch(sent)
         sums = np.zeros((k, dim))
         counts = np.zeros(k, dtype=np.int64)
         seen = False
@@ -75,13 +77,13 @@ def moved_centres(centres: np.ndarray, sums: np.ndarray, counts: np.ndarray) ->
     return new, float(((new - centres) ** 2).sum(axis=1).max())
 
 
-def lloyd_steps(centres: np.ndarray, max_iter: int, tol: float):
+def lloyd_steps(sent, max_iter: int, tol: float):
     """Arrow-batch function for the gathered rows of a small set: all iterations.
     Emits the centres as partial rows whose count is the iterations run."""
 
     def kernel(batches):
-        held = [feature_block(b.column(FEATURES), centres.shape[1]) for b in batches if b.num_rows]
-        now, done = centres, 0
+        now, done = fetch(sent), 0
+        held = [feature_block(b.column(FEATURES), now.shape[1]) for b in batches if b.num_rows]
         while held and done < max_iter:
             sums, counts = np.zeros_like(now), np.zeros(len(now), dtype=np.int64)
             for x in held:
@@ -113,14 +115,17 @@ def lloyd(data: DataFrame, centres: np.ndarray, max_iter: int, tol: float = 1e-4
             in_task = fits_one_task(data.count() if n_rows is None else n_rows, dim, k)
         if in_task:
             one = gathered(data, FEATURES) if order else data.coalesce(1)
-            found = reduce_partials(one.mapInArrow(lloyd_steps(centres, max_iter, tol), PARTIAL_SCHEMA), k, dim, 1)
+            found = reduce_partials(one.mapInArrow(lloyd_steps(shared(data.sparkSession, centres, centres.nbytes), max_iter, tol), PARTIAL_SCHEMA), k, dim, 1)
             return found[0], int(found[1][0])
         data = data.select(FEATURES)
         n_parts = data.rdd.getNumPartitions()
         done = 0
         for it in range(max_iter):
-            parts = data.mapInArrow(lloyd_kernel(centres), PARTIAL_SCHEMA)
+            sent = shared(data.sparkSession, centres, centres.nbytes)
+            parts = data.mapInArrow(lloyd_kernel(sent, k, dim), PARTIAL_SCHEMA)
             sums, counts = reduce_partials(parts, k, dim, n_parts)
+            if sent is not centres:
+                sent.unpersist()
             centres, moved = moved_centres(centres, sums, counts)
             done = it + 1
             if moved <= tol * tol:
@@ -164,8 +169,10 @@ def assign_clusters(df: DataFrame, centres: np.ndarray, keep: Sequence[str]) ->
         StructField("distance", DoubleType(), False),
     ])
     arrow_schema = to_arrow_schema(schema)
+    sent = shared(df.sparkSession, centres, centres.nbytes)
 
     def kernel(batches):
+        centres = fetch(sent)
         for batch in batches:
             x = feature_block(batch.column(FEATURES), dim)
             d = squared_distances(x, centres) if len(x) else np.zeros((0, len(centres)))

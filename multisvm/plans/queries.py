@@ -24,7 +24,7 @@ from multisvm.operators.coding import (
     PairCoding, binarize, class_inventory, code_entries, collect_inventory, one_vs_all_code,
 )
 from multisvm.operators.metrics import PREDICTION, accuracy_summary, confusion, metrics_by_label
-from multisvm.operators.partials import PARTIAL_SCHEMA
+from multisvm.operators.partials import PARTIAL_SCHEMA, SPAN
 from multisvm.operators.scoring import MARGINS
 from multisvm.operators.trainer import SGDParams, fit_coded, gradient_kernel
 from multisvm.plans.classifiers import OVA_DEFAULTS, OVO_DEFAULTS, TREE_DEFAULTS, CodedModel, trainer_for
@@ -197,7 +197,8 @@ def q_svm_gradient_step(spark, sf_dir):
     ship_package(spark)
     parts = train.select(LABEL, FEATURES).mapInArrow(kernel, PARTIAL_SCHEMA)
     return (
-        parts.select(F.col("k").alias("problem"), "n", F.posexplode("g").alias("feature", "v"))
+        parts.select(F.col("k").alias("problem"), "n", "r", F.posexplode("g").alias("at", "v"))
+        .withColumn("feature", F.col("r") * SPAN + F.col("at"))
         .groupBy("problem", "feature")
         .agg(rounded(F.sum("v")).alias("grad"), F.sum("n").alias("n_rows"))
     )
