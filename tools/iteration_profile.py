@@ -1,5 +1,5 @@
-"""Where does a training iteration's time go? Runs a few one-vs-all
-iterations with Spark's event log written to a fresh scratch folder and
+"""Where does the time of a training iteration that is a job go (sets beyond the
+bounds of one task)? Runs a few one-vs-all iterations with Spark's event log written to a fresh scratch folder and
 summarises job wall time, stage time and task run time per iteration job.
 Usage: python tools/iteration_profile.py [sf_dir] [iterations]
 """
@@ -28,12 +28,17 @@ def main() -> None:
              .config("spark.eventLog.compress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    from multisvm.plans.classifiers import OVA_DEFAULTS, OneVsAll
+    from multisvm.operators.coding import OneVsAllCoding, collect_inventory
+    from multisvm.operators.trainer import cache_rows, fit_coded, relayout
+    from multisvm.plans.classifiers import OVA_DEFAULTS
     from multisvm.sources import embeddings, with_split
 
     train = with_split(embeddings(spark, sf)).where("split = 'train'").drop("split")
-    model = OneVsAll(dataclasses.replace(OVA_DEFAULTS, iterations=iters)).fit(train)
-    driver_sec = model.fit.history
+    params = dataclasses.replace(OVA_DEFAULTS, iterations=iters)
+    cached = cache_rows(train.select("id", "label", "features"))
+    inv = collect_inventory(cached)
+    laid = relayout(cached, sum(inv.counts), params=params, dim=inv.dim)
+    driver_sec = fit_coded(laid, OneVsAllCoding(inv.k), inv.classes, inv.dim, params, cache=False, in_task=False).history
     spark.stop()
 
     events = []
