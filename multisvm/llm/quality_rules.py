@@ -6,7 +6,10 @@ document is kept if it passes the base rules and every row of the table.
 
 Defined cases: a null text counts as empty (no words, fails the base rule);
 repeated rows are judged row by row; an empty table gives an empty result; the
-input's other columns pass through (one named like ``out`` is replaced).
+input's other columns pass through (one named like ``out`` is replaced). Texts
+of over 25 words in a language without listed stop words (they are English,
+French, German and Spanish) fail the stop-word ratio. A very long text needs
+memory for its words.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ Defined cases: a null text counts as empty; a text without a word has
 fingerprint zero and is linked like any other; fewer words than a shingle are
 one shingle; repeated rows each get a result row; a null id is carried, and
 never is a component's smallest id unless the whole component has null ids;
-an empty table gives an empty result.
+an empty table gives an empty result. A very long text needs memory for its
+words.
 """
 
 from __future__ import annotations
