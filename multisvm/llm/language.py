@@ -40,7 +40,7 @@ TRAIN_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 32
 TRAIN_CHARS = (200, 4000)
 RIDGE = 1e-3
-LOW_QUANTILE, SLACK = 0.001, 0.75
+LOW_QUANTILE, SLACK = 0.001, 0.5
 MOST_LANGUAGES = 2000
 PIECE = 1 << 20
 UNKNOWN = "und"
