@@ -40,7 +40,7 @@ from multisvm.llm.components import components, join_counted
 
 SHINGLE = 4
 MAX_BITS = 4
-BATCH = 4096  # fingerprints whose variants one task holds at a time
+BATCH = 2048  # fingerprints whose variants one task holds at a time
 BUCKET_KEYS = 1_500_000  # variants of one hash range, over all batches
 
 
