@@ -108,3 +108,14 @@ def test_exact_beyond_doubles_and_longs(spark):
     assert got == brute(rows, asked, 5)
     with pytest.raises(Exception, match="exceeds 2\\^62"):
         top_k(spark.createDataFrame([(1, [1e17])], "vec_id long, embedding array<double>"), df).collect()
+
+
+def test_queries_meet_the_trees_without_a_broadcast(spark):
+    """The queries sent outgrow the table they come from; a broadcast would pass them through the driver."""
+    rng = random.Random(10)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = top_k(df, df.where("vec_id % 50 = 0"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, rows[::50], 5)
