@@ -170,3 +170,58 @@ def test_training_does_not_depend_on_the_order_of_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
     a, b = (sorted((r.doc_id, r.score) for r in quality_ranking.rank_quality(spark.createDataFrame(x, SCHEMA), labels).collect()) for x in (rows, rows[::-1]))
     assert a == b
+
+
+def pair_rows(n=900):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (n, len(quality_ranking.FEATURES))) * np.linspace(0.1, 4, len(quality_ranking.FEATURES)) + 2
+    x[:, 4] = 7.0  # a constant component
+    labels = (x[:, 0] * 10 - x[:, 1] + rng.normal(0, 1, n) > np.quantile(x[:, 0] * 10 - x[:, 1], 0.3)).astype(int)
+    return x, labels
+
+
+def test_quality_learns_from_every_row_and_every_pair(spark):
+    """Weights of plain Newton steps over all pairs of all rows, repeats counted; threshold of all scores."""
+    x, labels = pair_rows()
+    times = [3 if i % 10 == 0 else 1 for i in range(len(x))]
+    data = [(int(y), t, r.tolist()) for r, y, t in zip(x, labels, times)]
+    rows = spark.createDataFrame(data, "label int, times long, features array<double>").repartition(5)
+    w, threshold, scale, centre, spread = quality_ranking.fit_all(rows)
+    every, marks = np.repeat(x, times, axis=0), np.repeat(labels, times)
+    assert np.allclose(centre, every.mean(axis=0)) and spread[4] == 1.0
+    z = (every - every.mean(axis=0)) / np.where(every.std(axis=0) > 1e-9, every.std(axis=0), 1.0)
+    delta = (z[marks == 1][:, None, :] - z[marks == 0][None, :, :]).reshape(-1, z.shape[1])
+
+    def sums(v):
+        p = 1 / (1 + np.exp(np.clip(delta @ v, -30, 30)))
+        return -(delta * p[:, None]).mean(axis=0), (delta * (p * (1 - p))[:, None]).T @ delta / len(delta)
+
+    v = quality_ranking.descend(z.shape[1], sums)
+    assert np.abs(v - w).max() < 1e-3 * np.abs(v).max()
+    score = z @ w
+    assert (score < threshold).sum() == (marks == 0).sum() and abs(scale - score.std() / 4) < 1e-6
+
+
+def test_quality_counts_labels_beyond_any_fixed_number(spark, monkeypatch):
+    """All labelled rows outside the held-out fold reach the fit."""
+    docs = spark.range(30_000).selectExpr("id as doc_id", "if(id % 3 = 0, '# $ % !!', concat('good words here ', id)) as text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 3 = 0, 0, 1) as quality")
+    seen = []
+    fit_all = quality_ranking.fit_all
+    monkeypatch.setattr(quality_ranking, "fit_all", lambda rows: seen.append(rows.count()) or fit_all(rows))
+    out = quality_ranking.rank_quality(docs, labels)
+    assert out.where("predicted != if(doc_id % 3 = 0, 0, 1)").count() == 0
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30_000))]
+
+
+def test_order_statistics_are_exact(spark):
+    from multisvm.llm import ranks
+
+    rng = random.Random(11)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-9), 1e9, 0.5]) for _ in range(500)]
+    times = [rng.randint(1, 3) for _ in values]
+    rows = spark.createDataFrame(list(zip(values, times)), "v double, t int")
+    every = sorted(v for v, t in zip(values, times) for _ in range(t))
+    for k in (0, 3, 137, 400, len(every) - 1):
+        assert ranks.value_at(rows, "v", k, F.col("t")) == every[k]
+    assert abs(ranks.quantile(rows, "v", 0.137) - np.quantile(values, 0.137)) < 1e-12
