@@ -6,7 +6,7 @@ one's documents. All but the last return the columns of ``documents``:
 
 1. quality rules: documents that the rules reject go;
 2. language: documents without a letter, or whose best language scores lower
-   than nearly every labelled text outside the fit does, go (other scripts,
+   than nearly every labelled text does under the other half's fit, go (other scripts,
    random letters; a related language may stay);
 3. near-duplicates: of each SimHash group the document with the smallest id
    stays, with one row (of several texts under that id the one with the least

@@ -7,11 +7,13 @@ Nystroem features, one-versus-rest kernel ridge regression is fitted on them,
 and texts are scored in batches: presence matrix x landmark n-grams, then
 kernel values x coefficients.
 
-Fitting uses a bounded sample, at most ``TRAIN_PER_LANGUAGE`` rows a language
-(the least hashes of id and text, texts of ``TRAIN_CHARS`` characters first), of
-which ``LANDMARKS_PER_LANGUAGE`` are landmarks. As many rows again, outside the
-fit, tell what score a text of the learned languages has at least; a text is
-``accepted`` if its own reaches ``SLACK`` of their ``LOW_QUANTILE``. Scoring reads
+Fitting reads every whole text with a language outside the held-out fold. The
+basis is bounded: ``LANDMARKS_PER_LANGUAGE`` landmarks a language (the least hashes
+of id and text, texts of ``TRAIN_CHARS`` characters first). Tasks add up the
+products of all texts' kernel values, in two halves of the ids; coefficients
+come from the sums of both. What score a text of the learned languages has at
+least is told by all of them again, each scored by the half it is not in; a text
+is ``accepted`` if its own reaches ``SLACK`` of their exact ``LOW_QUANTILE``. Scoring reads
 every whole text. The number of languages is the number of labels in the data
 (each adds its landmarks to the model); over ``MOST_LANGUAGES`` is an error.
 
@@ -34,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from multisvm.llm.common import fold, workers
+from multisvm.llm.common import fold, workers, written
+from multisvm.llm.ranks import quantile
+from multisvm.operators.partials import PARTIAL_SCHEMA, partial_batch, reduce_partials
 
-TRAIN_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 32
 TRAIN_CHARS = (200, 4000)
 RIDGE = 1e-3
@@ -125,13 +128,13 @@ class Model:
         return [self.languages[i] for i in best], np.clip(scores[np.arange(len(best)), best], 0, 1).astype(float)
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nystroem features; the first ``landmarks``
-    texts of each language are its landmarks."""
+def basis(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE) -> tuple[Model, np.ndarray]:
+    """A model without coefficients, whose landmarks are the first ``landmarks``
+    texts of each language, and the map from its kernel values to Nystroem features."""
     names = sorted(set(languages))
     if not names:
         none = np.zeros(0)
-        return Model([], none, none, none, none)
+        return Model([], none, none, none, none), none
     marks = [t for name in names for t in [x for x, of in zip(texts, languages) if of == name][:landmarks]]
     letters = np.unique(np.concatenate([np.unique(at) for t in marks for at in pieces(t)])).astype(np.int64)
     model = Model(names, letters, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
@@ -142,22 +145,39 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_L
         model.grams[np.searchsorted(model.codes, s), j] = 1 / np.sqrt(len(s))
     values, vectors = np.linalg.eigh(model.kernel(marks).astype(float))
     good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    features = np.concatenate([model.kernel(texts[i:i + 256]) for i in range(0, len(texts), 256)]) @ root
-    target = np.array([[float(of == name) for name in names] for of in languages])
-    system = features.T @ features + ridge * len(texts) * np.eye(features.shape[1])
-    model.coefficients = (root @ np.linalg.solve(system, features.T @ target)).astype(np.float32)
+    return model, vectors[:, good] / np.sqrt(values[good])
+
+
+def solved(root: np.ndarray, kernels: np.ndarray, targets: np.ndarray, n: int, ridge: float = RIDGE) -> np.ndarray:
+    """Coefficients from ``n`` texts' sums: products of two kernel values, and
+    kernel values by language."""
+    system = root.T @ kernels @ root + ridge * max(1, n) * np.eye(root.shape[1])
+    return (root @ np.linalg.solve(system, root.T @ targets)).astype(np.float32)
+
+
+def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression on Nystroem features, of texts in memory."""
+    model, root = basis(texts, languages, landmarks)
+    if model.languages:
+        values = np.concatenate([model.kernel(texts[i:i + 256]) for i in range(0, len(texts), 256)]).astype(float)
+        target = np.array([[float(of == name) for name in model.languages] for of in languages])
+        model.coefficients = solved(root, values.T @ values, values.T @ target, len(texts), ridge)
     return model
 
 
+def teaching(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, text, lang) of the rows to learn from: a language, a letter, not held out."""
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    return rows.where((fold(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+
+
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list:
-    """A bounded sample: (lang, text), at most ``per_language`` rows each, ranked.
+    """Landmarks: (lang, text), at most ``per_language`` rows each, ranked.
 
     A count per language gives the share of hash values that holds some four
     times the rows wanted; the counts (a row a language) meet the rows without a
     shuffle, and only the rows in that share are moved and ranked."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = rows.where((fold(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = teaching(df, id_col, text_col, lang_col)
     usual = F.length("text").between(*TRAIN_CHARS)
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
     rows = rows.select("id", "text", "lang", usual.alias("usual"), place.alias("place"))
@@ -166,33 +186,97 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_
     if len(known) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn; is {lang_col} a language?")
     shares = [(r.lang, r.n_usual >= per_language, 4.0 * per_language / (r.n_usual if r.n_usual >= per_language else r.n)) for r in known]
-    shares = df.sparkSession.createDataFrame(shares, "lang string, enough boolean, share double")
-    few = rows.join(F.broadcast(shares), "lang").where((F.col("usual") | ~F.col("enough")) & (F.col("place") < F.col("share")))
-    few = few.dropDuplicates(["lang", "id", "text"])  # combined in tasks first
-    order = Window.partitionBy("lang").orderBy(F.desc("usual"), "place", "id")
-    ranked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    return ranked.select("lang", "text", "k").orderBy("lang", "k").collect()
-
-
-def learn(rows: list, per_language: int) -> Model:
-    """Fit on the first ``per_language`` rows of each language; the others tell
-    the least score of an accepted text (those of the fit where there are none)."""
-    first, rest = ([r for r in rows if (r["k"] <= per_language) == own] for own in (True, False))
-    model = fit([r["text"] for r in first], [r["lang"] for r in first])
-    if first:
-        model.least = SLACK * float(np.quantile(model.predict([r["text"] for r in rest or first])[1], LOW_QUANTILE))
+
+    def pick(shares: list) -> list:
+        shares = df.sparkSession.createDataFrame(shares, "lang string, enough boolean, share double")
+        few = rows.join(F.broadcast(shares), "lang").where((F.col("usual") | ~F.col("enough")) & (F.col("place") < F.col("share")))
+        few = few.dropDuplicates(["lang", "id", "text"])  # combined in tasks first
+        order = Window.partitionBy("lang").orderBy(F.desc("usual"), "place", "id")
+        ranked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+        return ranked.select("lang", "text", "k").orderBy("lang", "k").collect()
+
+    found = pick(shares)
+    missing = [(lang, enough, 2.0) for lang, enough, _ in shares if lang not in {r.lang for r in found}]
+    return sorted(found + pick(missing), key=lambda r: (r.lang, r.k)) if missing else found  # a few rows, often repeated
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """(text, lang, half, share): repeated rows of one id and text share one
+    row's weight. Only keys are moved to find them; the few that repeat meet the
+    rows by a join whose kind Spark chooses by their size."""
+    name = F.xxhash64("id", "text", "lang")
+    rows = rows.select("text", "lang", name.alias("name"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("half"))
+    repeated = rows.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    met = rows.join(written(repeated, "repeated"), "name", "left")
+    return met.select("text", "lang", "half", (1 / F.coalesce("times", F.lit(1))).alias("share"))
+
+
+def learn(marks: list, rows: DataFrame) -> Model:
+    """A model of the landmarks ``marks`` (lang, text), fitted on all ``rows`` of
+    :func:`once`, with the least score of an accepted text."""
+    model, root = basis([r["text"] for r in marks], [r["lang"] for r in marks], len(marks))
+    if not model.languages:
+        return model
+    m, k = len(root), len(model.languages)
+    sent = rows.sparkSession.sparkContext.broadcast((model, {name: i for i, name in enumerate(model.languages)}))  # bounded by the landmarks
+
+    def parts(batches):
+        for b in batches:
+            for low in range(0, b.num_rows, 128):
+                part = b.slice(low, 128)
+                known = [sent.value[1][name] for name in part.column(1).to_pylist()]
+                yield (sent.value[0].kernel(part.column(0).to_pylist()).astype(float), np.eye(k)[known],
+                       part.column(2).to_numpy(), part.column(3).to_numpy())
+
+    def sums(batches):
+        total, seen = np.zeros((2, m + 1, m + k)), np.zeros(2, bool)
+        for values, target, half, share in parts(batches):
+            for h in np.unique(half):
+                own = half == h
+                weighted = values[own] * share[own][:, None]
+                total[h, :m] += weighted.T @ np.concatenate([values[own], target[own]], axis=1)
+                total[h, m, m:] += share[own] @ target[own]  # texts of each language
+                seen[h] = True
+        if seen.any():
+            yield partial_batch(np.arange(2 * (m + 1)), np.zeros(2 * (m + 1)), total.reshape(-1, m + k))
+
+    columns = rows.select("text", "lang", "half", "share")
+    found, _ = reduce_partials(columns.mapInArrow(sums, PARTIAL_SCHEMA), 2 * (m + 1), m + k, columns.rdd.getNumPartitions())
+    halves = found.reshape(2, m + 1, m + k)
+
+    def coefficients(total: np.ndarray) -> np.ndarray:
+        return solved(root, total[:m, :m], total[:m, m:], total[m, m:].sum())
+
+    model.coefficients = coefficients(halves.sum(axis=0))
+    # what the other half has not learned (few texts) is told by the whole fit
+    other = [np.where(halves[1 - h, m, m:] > 0.5, coefficients(halves[1 - h]), model.coefficients) for h in (0, 1)]
+
+    def scores(batches):
+        for values, target, half, _ in parts(batches):
+            known = target.argmax(axis=1)
+            best = np.zeros(len(half))
+            for h in np.unique(half):
+                own = half == h
+                learned = halves[1 - h, m, m:] > 0.5
+                best[own] = np.where(learned[known[own]], (values[own] @ other[h]).max(axis=1), (values[own] @ model.coefficients).max(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.clip(best, 0, 1).round(9))], names=["score"])
+
+    model.least = SLACK * quantile(written(columns.mapInArrow(scores, "score double"), "scores"), "score", LOW_QUANTILE)
+    sent.unpersist()
     return model
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", out: str = "language",
-             learn_from: DataFrame | None = None, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
+             learn_from: DataFrame | None = None, per_language: int = LANDMARKS_PER_LANGUAGE) -> DataFrame:
     """The input plus a struct ``out``: lang_pred, score (0 to 1), accepted. The model is
     learned from ``learn_from`` (the input itself if none is given), never from
-    rows of the held-out fold. (A column named like ``out`` is replaced.)"""
+    rows of the held-out fold, with ``per_language`` landmarks a language. (A column
+    named like ``out`` is replaced.)"""
     spark = df.sparkSession
     workers(spark)
-    rows = training_rows(df if learn_from is None else learn_from, id_col, text_col, lang_col, 2 * per_language)
-    model = spark.sparkContext.broadcast(learn(rows, per_language))  # bounded by the sample
+    source = df if learn_from is None else learn_from
+    marks = training_rows(source, id_col, text_col, lang_col, per_language)
+    model = spark.sparkContext.broadcast(learn(marks, once(teaching(source, id_col, text_col, lang_col))))  # bounded by the landmarks
 
     def run(batches):
         for b in batches:

@@ -225,3 +225,33 @@ def test_order_statistics_are_exact(spark):
     for k in (0, 3, 137, 400, len(every) - 1):
         assert ranks.value_at(rows, "v", k, F.col("t")) == every[k]
     assert abs(ranks.quantile(rows, "v", 0.137) - np.quantile(values, 0.137)) < 1e-12
+
+
+def test_languages_learn_from_every_text(spark):
+    """Coefficients are those of all texts in memory (repeated rows once), also far beyond the landmarks."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(["the", "of", "then", "und", "sch", "ein"], k=9)) + f" w{i}", "ab"[rng.random() < 0.3]) for i in range(900)]
+    df = spark.createDataFrame(rows + rows[:40] + rows[:40], "id long, text string, lang string").repartition(5)
+    marks = [{"lang": n, "text": t} for n in "ab" for t in [r[1] for r in rows if r[2] == n][:6]]
+    model = language.learn(marks, language.once(df))
+    first = [m["text"] for m in marks]
+    rest = [r for r in rows if r[1] not in first]
+    plain = language.fit(first + [r[1] for r in rest], [m["lang"] for m in marks] + [r[2] for r in rest], landmarks=6)
+    assert np.abs(model.coefficients - plain.coefficients).max() < 1e-3 * np.abs(plain.coefficients).max()
+    assert 0 < model.least <= language.SLACK
+
+
+def test_the_least_score_counts_every_text(spark):
+    """One odd text in fifty tells the low quantile, wherever it lies in the order of hashes."""
+    words = {"a": "the of and then that", "b": "sch und ein nicht auch"}
+    rows = [(i, f"{words['ab'[i % 2]]} {i}", "ab"[i % 2]) for i in range(1500)]
+    odd = [(i, "qzx " * 60 if i % 50 == 0 else t, n) for i, t, n in rows]
+    made = [language.learn([{"lang": n, "text": words[n]} for n in "ab"], language.once(spark.createDataFrame(x, "id long, text string, lang string"))) for x in (rows, odd)]
+    assert made[1].least < 0.5 * made[0].least
+
+
+def test_a_language_of_one_repeated_row_is_learned(spark):
+    rows = [(i, "the of and then that", "a") for i in range(60)] + [(72, "sch und ein nicht auch", "b")] * 3000
+    assert zlib.crc32(b"72") % 3 != 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.lang, r.lang_pred) for r in language.identify(df).select("lang", "language.*").collect()} == {("a", "a"), ("b", "b")}
