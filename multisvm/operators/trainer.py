@@ -62,8 +62,9 @@ STEP_VALUES = 4_000_000
 # Weights of single classes' problems that a task keeps sorted out (see hinge_sums).
 KEPT_BYTES = 64 * 1024 * 1024
 # A training set of at most so many values, and multiplications of a step, is
-# trained inside one task; it returns its state after so many seconds.
-ONE_TASK_VALUES = 16_000_000
+# trained inside one task; it returns its state after so many seconds. The rows
+# all go to that task: some 100 bytes for four values.
+ONE_TASK_VALUES = 4_000_000
 ONE_TASK_WORK = 100_000_000
 TASK_SECONDS = 30.0
 
@@ -80,8 +81,8 @@ BUCKET = "_bucket"
 # Rows per partition below which the training cache is merged (fewer, shorter
 # tasks per iteration) and above which a too-narrow input is spread out.
 MIN_ROWS_PER_PARTITION = 16_384
-# Feature values of one cached partition (a gigabyte of doubles would not fit a task's share).
-MAX_VALUES_PER_PARTITION = 16_000_000
+# Feature values of one cached partition (what a task of an iteration may read, at most).
+MAX_VALUES_PER_PARTITION = 4_000_000
 # Slots (parts of a bucket) dealt to each partition, so that all get the same share.
 SLOTS_PER_PARTITION = 64
 

@@ -190,3 +190,14 @@ def test_bucket_batches_learn_like_row_draws(spark):
             m = scheme(iterations=15, batch_mode=mode).fit(df)
             hit = m.transform(df, labels_only=True).where(F.col("label") == F.col("prediction")).count()
             assert hit >= 396, (scheme.__name__, mode, hit)
+
+
+def test_what_one_task_reads_is_bounded():
+    """A large table of few features is neither gathered in one task nor left in a few partitions."""
+    from multisvm.operators.trainer import fits_one_task, wanted_partitions
+
+    assert fits_one_task(300_000, 4, 3, 0.25)
+    assert not fits_one_task(3_000_000, 4, 3, 0.25)  # half of lineitem at 1 GB, some 300 MB of rows
+    for rows in (3_000_000, 18_000_000, 180_000_000):
+        assert rows / wanted_partitions(1, rows, 12, 4) <= 1_500_000
+        assert rows / wanted_partitions(12, rows, 12, 4) <= 1_500_000
