@@ -248,6 +248,11 @@ class Codec:
             pieces = self._library_pieces(text)
         return b"".join(map(self._piece, pieces))
 
+    def rest(self) -> None:
+        """Give up the bounded tables (a worker may be idle, or do other work, after its task)."""
+        self._pieces.clear()
+        self.transducer._known.clear()
+
     def _library_pieces(self, text: str) -> list[str]:
         if self._library is None:
             from tokenizers import Tokenizer
@@ -320,7 +325,8 @@ class Words(dict):
         return out
 
     def rest(self) -> None:
-        """Give up the old generation (a worker may be idle after its task)."""
+        """Give up all words (a worker may be idle, or do other work, after its task)."""
+        self.clear()
         self.old = {}
 
 
@@ -345,20 +351,22 @@ def encode_stream(path: str, text: str) -> Iterator:
 
 def _mapped(df: DataFrame, id_col: str, col: str, kind: str, fields: str, row, held=tuple) -> DataFrame:
     """``row(value)`` of every row's ``col`` as columns ``fields``, beside the
-    id; ``held()`` names tables that need not outlast the task in full."""
+    id; ``held()`` names tables that need not outlast the task."""
     workers(df.sparkSession)
     names = [f.split(" ", 1)[0] for f in fields.split(", ")]
 
     def run(batches):
-        for b in batches:
-            # a batch of long texts is answered some rows at a time
-            for low in range(0, b.num_rows, 256):
-                part = b.slice(low, 256)
-                rows = [row(v.as_py()) for v in part.column(1)]
-                cols = [pa.array(list(c)) if rows else pa.array([]) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["id", *names])
-        for tables in held():
-            tables.rest()
+        try:
+            for b in batches:
+                # a batch of long texts is answered some rows at a time
+                for low in range(0, b.num_rows, 256):
+                    part = b.slice(low, 256)
+                    rows = [row(v.as_py()) for v in part.column(1)]
+                    cols = [pa.array(list(c)) if rows else pa.array([]) for c in zip(*rows)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["id", *names])
+        finally:
+            for tables in held():
+                tables.rest()
 
     of = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{col}`").cast(kind).alias("value"))
     out = of.mapInArrow(run, f"id {of.schema['id'].dataType.simpleString()}, {fields}")
@@ -371,7 +379,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def row(text):
         return ([int(i) for ids in encode_stream(path, text or "") for i in ids],)
 
-    return _mapped(df, id_col, text_col, "string", "ids array<bigint>", row)
+    return _mapped(df, id_col, text_col, "string", "ids array<bigint>", row, lambda: [encoded_words(path), codec(path)])
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", joined: bool = True) -> DataFrame:
@@ -408,4 +416,4 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
     fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return _mapped(df, id_col, text_col, "string", fields, row, lambda: [encoded_words(path)])
+    return _mapped(df, id_col, text_col, "string", fields, row, lambda: [encoded_words(path), codec(path)])

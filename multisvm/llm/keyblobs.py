@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 BLOB_SCHEMA = "bucket long, batch long, keys binary"
 LEAST_KEYS = 32  # keys of a packed row, on average and at least
+SLICE = 1 << 17  # keys that are worked on at once, beside a batch's own
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # mixing multipliers
 
 
@@ -51,6 +52,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def twice(keys: np.ndarray) -> np.ndarray:
     """The keys sorted (in place), each kept at most twice."""
     keys.sort()
+    return _at_most_twice(keys)
+
+
+def _at_most_twice(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys, each kept at most twice."""
     if len(keys) > 2:
         extra = keys[2:] == keys[:-2]
         if extra.any():
@@ -104,18 +110,26 @@ def buckets_of(keys: np.ndarray, buckets: int, bits: int) -> list[tuple[int, np.
     """Sorted keys below 2^bits cut into ranges; (bucket, its keys) of those that hold one."""
     if not len(keys):
         return []
-    number = bucket_numbers(keys, buckets, bits)
-    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-    return [(int(b), part) for b, part in zip(number[starts], np.split(keys, starts[1:]))]
+    starts, numbers, last = [], [], None
+    for low in range(0, len(keys), SLICE):
+        number = bucket_numbers(keys[low:low + SLICE], buckets, bits)
+        at = np.flatnonzero(np.concatenate([[last is None or number[0] != last], number[1:] != number[:-1]]))
+        starts.append(low + at)
+        numbers.append(number[at])
+        last = number[-1]
+    return [(int(b), part) for b, part in zip(np.concatenate(numbers), np.split(keys, np.concatenate(starts)[1:]))]
 
 
 def blob_table(batch: int, keys: np.ndarray, buckets: int, bits: int) -> pa.Table:
-    """A batch's rows for ``shared``: its keys, sorted and at most twice each."""
-    rows = buckets_of(twice(keys), buckets, bits)
+    """A batch's rows for ``shared``: its keys, sorted (in place) and at most
+    twice each. Equal keys are in one bucket, so that no second array of the
+    batch's size is needed."""
+    keys.sort()
+    rows = buckets_of(keys, buckets, bits)
     return pa.table({
         "bucket": pa.array([b for b, _ in rows], pa.int64()),
         "batch": pa.array([batch] * len(rows), pa.int64()),
-        "keys": pa.array([pack(k) for _, k in rows], pa.binary()),
+        "keys": pa.array([pack(_at_most_twice(k)) for _, k in rows], pa.binary()),
     })
 
 

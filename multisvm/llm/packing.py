@@ -81,25 +81,28 @@ def tokenized_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            for low in range(0, b.num_rows, 512):
-                ids_of, rows = b.slice(low, 512), []
-                for k, text in enumerate(ids_of.column(1).to_pylist()):
-                    start = 0
-                    for n, raw in enumerate(_pieces(path, text or "", capacity, end_id)):
-                        length = len(raw) // 4
-                        rows.append((k, n, start, length, zlib.crc32(raw), raw if with_ids else None, int(seen[length])))
-                        seen[length] += 1
-                        start += length
-                cols = list(zip(*rows))
-                longs = [pa.array(c, pa.int64()) for c in (cols[2], cols[3], cols[4])]
-                ids = [pa.array([np.frombuffer(r, "<u4").astype(np.int32) for r in cols[5]], pa.list_(pa.int32()))] if with_ids else []
-                yield pa.RecordBatch.from_arrays(
-                    [ids_of.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *longs, *ids,
-                     pa.array([part] * len(rows), pa.int64()), pa.array(cols[6], pa.int64())],
-                    names=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "part", "rank"],
-                )
-        _words(path)[1].rest()
+        try:
+            for b in batches:
+                for low in range(0, b.num_rows, 512):
+                    ids_of, rows = b.slice(low, 512), []
+                    for k, text in enumerate(ids_of.column(1).to_pylist()):
+                        start = 0
+                        for n, raw in enumerate(_pieces(path, text or "", capacity, end_id)):
+                            length = len(raw) // 4
+                            rows.append((k, n, start, length, zlib.crc32(raw), raw if with_ids else None, int(seen[length])))
+                            seen[length] += 1
+                            start += length
+                    cols = list(zip(*rows))
+                    longs = [pa.array(c, pa.int64()) for c in (cols[2], cols[3], cols[4])]
+                    ids = [pa.array([np.frombuffer(r, "<u4").astype(np.int32) for r in cols[5]], pa.list_(pa.int32()))] if with_ids else []
+                    yield pa.RecordBatch.from_arrays(
+                        [ids_of.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *longs, *ids,
+                         pa.array([part] * len(rows), pa.int64()), pa.array(cols[6], pa.int64())],
+                        names=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "part", "rank"],
+                    )
+        finally:
+            for tables in _words(path):
+                tables.rest()
 
     of = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = of.schema["id"].dataType.simpleString()

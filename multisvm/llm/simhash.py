@@ -88,8 +88,15 @@ def flips(radius: int) -> np.ndarray:
 
 
 def _variants(fps: np.ndarray, masks: np.ndarray, bits: int) -> np.ndarray:
-    """Hashes of all variants, below 2^bits; (fingerprint, mask)."""
-    keys = keyblobs.mix((fps[:, None] ^ masks[None, :]).ravel())
+    """Hashes of all variants, below 2^bits; (fingerprint, mask). They are
+    mixed some rows at a time, in the array that is returned."""
+    keys = np.empty((len(fps), len(masks)), np.uint64)
+    step = max(1, keyblobs.SLICE // len(masks))
+    for low in range(0, len(fps), step):
+        part = keys[low:low + step]
+        np.bitwise_xor(fps[low:low + step, None], masks[None, :], out=part)
+        keyblobs.mix(part.reshape(-1))
+    keys = keys.reshape(-1)
     keys >>= np.uint64(64 - bits)
     return keys
 
@@ -128,9 +135,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     def emit(table: pa.Table) -> pa.Table:
         fps = np.sort(table.column("fp").to_numpy()).view(np.uint64)
-        parts = [_variants(fps[i:i + BATCH], masks, bits) for i in range(0, len(fps), BATCH)]
-        keys = np.concatenate(parts) if len(parts) > 1 else parts[0]
-        return keyblobs.blob_table(table.column("batch")[0].as_py(), keys, buckets, bits)
+        return keyblobs.blob_table(table.column("batch")[0].as_py(), _variants(fps, masks, bits), buckets, bits)
 
     meet = keyblobs.shared(dealt.groupBy("batch").applyInArrow(emit, keyblobs.BLOB_SCHEMA))
 

@@ -3,7 +3,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from helpers import SCHEMA, corpus, with_clashes
+from multisvm.llm import bpe, packing
 from multisvm.llm.packing import pack_documents, plan
 from tokenizers import Tokenizer
 
@@ -76,3 +78,21 @@ def test_pieces_and_places(spark):
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 256 and len(ends) <= -(-sum(w[3] for w in want) // 256) + 2
     assert pack_documents(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_a_worker_keeps_no_words_after_its_task(spark):
+    """The next job in the same worker does not carry the tables of this one."""
+    docs = spark.createDataFrame([(i, f"one two word{i} more-of{i}") for i in range(200)], "doc_id long, text string").repartition(8)
+    jobs = [lambda: pack_documents(docs, PATH).count(), lambda: bpe.round_trip(docs, PATH).collect(), lambda: bpe.encode_documents(docs, PATH).collect()]
+
+    def left(batches):
+        tables = [*packing._words(PATH), bpe.codec(PATH), bpe.encoded_words(PATH)]
+        n = sum(len(t) + len(t.old) if isinstance(t, dict) else len(t._pieces) + len(t.transducer._known) for t in tables)
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    for job in jobs:
+        job()
+        kept = [r.n for r in docs.mapInArrow(left, "n long").collect()]
+        assert len(kept) == 8 and not any(kept)

@@ -152,3 +152,23 @@ def test_hot_centres_are_joined_by_broadcast(spark):
     assert rows.count() == len(links) and facts.count() > 0
     roots = {r.node: r.root for r in c.components(df).collect()}
     assert all(roots[i] == 0 for i in range(3000)) and all(roots[5000 + i] == 5000 for i in range(41))
+
+
+def test_a_batch_of_variants_is_held_once():
+    """Making and packing a batch's variants takes little besides their own array."""
+    import tracemalloc
+
+    from multisvm.llm.simhash import _variants
+
+    fps, masks = np.sort(np.random.default_rng(6).integers(0, 1 << 63, 2048).astype(np.uint64)), flips(2)
+    tracemalloc.start()
+    try:
+        keys = _variants(fps, masks, 35)
+        made = tracemalloc.get_traced_memory()[1]
+        table = keyblobs.blob_table(0, keys, 54, 35)
+        packed = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made < 1.3 * keys.nbytes and packed < 1.7 * keys.nbytes
+    got = np.concatenate([keyblobs.unpack(b) for b in table.column("keys").to_pylist()])
+    assert np.array_equal(got, keyblobs.twice(keyblobs.mix((fps[:, None] ^ masks[None, :]).ravel()) >> np.uint64(29)))
